@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import langid, packing, quality, sharding
+from tessera.llm import jaccard, langid, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def op2_viterbi_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.compression_bands("text").alias("q")).select("doc_id", "q.*")
 
@@ -38,5 +42,5 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_genetic_packing, op2_viterbi_language, op5_compression_bands, op9_hypergeometric_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op5_compression_bands, op9_hypergeometric_shards)}
 ORACLES: dict[str, str] = {}
