@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,11 @@ class Scratch:
         out.tessera_path = path
         return out
 
+    def release(self) -> None:
+        """Let Spark remove the shuffle files of what has been written: they go when the driver's JVM collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Remove a table that is not read any more."""
         path = getattr(df, "tessera_path", None)

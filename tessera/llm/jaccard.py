@@ -189,12 +189,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """
     scratch = Scratch(docs.sparkSession, "jaccard")
     docs = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    rows = scratch.write(profiles(docs, "doc_id", "text", n, num, den))
-    classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    classes = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
-    parts = classes.select("cid", "n", F.explode("keys").alias("key"))
-    shared = parts.groupBy("key").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead < last")
-    members = scratch.write(parts.join(shared, "key").select("key", "cid", "n", "lead"))
+    profiled = scratch.write(profiles(docs, "doc_id", "text", n, num, den))
+    classes = profiled.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    keyed = scratch.write(classes.withColumn("cid", F.monotonically_increasing_id()))
+    rows = scratch.write(profiled.drop("keys"))
+    classes = scratch.write(keyed.drop("keys"))
+    scratch.drop(profiled)
+    scratch.release()
+
+    # parts that classes share; only their members go on
+    parts = keyed.select("cid", "n", F.explode("keys").alias("key"))
+    shared = parts.groupBy("key").count().where("count > 1").select("key")
+    members = scratch.write(parts.join(shared, "key", "left_semi"))
+    scratch.drop(keyed)
+    scratch.release()
+    members = scratch.write(members.join(members.groupBy("key").agg(F.min("cid").alias("lead")), "key"))
 
     # the sets of the classes that share a part, made again from a text of each
     wanted = classes.select("cid", "fp", "n", "rep").join(members.select("cid").distinct(), "cid", "left_semi")
@@ -202,6 +211,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     texts = docs.withColumn("ident", ident).join(wanted.select(F.coalesce(F.col("rep").cast("string"), F.lit("")).alias("ident")).distinct(), "ident", "left_semi")
     made = sets_of(texts, n).join(wanted, "fp").dropDuplicates(["cid"])
     sets = scratch.write(made.select("cid", "n", "members"))
+    scratch.release()
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of (a, b) that link."""
@@ -215,6 +225,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     sizes = members.select(F.col("cid").alias("lead"), F.col("n").alias("lead_n")).distinct()
     stars = members.where("cid != lead").select("cid", "n", "lead").distinct().join(sizes, "lead").where(near_in_size(F.col("n"), F.col("lead_n")))
     edges = scratch.write(verified(stars.select(F.col("lead").alias("a"), F.col("cid").alias("b"))))
+    scratch.release()
     labels = components(edges, scratch)
 
     # members of one part that still lie apart
