@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, jaccard, langid, packing, quality, sharding
+from tessera.llm import ann, bpe, jaccard, langid, packing, quality, sharding
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,10 @@ def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.compression_bands("text").alias("q")).select("doc_id", "q.*")
 
 
+def op6_transducer_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
 def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
@@ -47,5 +51,5 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op5_compression_bands, op7_prefix_forest, op9_hypergeometric_shards)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op5_compression_bands, op6_transducer_bpe, op7_prefix_forest, op9_hypergeometric_shards)}
 ORACLES: dict[str, str] = {}
