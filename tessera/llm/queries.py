@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, jaccard, langid, packing, quality, sharding
+from tessera.llm import ann, bpe, chat, jaccard, langid, packing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,10 @@ def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
 
 
+def op4_link_graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.compression_bands("text").alias("q")).select("doc_id", "q.*")
 
@@ -51,5 +55,37 @@ def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op5_compression_bands, op6_transducer_bpe, op7_prefix_forest, op9_hypergeometric_shards)}
-ORACLES: dict[str, str] = {}
+def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = chat.perspectives(table(spark, sf_dir, "conversations"))
+    shown = F.array_join(F.transform("spans", lambda x: F.concat_ws("-", x["start"], x["end"])), ",")
+    return got.withColumn("spans", shown)
+
+
+OP10_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text
+  FROM conversations
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat_ws(chr(10), speaker, text))) - 1 AS r FROM rows
+), who AS (
+  SELECT DISTINCT conv_id, speaker AS assistant FROM rows WHERE speaker <> 'system'
+), pieces AS (
+  SELECT r.conv_id, w.assistant, CAST(r // 64 AS INTEGER) AS segment, r.r, r.speaker = w.assistant AS own,
+         CASE WHEN r.speaker = w.assistant THEN '<|assistant|>' || chr(10)
+              WHEN r.speaker = 'system' THEN '<|system|>' || chr(10)
+              ELSE '<|user name=' || r.speaker || '|>' || chr(10) END AS head,
+         r.text || '<|end|>' || chr(10) AS body
+  FROM ranked r JOIN who w ON r.conv_id IS NOT DISTINCT FROM w.conv_id
+), placed AS (
+  SELECT *, sum(length(head) + length(body)) OVER (PARTITION BY conv_id, assistant, segment ORDER BY r) - length(body) AS begin_at FROM pieces
+)
+SELECT conv_id, assistant, segment, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body, '' ORDER BY r) AS text,
+       coalesce(string_agg(CASE WHEN own THEN CAST(begin_at AS BIGINT) || '-' || CAST(begin_at + length(body) AS BIGINT) END, ',' ORDER BY r), '') AS spans
+FROM placed GROUP BY conv_id, assistant, segment
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op4_link_graph_verdicts, op5_compression_bands,
+    op6_transducer_bpe, op7_prefix_forest, op9_hypergeometric_shards, op10_perspective_rotation,
+)}
+ORACLES: dict[str, str] = {"op10_perspective_rotation": OP10_SQL}
