@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, jaccard, langid, packing, quality, sharding, urls
+from tessera.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,6 +51,10 @@ def op7_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op9_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -86,6 +90,6 @@ FROM placed GROUP BY conv_id, assistant, segment
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op4_link_graph_verdicts, op5_compression_bands,
-    op6_transducer_bpe, op7_prefix_forest, op9_hypergeometric_shards, op10_perspective_rotation,
+    op6_transducer_bpe, op7_prefix_forest, op8_context_mixing, op9_hypergeometric_shards, op10_perspective_rotation,
 )}
 ORACLES: dict[str, str] = {"op10_perspective_rotation": OP10_SQL}
