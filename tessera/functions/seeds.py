@@ -88,9 +88,9 @@ def revcomp_codes(codes: Column) -> Column:
 def windows(text: Column, span: int) -> Column:
     """All windows of ``span`` characters, in order; an empty array for shorter texts.
 
-    One pass with a lookahead: ``substring`` at each place would walk the text from its start each time.
+    One pass with a lookahead, a code point at a time: ``substring`` at each place would walk the text from its start each time.
     """
-    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{span}}}))"), F.lit(1))
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{span}}}))."), F.lit(1))
 
 
 def gather(window: Column, seed: Seed) -> Column:

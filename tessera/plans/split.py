@@ -51,7 +51,7 @@ def write_split(split: DataFrame, path: str, gzip: bool = False) -> None:
     """
     out = split.select("sample", "mate", "matched", "ordinal", record_text().alias("value"))
     n = max(1, out.sparkSession.sparkContext.defaultParallelism)
-    ordered = out.repartitionByRange(n, "sample", "mate", "ordinal").sortWithinPartitions("sample", "mate", "matched", "ordinal")
+    ordered = out.repartitionByRange(n, "sample", "mate", "ordinal").sortWithinPartitions("matched", "sample", "mate", "ordinal")
     writer = ordered.drop("ordinal").write.mode("overwrite").partitionBy("matched", "sample", "mate")
     (writer.option("compression", "gzip") if gzip else writer).text(path)
 
