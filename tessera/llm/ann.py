@@ -54,6 +54,8 @@ def directions(tree: int, dim: int, seed: int = SEED) -> np.ndarray:
 
 def hash_strings(x: np.ndarray, trees: list[int], seed: int = SEED) -> np.ndarray:
     """The bit strings (as numbers, first bit highest) of vectors: vectors x trees."""
+    if not len(x):
+        return np.zeros((0, len(trees)), np.int64)
     planes = np.concatenate([directions(t, x.shape[1], seed) for t in trees])
     bits = (x.astype(np.float32) @ planes.T > 0).reshape(len(x), len(trees), BITS)
     return bits @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
@@ -61,6 +63,8 @@ def hash_strings(x: np.ndarray, trees: list[int], seed: int = SEED) -> np.ndarra
 
 def _vectors(column) -> np.ndarray:
     """Vectors from their bytes."""
+    if not len(column):
+        return np.zeros((0, 1))
     return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), -1)
 
 
@@ -74,6 +78,8 @@ def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
+            if not b.num_rows:
+                continue
             flat = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in flat.astype("<f8")], pa.binary())], names=["vec_id", "vec"])
 

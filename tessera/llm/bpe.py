@@ -29,7 +29,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir
+from tessera.llm.common import shared_dir, unused
 
 #: Frequent words that are compiled.
 LEXICON = 65_536
@@ -355,9 +355,9 @@ def digests(text: Column, tokenizer: str, lexicon: str) -> Column:
 
 
 def encode(df: DataFrame, tokenizer: str, text: str = "text", out: str = "encoded", lexicon: str | None = None) -> DataFrame:
-    """``df`` with the struct column ``out``; without a ``lexicon`` one is compiled from its own words."""
+    """``df`` with the struct column ``out`` (``_out`` if that name is taken); without a ``lexicon`` one is compiled from its own words."""
     lexicon = lexicon or build_lexicon(df.sparkSession, frequent_words(df, tokenizer, text), tokenizer)
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()), encoded(F.col(f"`{text}`"), tokenizer, lexicon).alias(out))
+    return df.withColumn(unused(df, out)[0], encoded(F.col(f"`{text}`"), tokenizer, lexicon))
 
 
 def encode_documents(docs: DataFrame, tokenizer: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held
+from tessera.llm.common import held, unused
 
 #: Where ranges of scripts begin (fixed values of the Unicode standard); a range ends where the next begins.
 SCRIPTS = (
@@ -127,6 +127,8 @@ class Model:
     def __init__(self, langs: list[str], counts: np.ndarray):
         """``counts``: languages x WIDTH."""
         self.langs = langs
+        if not langs:
+            return
         grams = counts[:, : len(ORDERS) * SLOTS].reshape(len(langs), len(ORDERS), SLOTS)
         p = np.log((grams + 0.5) / (grams.sum(2, keepdims=True) + 0.5 * SLOTS))
         p -= p.mean(0, keepdims=True)
@@ -272,8 +274,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", out: str = "language", penalty: float = PENALTY, spans: bool = True) -> DataFrame:
-    """``df`` with the struct column ``out``: lang, score and, with ``spans``, the labelled stretches of the text."""
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()), labels(df, model, F.col(f"`{text}`"), penalty, spans).alias(out))
+    """``df`` with the struct column ``out`` (``_out`` if that name is taken): lang, score and, with ``spans``, the labelled stretches."""
+    return df.withColumn(unused(df, out)[0], labels(df, model, F.col(f"`{text}`"), penalty, spans))
 
 
 def labels(df: DataFrame, model: Model, text: Column, penalty: float = PENALTY, spans: bool = True) -> Column:
@@ -296,3 +298,13 @@ def identify_documents(docs: DataFrame, **args) -> DataFrame:
     model = train(docs.where(~out_of), **args)
     got = docs.select("doc_id", out_of.alias("held_out"), labels(docs, model, F.col("text"), spans=False).alias("language"))
     return got.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+def keep_identified(docs: DataFrame, text: str = "text", least: float = 0.5, **args) -> DataFrame:
+    """The rows of ``docs`` whose text has a language with at least the share ``least`` of its characters.
+
+    The model is learned from the rows' own labels.
+    """
+    (out,) = unused(docs, "language")
+    got = identify(docs, train(docs, text=text, **args), text, out, spans=False)
+    return got.where((F.col(f"{out}.lang") != "und") & (F.col(f"{out}.score") >= least)).drop(out)

@@ -213,7 +213,7 @@ def pack(pieces: DataFrame, length: str = "length", order: tuple[str, ...] = ("d
     if any(not 1 <= n <= capacity for n in counts):
         raise ValueError(f"lengths must be from 1 to {capacity}")
     layout = spark.sparkContext.broadcast(Layout(search(spark, counts, capacity, **search_args)))
-    salt, rank, before, spot = unused(pieces, "salt", "rank", "before", "spot")
+    salt, rank, before, spot, *names = unused(pieces, "salt", "rank", "before", "spot", *names)
     n, keys = F.col(f"`{length}`"), [F.col(f"`{c}`") for c in order]
     salts = max(256, math.ceil(sum(counts.values()) / 100_000))
     salted = pieces.withColumn(salt, F.pmod(F.xxhash64(*keys), F.lit(salts)).cast("int"))

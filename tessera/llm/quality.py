@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES
+from tessera.llm.common import SPACES, unused
 
 
 class Band(NamedTuple):
@@ -140,5 +140,5 @@ def compression_bands(text: Column, bands: Sequence[Band] = BANDS, chunk: int =
 
 
 def quality(df: DataFrame, text: str = "text", out: str = "quality", **limits) -> DataFrame:
-    """``df`` with the struct column ``out`` (see :func:`compression_bands`)."""
-    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() != out.lower()), compression_bands(F.col(f"`{text}`"), **limits).alias(out))
+    """``df`` with the struct column ``out`` (``_out`` if that name is taken; see :func:`compression_bands`)."""
+    return df.withColumn(unused(df, out)[0], compression_bands(F.col(f"`{text}`"), **limits))

@@ -19,6 +19,7 @@ new ones get free names.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import random
@@ -26,7 +27,7 @@ import random
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, unused
 
 SEED = 20_260_101
 
@@ -93,7 +94,7 @@ def communication_matrix(counts: list[int], shards: int, seed: int) -> list[list
     return out
 
 
-def _key(seed: int, what: str, *cols: Column) -> Column:
+def _key(seed: int, what: str, *cols: str) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(what), *cols)
 
 
@@ -105,36 +106,32 @@ def shard_rows(df: DataFrame, ids: list[str], shards: int = 16, seed: int = SEED
     """
     spark = df.sparkSession
     scratch = Scratch(spark, "shard")
-    ident = [F.col(f"`{c}`") for c in ids]
+    names = unused(df, *names)
+    df = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *(F.col(f"`{c}`").alias(f"id{k}") for k, c in enumerate(ids)))
+    ident = [f"id{k}" for k in range(len(ids))]
     rows = df.count()
     blocks = parts(rows, **sizes)
     of_block = F.pmod(_key(seed, "block", *ident), F.lit(blocks)).cast("int")
     counted = {r[0]: r[1] for r in df.groupBy(of_block.alias("b")).count().collect()}  # one number a block
     matrix = communication_matrix([counted.get(b, 0) for b in range(blocks)], shards, seed)
-    # where each shard's part of a block starts and ends; a table of blocks x shards numbers
-    ends = []
-    for line in matrix:
-        at, ends_of = 0, []
-        for n in line:
-            at += n
-            ends_of.append(at)
-        ends.append(ends_of)
-    plan = spark.range(1, numPartitions=1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("_b", "_ends"))
+    # where each shard's part of a block ends; a table of blocks x shards numbers
+    ends = [list(itertools.accumulate(line)) for line in matrix]
+    plan = spark.range(1, numPartitions=1).select(F.posexplode(F.from_json(F.lit(json.dumps(ends)), "array<array<bigint>>")).alias("block", "ends"))
 
     # the first permutation, within the block
-    local = Window.partitionBy("_b").orderBy(_key(seed, "deal", *ident), *ident)
-    dealt = df.withColumn("_b", of_block).withColumn("_r", F.row_number().over(local) - 1).join(plan, "_b")
-    sent = dealt.withColumn("_s", F.size(F.filter("_ends", lambda e: e <= F.col("_r"))).cast("int")).drop("_ends", "_r", "_b")
+    local = Window.partitionBy("block").orderBy(_key(seed, "deal", *ident), *ident)
+    dealt = df.withColumn("block", of_block).withColumn("rank", F.row_number().over(local) - 1).join(plan, "block")
+    sent = dealt.withColumn("shard", F.size(F.filter("ends", lambda e: e <= F.col("rank"))).cast("int")).drop("ends", "rank", "block")
 
     # the second permutation, within the shard: cells by a random key, then the rank within the cell
     cells = parts(math.ceil(rows / shards), **({"least": 1024, "most": 256} | sizes))
-    sent = sent.withColumn("_k", _key(seed, "slot", *ident)).withColumn("_c", F.pmod(F.shiftrightunsigned("_k", 20), F.lit(cells)).cast("int"))
+    sent = sent.withColumn("key", _key(seed, "slot", *ident)).withColumn("cell", F.pmod(F.shiftrightunsigned("key", 20), F.lit(cells)).cast("int"))
     sent = scratch.write(sent)
-    ranked = sent.withColumn("_n", F.row_number().over(Window.partitionBy("_s", "_c").orderBy("_k", *ident)))
-    before = Window.partitionBy("_s").orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)  # over shards x cells counts
-    offsets = sent.groupBy("_s", "_c").count().select("_s", "_c", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    placed = ranked.join(offsets, ["_s", "_c"])
-    return placed.select(*(F.col(f"`{c}`") for c in df.columns), F.col("_s").alias(names[0]), (F.col("_before") + F.col("_n") - 1).alias(names[1]))
+    ranked = sent.withColumn("rank", F.row_number().over(Window.partitionBy("shard", "cell").orderBy("key", *ident)))
+    earlier = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # over shards x cells counts
+    offsets = sent.groupBy("shard", "cell").count().select("shard", "cell", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("before"))
+    placed = ranked.join(offsets, ["shard", "cell"])
+    return placed.select("row.*", F.col("shard").alias(names[0]), (F.col("before") + F.col("rank") - 1).alias(names[1]))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16, seed: int = SEED, **sizes: int) -> DataFrame:
