@@ -52,18 +52,20 @@ def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
 
 
 def _codes_of(text: np.ndarray, seed: Seed, lut: np.ndarray, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of a row of bytes, and which are valid."""
+    """Codes of all windows of bytes, and which are valid."""
     code = lut[text]
     n = len(code) - seed.span + 1
     wide = code.astype(_U)
-    forward, backward, good = np.zeros(n, _U), np.zeros(n, _U), np.ones(n, bool)
     bad = np.concatenate([[0], np.cumsum(code > 3)])
-    good = bad[seed.span :] - bad[: n] == 0
+    good = bad[seed.span :] - bad[:n] == 0
+    forward, backward = np.zeros(n, _U), np.zeros(n, _U)
     for p in seed.positions:
-        forward = (forward << _U(2)) | wide[p : p + n]
+        forward <<= _U(2)
+        forward |= wide[p : p + n]
     if canonical:
         for p in reversed(seed.positions):
-            backward = (backward << _U(2)) | (wide[p : p + n] ^ _U(2))
+            backward <<= _U(2)
+            backward |= wide[p : p + n] ^ _U(2)
         forward = np.maximum(forward, backward)
     return forward, good
 
@@ -79,8 +81,15 @@ def _base_lut(alphabet: str) -> np.ndarray:
     return lut
 
 
+#: Characters that are worked through together.
+PIECE = 1 << 20
+
+
 class Prober:
-    """Decides records against sorted seeds: numbers of two bits a base, or hashes of text windows with their text."""
+    """Decides records against sorted seeds: numbers of two bits a base, or hashes of text windows with their text.
+
+    Records are laid end to end, so that each step serves many of them; a longer one is gone through in pieces.
+    """
 
     def __init__(self, index_rows: list[str], seed: Seed, dna: bool, canonical: bool, alphabet: str):
         self.seed, self.dna, self.canonical = seed, dna, canonical
@@ -88,49 +97,106 @@ class Prober:
             self.lut = _base_lut(alphabet)
             self.known = np.sort(np.array([int(s, 4) for s in index_rows], _U))
         else:
-            hashed = self.window_hashes(np.array([ord(c) for s in index_rows for c in s], np.uint32), len(index_rows))
+            points = np.frombuffer("".join(index_rows).encode("utf-32-le"), np.uint32).reshape(len(index_rows), -1)
+            out = np.zeros(len(index_rows), _U)
+            for k in range(points.shape[1]):
+                out = out * _U(0x100000001B3) + (points[:, k].astype(_U) + _U(1))
             self.texts = set(index_rows)
-            self.known = np.unique(hashed)
-
-    def window_hashes(self, points: np.ndarray, single: int = 0) -> np.ndarray:
-        """Rolling hashes of the significant characters of all windows (or of ``single`` texts of the seed's weight)."""
-        wide = points.astype(_U) + _U(1)
-        if single:
-            wide = wide.reshape(single, -1)
-            out = np.zeros(single, _U)
-            for k in range(wide.shape[1]):
-                out = out * _U(0x100000001B3) + wide[:, k]
-            return out
-        n = len(wide) - self.seed.span + 1
-        out = np.zeros(n, _U)
-        for p in self.seed.positions:
-            out = out * _U(0x100000001B3) + wide[p : p + n]
-        return out
+            self.known = np.unique(out)
+        # a table of first bits tells most windows that are not known apart from the rest
+        self.table = np.zeros(1 << 22, bool)
+        self.table[self.slot(self.known)] = True
 
-    def hits(self, record: str) -> tuple[np.ndarray, int]:
-        """Places of windows whose seed is known, and how many windows were asked."""
-        span = self.seed.span
-        if len(record) < span or not len(self.known):
-            return np.zeros(0, np.int64), 0
+    @staticmethod
+    def slot(code: np.ndarray) -> np.ndarray:
+        return ((code * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
+
+    def points(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("latin-1", "replace"), np.uint8) if self.dna else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+    def windows(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        """Codes of all windows, and which are valid (None: all)."""
         if self.dna:
-            code, good = _codes_of(np.frombuffer(record.encode("latin-1", "replace"), np.uint8), self.seed, self.lut, self.canonical)
-        else:
-            code, good = self.window_hashes(np.frombuffer(record.encode("utf-32-le"), np.uint32)), None
-        at = np.searchsorted(self.known, code)
+            return _codes_of(points, self.seed, self.lut, self.canonical)
+        n = len(points) - self.seed.span + 1
+        wide, out = points.astype(_U) + _U(1), np.zeros(n, _U)
+        for p in self.seed.positions:
+            out *= _U(0x100000001B3)
+            out += wide[p : p + n]
+        return out, None
+
+    def known_at(self, code: np.ndarray) -> np.ndarray:
+        """Places of codes that are known."""
+        maybe = np.flatnonzero(self.table[self.slot(code)])
+        at = np.searchsorted(self.known, code[maybe])
         at[at == len(self.known)] = 0
-        found = self.known[at] == code
+        return maybe[self.known[at] == code[maybe]]
+
+    def together(self, records: list[str]) -> np.ndarray:
+        """covered, seeds and found of records: three rows of numbers."""
+        span, size = self.seed.span, np.array([len(r) for r in records], np.int64)
+        begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+        whole = "".join(records)
+        out = np.zeros((3, len(records)), np.int64)
+        if len(whole) < span or not len(self.known):
+            return out
+        code, good = self.windows(self.points(whole))
+        inside = np.zeros(len(whole) + 1, np.int32)  # windows that begin and end in one record
+        fits = size >= span
+        np.add.at(inside, begin[fits], 1)
+        np.add.at(inside, begin[fits] + size[fits] - span + 1, -1)
+        inside = np.cumsum(inside)[: len(code)] > 0
         if good is not None:
-            return np.flatnonzero(found & good), int(good.sum())
-        places = np.flatnonzero(found)  # the hash says so; the text decides
-        keep = [i for i in places.tolist() if "".join(record[i + a : i + a + n] for a, n in self.seed.runs) in self.texts]
-        return np.array(keep, np.int64), len(code)
+            inside &= good
+        hit = self.known_at(code)
+        hit = hit[inside[hit]]
+        if not self.dna and len(hit):  # the hash says so; the text decides
+            hit = hit[["".join(whole[i + a : i + a + n] for a, n in self.seed.runs) in self.texts for i in hit.tolist()]]
+        sums = np.concatenate([[0], np.cumsum(inside)])
+        ends = np.minimum(begin + size, len(code))
+        out[1] = sums[np.maximum(ends, np.minimum(begin, len(code)))] - sums[np.minimum(begin, len(code))]
+        out[2] = np.bincount(np.searchsorted(begin, hit, "right") - 1, minlength=len(records)) if len(hit) else 0
+        if len(hit):
+            mark = np.zeros(len(whole) + 1, np.int32)
+            for a, n in self.seed.runs:
+                mark[: len(whole)] += np.bincount(hit + a, minlength=len(whole))[: len(whole)].astype(np.int32)
+                mark -= np.bincount(hit + a + n, minlength=len(whole) + 1).astype(np.int32)
+            under = np.concatenate([[0], np.cumsum(np.cumsum(mark[:-1]) > 0)])
+            out[0] = under[begin + size] - under[begin]
+        return out
 
-    def covered(self, record: str, places: np.ndarray) -> int:
-        mark = np.zeros(len(record) + 1, np.int32)
-        for a, n in self.seed.runs:
-            np.add.at(mark, places + a, 1)
-            np.add.at(mark, places + a + n, -1)
-        return int((np.cumsum(mark)[:-1] > 0).sum())
+    def long(self, record: str) -> tuple[int, int, int]:
+        """The same of one long record, whose windows are looked up in pieces."""
+        seeds_, mark, found = 0, np.zeros(len(record), bool), 0
+        for at in range(0, len(record) - self.seed.span + 1, PIECE):
+            part = record[at : at + PIECE + self.seed.span - 1]
+            code, good = self.windows(self.points(part))
+            hit = self.known_at(code)
+            if good is not None:
+                hit = hit[good[hit]]
+            else:
+                hit = np.array([i for i in hit.tolist() if "".join(part[i + a : i + a + n] for a, n in self.seed.runs) in self.texts], np.int64)
+            seeds_ += len(code) if good is None else int(good.sum())
+            found += len(hit)
+            for p in self.seed.positions:
+                mark[at + hit + p] = True
+        return int(mark.sum()), seeds_, found
+
+    def batch(self, records: list[str]) -> np.ndarray:
+        """covered, seeds and found of any records."""
+        out, at = np.zeros((3, len(records)), np.int64), 0
+        while at < len(records):
+            if len(records[at]) > PIECE:
+                out[:, at] = self.long(records[at])
+                at += 1
+                continue
+            end, size = at, 0
+            while end < len(records) and size + len(records[end]) <= PIECE:
+                size += len(records[end])
+                end += 1
+            out[:, at:end] = self.together(records[at:end])
+            at = end
+        return out
 
 
 PROBED = "covered long, seeds long, found long"
@@ -145,13 +211,8 @@ def probe(text: Column, index: Index) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = sent.value
         for texts in batches:
-            rows = []
-            for t in texts:
-                record = t.as_py() or ""
-                places, asked = own.hits(record)
-                rows.append((own.covered(record, places) if len(places) else 0, asked, len(places)))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["covered", "seeds", "found"])
+            got = own.batch([t or "" for t in texts.to_pylist()])
+            yield pa.StructArray.from_arrays([pa.array(c) for c in got], names=["covered", "seeds", "found"])
 
     return run(text)
 
