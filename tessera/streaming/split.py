@@ -7,6 +7,7 @@ be decided within a batch.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,13 +54,19 @@ class Progress(StreamingQueryListener):
 
     def __init__(self, total_rows: int | None = None):
         self.total, self.rows, self.matched, self.ended = total_rows, 0, 0, False
+        self.began: float | None = None
 
     @property
     def share(self) -> float | None:
         return min(1.0, self.rows / self.total) if self.total else None
 
+    def seconds_left(self) -> float | None:
+        """What the rest takes at the speed so far."""
+        done = self.share
+        return None if not done or self.began is None else (time.time() - self.began) * (1 - done) / done
+
     def onQueryStarted(self, event):
-        pass
+        self.began = time.time()
 
     def onQueryProgress(self, event):
         counts = event.progress.observedMetrics.get("counts")
