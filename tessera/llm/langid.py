@@ -52,9 +52,11 @@ PENALTY = 10.0
 SCRIPT_SHARE = 0.001
 OUT_OF_SCRIPT = -60.0
 #: Distinct words whose scores a task keeps.
-CACHE = 200_000
+CACHE = 120_000
 #: Words that are walked through at a time.
-BLOCK = 300_000
+BLOCK = 150_000
+#: Texts that are taken out of a batch at a time.
+SLICE = 1000
 
 FIELDS = "lang string, score double, spans array<struct<start:int,end:int,lang:string>>"
 
@@ -286,7 +288,8 @@ def labels(df: DataFrame, model: Model, text: Column, penalty: float = PENALTY,
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Labeller(sent.value, penalty, spans)
         for texts in batches:
-            lang, score, found = zip(*own.label(texts.to_pylist())) if len(texts) else ((), (), ())
+            got = [x for at in range(0, len(texts), SLICE) for x in own.label(texts.slice(at, SLICE).to_pylist())]
+            lang, score, found = zip(*got) if got else ((), (), ())
             yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(found, kind)], names=["lang", "score", "spans"])
 
     return label(text)
