@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,8 +47,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark remove the shuffle files of what has been written: they go when the driver's JVM collects garbage."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.3)  # files are removed by a thread of their own
 
     def drop(self, df: DataFrame) -> None:
         """Remove a table that is not read any more."""

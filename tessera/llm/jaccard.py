@@ -286,7 +286,8 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     bands = keyed.select("cid", "n", F.explode("sketches").alias("s"))
     shown = F.transform("s.shown", lambda i: F.xxhash64("s.band", i, F.get("s.parts", i)))
     parts = bands.select("cid", "n", F.explode(shown).alias("key"))
-    shared = parts.groupBy("key").count().where("count > 1").select("key")
+    shared = scratch.write(parts.groupBy("key").count().where("count > 1").select("key"))
+    scratch.release()
     members = scratch.write(parts.join(shared, "key", "left_semi"))
     scratch.release()
     members = scratch.write(members.join(members.groupBy("key").agg(F.min("cid").alias("lead")), "key"))
