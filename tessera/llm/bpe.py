@@ -35,8 +35,8 @@ from tessera.llm.common import shared_dir, unused
 LEXICON = 65_536
 #: Words whose tokens a task keeps.
 CACHE = 200_000
-#: Characters that the library's and Python's rules (white space, letters, lower case, composition) treat alike.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+#: Characters (of Latin-1) that the library's and Python's rules (white space, letters, lower case, composition) treat alike.
+PLAIN = bytes([9, 10, 13, *range(32, 127), *range(161, 256)])
 NONE = 1 << 62
 
 
@@ -141,6 +141,14 @@ def _size(file: str) -> int:
 # --- the vocabulary ----------------------------------------------------------------------------------------
 
 
+def plain(text: str) -> bool:
+    """Whether all characters are among :data:`PLAIN`."""
+    try:
+        return not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        return False
+
+
 class Vocabulary:
     """Merges, tokens and rules of a tokenizer file with byte-level BPE and word ends."""
 
@@ -160,6 +168,7 @@ class Vocabulary:
         self.merges = {}
         for rank, (a, b) in enumerate(spec["model"]["merges"]):
             self.merges[ids[a] << 20 | ids[b]] = rank << 20 | ids[a + b]
+        self.pieces: dict[str, list[int]] = {}  # pieces merged before: words differ in what is around them
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens = [""] * (max([*ids.values(), *self.special.values()]) + 1)
         for t, i in [*ids.items(), *self.special.items()]:
@@ -211,11 +220,19 @@ class Vocabulary:
 
     def merged(self, word: str) -> list[int]:
         """The tokens of a lower-case word without white space, cut into pieces first."""
-        return [t for piece in self.find(word) for t in self.merge(piece.encode("utf-8"))]
+        out: list[int] = []
+        for piece in [word] if word.isalpha() else self.find(word):
+            got = self.pieces.get(piece)
+            if got is None:
+                if len(self.pieces) > CACHE:
+                    self.pieces.clear()
+                got = self.pieces[piece] = self.merge(piece.encode("utf-8"))
+            out += got
+        return out
 
     def words(self, text: str) -> list[str | int]:
         """A text's words; special tokens as their ids."""
-        if PLAIN.fullmatch(text) and not (self.special_split and "<|" in text):
+        if plain(text) and not (self.special_split and "<|" in text):
             return text.lower().split()
         out: list[str | int] = []
         for part in self.special_split.split(text) if self.special_split else [text]:
@@ -233,30 +250,39 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Encoder:
-    """Words to tokens, by the lexicon or else by merging; keeps the last CACHE words."""
+    """Words to tokens, by the lexicon or else by merging; keeps what it knows of up to CACHE words.
 
-    def __init__(self, vocab: Vocabulary, lexicon: dict[str, np.ndarray]):
-        self.vocab, self.lexicon = vocab, lexicon
-        self.known: dict[str | int, list[int]] = {}
+    ``keep``: what to keep of a word's tokens, the tokens themselves by default.
+    """
 
-    def learn(self, words) -> None:
+    def __init__(self, vocab: Vocabulary, lexicon: dict[str, np.ndarray], keep=lambda ids: ids):
+        self.vocab, self.lexicon, self.keep = vocab, lexicon, keep
+        self.known: dict[str | int, object] = {}
+
+    def learn(self, words: set) -> None:
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        fresh = list(words - self.known.keys())
         for w in fresh:
             if isinstance(w, int):
-                self.known[w] = [w]
+                self.known[w] = self.keep([w])
         fresh = [w for w in fresh if not isinstance(w, int)]
         numbers = look_up(self.lexicon, [w.encode("utf-8") for w in fresh]).tolist()
         ends, ids = self.lexicon["ends"], self.lexicon["ids"]
         for w, k in zip(fresh, numbers):
-            self.known[w] = ids[ends[k] : ends[k + 1]].tolist() if k >= 0 else self.vocab.merged(w)
+            self.known[w] = self.keep(ids[ends[k] : ends[k + 1]].tolist() if k >= 0 else self.vocab.merged(w))
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+    def words(self, texts: list[str]) -> Iterator[list]:
+        """What is kept of each text's words."""
         words = [self.vocab.words(t) for t in texts]
-        self.learn(w for ws in words for w in ws)
+        self.learn({w for ws in words for w in ws})
+        get = self.known.__getitem__
         for ws in words:
-            yield [t for w in ws for t in self.known[w]]
+            yield list(map(get, ws))
+
+    def encode(self, texts: list[str]) -> Iterator[list[int]]:
+        for parts in self.words(texts):
+            yield [t for ids in parts for t in ids]
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
@@ -341,13 +367,19 @@ def digests(text: Column, tokenizer: str, lexicon: str) -> Column:
     @F.arrow_udf(DIGESTS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(tokenizer)
-        own = Encoder(vocab, mapped(SparkFiles.get(lexicon)))
-        number = list(map(str, range(len(vocab.tokens))))
+
+        def shown(ids: list[int]) -> tuple[int, str, str]:
+            """A word's number of tokens, ids and what they decode to: both are joined by spaces, within words and between."""
+            return len(ids), " ".join(map(str, ids)), decode_ids(vocab, ids)
+
+        own = Encoder(vocab, mapped(SparkFiles.get(lexicon)), shown)
         for texts in batches:
             rows = []
             for at in range(0, len(texts), 500):
-                for ids in own.encode([t or "" for t in texts.slice(at, 500).to_pylist()]):
-                    rows.append((len(ids), hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decode_ids(vocab, ids).encode("utf-8")).hexdigest()))
+                for parts in own.words([t or "" for t in texts.slice(at, 500).to_pylist()]):
+                    parts = [p for p in parts if p[0]]
+                    n, ids, back = zip(*parts) if parts else ((), (), ())
+                    rows.append((sum(n), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(back).encode("utf-8")).hexdigest()))
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 
