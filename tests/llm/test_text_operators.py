@@ -232,3 +232,12 @@ def test_units_spell_the_text():
     for t in (b"", b" ", b"a", b"a b\n\nc  d ", b"x\ty\r\nz", "é ü\n".encode(), b"\n"):
         u = lm.spelled(lm.units(t))
         assert b"".join(u) == t + lm.END and all(x[-1] in b" \t\n\v\f\r\xff" for x in u)
+
+
+def test_lm_has_all_contexts_and_states(spark):
+    assert [reach for reach, _ in lm.CONTEXTS][:6] == [1, 2, 3, 5, None, None] and lm.GATED == (5, 3, 2)
+    r = random.Random(6)
+    rows = [(" ".join(f"{lang}{r.randrange(6)}" for _ in range(60)).encode(),) for lang in "abcdef" for _ in range(20)]
+    marker = lm.find_states(spark.createDataFrame(rows, "data binary").repartition(1), lm.Scratch(spark, "test"))
+    assert len(set(marker.values())) == 6  # six languages, each with a state of its own
+    assert all(len({marker[u] for u in marker if u.startswith(x)}) == 1 for x in (b"a", b"b", b"c", b"d", b"e", b"f"))
