@@ -27,6 +27,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -87,15 +88,18 @@ def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
 
 def cosine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Cosines of vectors x with y, in double precision."""
-    return (x @ y) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum()))
+    """Cosines of vectors x with y, in double precision; a vector's does not depend on the others (as it may in a product)."""
+    return (x * y).sum(1) / (np.sqrt((x * x).sum(1)) * np.sqrt((y * y).sum()))
 
 
-def top_in_stretches(points: np.ndarray, strings: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int):
-    """Of sorted ``strings``, each query's k best among those from its ``low`` to below its ``high``.
+def top_in_stretches(points: np.ndarray, strings: np.ndarray, queries: np.ndarray, low: np.ndarray, high: np.ndarray, k: int, ids: np.ndarray | None = None):
+    """Of sorted ``strings``, each query's k best among those from its ``low`` to below its ``high``; ties go to the smaller of ``ids``.
 
-    Queries of one stretch are compared in one product. Yields (query, places of points, cosines).
+    Queries of one stretch are compared in one product of single precision. All points that its error leaves in doubt are
+    compared in double precision. Yields (query, places of points, cosines).
     """
+    ids = np.arange(len(points)) if ids is None else ids
+    doubt = 2 * (points.shape[1] + 8) * 2.0**-24  # twice the error: rounded components, products and sums
     unit = (points / np.sqrt((points * points).sum(1, keepdims=True))).astype(np.float32)
     a, b = np.searchsorted(strings, low), np.searchsorted(strings, high)
     order = np.lexsort((b, a))
@@ -107,10 +111,13 @@ def top_in_stretches(points: np.ndarray, strings: np.ndarray, queries: np.ndarra
             some = part[at : at + 256]
             q = queries[some]
             near = (q / np.sqrt((q * q).sum(1, keepdims=True))).astype(np.float32) @ block.T
-            m = min(k + 4, near.shape[1])  # a few more, as single precision may swap the last ones
-            best = np.argpartition(-near, m - 1, axis=1)[:, :m] + a[part[0]]
-            for i, places in zip(some, best):
-                yield i, places, cosine(points[places], queries[i])
+            m = min(k, near.shape[1])
+            least = np.partition(near, near.shape[1] - m, axis=1)[:, near.shape[1] - m] - doubt
+            for i, row, edge in zip(some, near, least):
+                places = np.flatnonzero(row >= edge) + a[part[0]]
+                exact = cosine(points[places], queries[i])
+                first = np.lexsort((ids[places], -exact))[:k]
+                yield i, places[first], exact[first]
 
 
 def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, seed: int = SEED, candidates=enough) -> DataFrame:
@@ -184,7 +191,8 @@ def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", v
         points, queries = (_vectors(t["vec"]) for t in (left, right))
         cut = BITS - right["level"].to_numpy().astype(np.int64)
         low = right["string"].to_numpy() >> cut << cut
-        found = list(top_in_stretches(points, left["string"].to_numpy(), queries, low, low + (np.int64(1) << cut), k + 1))
+        smallest = pc.list_element(left["ids"], 0).to_numpy()
+        found = list(top_in_stretches(points, left["string"].to_numpy(), queries, low, low + (np.int64(1) << cut), k + 1, smallest))
         if not found:
             return empty
         asks = np.concatenate([np.full(len(p), i) for i, p, _ in found])
@@ -201,7 +209,7 @@ def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", v
         new = scratch.write(got)
         kept = new if kept is None else kept.union(new)
 
-    # a query's finds: at most (k + 5) from each piece that it met
+    # a query's finds: at most (k + 1) from each piece that it met
     found = kept.groupBy("query", "ids").agg(F.max("score").alias("score"))
     nearest = found.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]))).where(F.col("r") <= k + 1)
     whole = asked.select(F.col("vec_id").alias("query_id"), F.col("cid").alias("query")).distinct().join(nearest, "query")

@@ -316,6 +316,25 @@ def test_neighbours_edges(spark):
     assert ann.search(df.limit(0), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("eps", [1e-3, 1e-4, 1e-5])
+def test_neighbours_among_near_copies(spark, eps):
+    r = np.random.default_rng(7)
+    centre = r.normal(size=64)
+    x = centre + eps * r.normal(size=(1500, 64))
+    x[700:720] = x[0] * 2.0 ** np.arange(1, 21)[:, None]  # scaled copies tie
+    ids = r.permutation(1500)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    asked = [0, 1, 2, 3, 4, 701]
+    got = defaultdict(list)
+    for n in sorted(ann.search(df, F.col("vec_id").isin([int(ids[q]) for q in asked]), k=5, candidates=lambda n: n).collect(), key=lambda n: (n.query_id, n.rank)):
+        got[n.query_id].append(n.vec_id)
+    for q in asked:
+        s = (x * x[q]).sum(1) / np.sqrt((x * x).sum(1) * (x[q] @ x[q]))
+        want = [int(ids[i]) for i in np.lexsort((ids, -np.round(s, 14))) if i != q][:5]
+        assert got[int(ids[q])] == want if q in (0, 701) else len(set(got[int(ids[q])]) & set(want)) >= 4
+    assert got[int(ids[0])] == sorted(int(i) for i in ids[700:720])[:5]
+
+
 # --- sharding -----------------------------------------------------------------------------------------------
 
 
