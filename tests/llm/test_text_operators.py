@@ -241,3 +241,33 @@ def test_lm_has_all_contexts_and_states(spark):
     marker = lm.find_states(spark.createDataFrame(rows, "data binary").repartition(1), lm.Scratch(spark, "test"))
     assert len(set(marker.values())) == 6  # six languages, each with a state of its own
     assert all(len({marker[u] for u in marker if u.startswith(x)}) == 1 for x in (b"a", b"b", b"c", b"d", b"e", b"f"))
+
+
+def brute_contexts(code, rows):
+    """The counts at each (context, what it sees, state, node)."""
+    counts = Counter()
+    for state, unit, n in rows:
+        for i, b in enumerate(unit):
+            for k, (reach, with_state) in enumerate(lm.CONTEXTS):
+                own = k, unit[:i] if reach is None else unit[max(0, i - reach) : i], state if with_state else None
+                for j in range(code.start[b], code.start[b] + code.length[b]):
+                    counts[own, code.node[j], code.bit[j]] += n
+    return counts
+
+
+def test_lm_counts_of_every_context_are_its_own(spark):
+    r = random.Random(8)
+    rows = sorted({(r.randrange(3), "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12))).encode()) for _ in range(6000)})
+    rows = [(s, u, r.randint(1, 3)) for s, u in rows]
+    model = lm.build(spark.createDataFrame(rows, "state int, unit binary, n long"), {}, lm.Scratch(spark, "test"))
+    rows = [(s, u + b" ", n) for s, u, n in rows]
+    counts = brute_contexts(model.code, rows)
+    some = [(s, u) for s, u, _ in rows[::5]] + [(3, b"strange "), (0, b"qqq ")]
+    e = lm.Events(model.code, [u[:-1] for _, u in some], np.array([s for s, _ in some]))
+    for k, (reach, with_state) in enumerate(lm.CONTEXTS):
+        got, want = model.evidence.take(e.slots[k]), []
+        for s, u in some:
+            for i, b in enumerate(u):
+                own = k, u[:i] if reach is None else u[max(0, i - reach) : i], s if with_state else None
+                want += [[counts[own, model.code.node[j], v] for v in (0, 1)] for j in range(model.code.start[b], model.code.start[b] + model.code.length[b])]
+        assert (got == lm.evidence(*np.array(want, float).T)).all()
