@@ -271,3 +271,18 @@ def test_lm_counts_of_every_context_are_its_own(spark):
                 own = k, u[:i] if reach is None else u[max(0, i - reach) : i], s if with_state else None
                 want += [[counts[own, model.code.node[j], v] for v in (0, 1)] for j in range(model.code.start[b], model.code.start[b] + model.code.length[b])]
         assert (got == lm.evidence(*np.array(want, float).T)).all()
+
+
+def test_lm_learns_on_a_stream_that_grows(spark):
+    rows = [(0, b"the", 1_500_000), (1, b"the", 900_000)] + [(0, b"w%d" % i, 40) for i in range(5000)]
+    total = sum(n for *_, n in rows)
+    model = lm.build(spark.createDataFrame(rows, "state int, unit binary, n long"), {}, lm.Scratch(spark, "test"))
+    assert model.learned == pytest.approx(total / 64, rel=0.02)  # copies of a frequent unit too
+
+
+def test_lm_markers_come_from_full_counts(spark):
+    r = random.Random(3)
+    rows = [(" ".join([f"common{i % 200}" for i in range(k, k + 190)] + [f"x{r.random()}" for _ in range(50)]).encode(),) for k in range(0, 4000, 7)]
+    want = Counter(u for (t,) in rows for u in lm.units(t))
+    marker = lm.find_states(spark.createDataFrame(rows, "data binary").repartition(8), lm.Scratch(spark, "test"))
+    assert set(marker) == {u for u, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[: lm.MARKERS]}
