@@ -388,7 +388,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     mine = F.col(f"`{doc_id}`")
     rows = docs.withColumn(ident, F.xxhash64(F.coalesce(mine.cast("string"), F.lit(""))))
     many = scratch.write(got.groupBy("ident").count().where("count > 1").select(F.col("ident").alias(ident)))
-    gone = got.where("n_shingles > 0 and doc_id != component_id").select(F.col("ident").alias(ident))
+    gone = got.where("n_shingles > 0 and not doc_id <=> component_id").select(F.col("ident").alias(ident))
     leave = scratch.write(gone.union(many).distinct())
     if leave.count() <= BROADCAST:
         leave = F.broadcast(leave)

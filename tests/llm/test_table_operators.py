@@ -210,6 +210,15 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_one(empty).collect() == [] and jaccard.jaccard_components(empty).collect() == []
 
 
+def test_a_single_null_id_does_not_stay_beside_its_copy(spark):
+    words = [f"w{i}" for i in range(120)]
+    near = " ".join(["v", *words[1:]])
+    rows = [(1, " ".join(words), "en", "a"), (None, near, "en", "a"), (3, "quite another text that stays here", "en", "a")]
+    assert sorted(r.doc_id for r in jaccard.keep_one(spark.createDataFrame(rows, DOCS)).collect()) == [1, 3]
+    alone = jaccard.keep_one(spark.createDataFrame(rows[1:], DOCS)).collect()
+    assert {r.doc_id for r in alone} == {None, 3}
+
+
 def test_sketches_bound_the_difference():
     r = np.random.default_rng(2)
     bands = jaccard.Bands(80, 100)
