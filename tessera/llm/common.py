@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 import gc
+import os
+import re
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,24 +23,36 @@ SPACES = b" \t\n\v\f\r"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the session names none (as in tests on one machine) a temporary folder is set.
+    Only on one machine (a local master, as in tests) a temporary folder is set where the session names none; on a cluster that is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if conf:
         return conf.rstrip("/")
     got = spark.sparkContext.getCheckpointDir()
     if not got:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
         got = spark.sparkContext.getCheckpointDir()
     return got.rstrip("/")
 
 
 class Scratch:
-    """Tables of one query in the shared folder; writing one cuts the lineage and survives lost executors."""
+    """Tables of one query in the shared folder; writing one cuts the lineage and survives lost executors.
+
+    What is not dropped before goes when the driver's JVM ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
         self.made = 0
+        place, files = self._place(self.root)
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+
+    def _place(self, path: str):
+        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and read it again."""
@@ -45,6 +63,18 @@ class Scratch:
         out.tessera_path = path
         return out
 
+    def local(self, name: str) -> str:
+        """A folder under the same root for files that tasks open by their path: the shared folder must be mounted on all machines."""
+        path = re.sub(r"^file:/*", "/", self.root)
+        if not path.startswith("/"):
+            raise ValueError(f"{self.root} can't be opened as a file; spark.checkpoint.dir must be a mounted folder here")
+        os.makedirs(f"{path}/{name}")
+        return f"{path}/{name}"
+
+    def drop_local(self, name: str) -> None:
+        place, files = self._place(f"{self.root}/{name}")
+        files.delete(place, True)
+
     def release(self) -> None:
         """Let Spark remove the shuffle files of what has been written: they go when the driver's JVM collects garbage."""
         for _ in range(2):
@@ -56,9 +86,18 @@ class Scratch:
         """Remove a table that is not read any more."""
         path = getattr(df, "tessera_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            place, files = self._place(path)
+            files.delete(place, True)
+
+
+def slices(batch: pa.RecordBatch, column: int = 0, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about ``size`` bytes of one column, a row at least."""
+    length = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(length, (length[at - 1] if at else 0) + size, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
 
 
 def held(doc_id: Column, mod: int, rest: int) -> Column:
