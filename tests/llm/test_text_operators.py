@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -210,79 +211,157 @@ def test_lm_base_and_probability(spark, docs, edges):
     assert lm.score_documents(edges.limit(0)).collect() == []
 
 
-def test_lm_is_a_probability():
-    """All units of one byte and all that begin a longer one share the whole."""
-    words = [b"the", b"then", b"a", b"\n", b"an\xff"]
-    code = lm.Code(np.bincount(np.frombuffer(b"the then a an \n\xff", np.uint8), minlength=256))
-    counts = np.zeros((int(lm.STARTS[-1]), 2), np.float32)
-    lm.Events(code, words, np.zeros(5, int)).add(counts, np.ones(5))
-    model = lm.Model(code, counts, {}, [(w, 0) for w in words] * 50)
-    singles = [bytes([b]) for b in range(256)]
-    p = 10 ** model.score([b + lm.END if b[0] not in lm.ENDS else b for b in singles], np.zeros(256, int))
-    first = []
-    for b in singles:  # the first byte alone: its bits' chances
-        e = lm.Events(code, [b"" if b == b" " else b if b[0] in lm.ENDS else b + lm.END], np.zeros(1, int))
-        q = model.mixer.chance(*lm.unpacked([model.evidence.take(s) for s in e.slots]), e.node)
-        k = code.length[b[0]]
-        first.append(np.prod(np.where(e.bit == 1, q, 1 - q)[:k]))
-    assert sum(first) == pytest.approx(1, abs=1e-3) and (p > 0).all()
+def plain_units(text):
+    """The units of a text, one byte after another."""
+    out, unit = [], b""
+    for k in range(len(text)):
+        unit += text[k : k + 1]
+        if text[k] in b" \t\n\v\f\r":
+            out.append(unit)
+            unit = b""
+    return [u[:-1] if u[-1:] == b" " else u for u in [*out, unit + lm.END]]
 
 
 def test_units_spell_the_text():
-    for t in (b"", b" ", b"a", b"a b\n\nc  d ", b"x\ty\r\nz", "é ü\n".encode(), b"\n"):
-        u = lm.spelled(lm.units(t))
-        assert b"".join(u) == t + lm.END and all(x[-1] in b" \t\n\v\f\r\xff" for x in u)
-
-
-def test_lm_has_all_contexts_and_states(spark):
-    assert [reach for reach, _ in lm.CONTEXTS][:6] == [1, 2, 3, 5, None, None] and lm.GATED == (5, 3, 2)
-    r = random.Random(6)
-    rows = [(" ".join(f"{lang}{r.randrange(6)}" for _ in range(60)).encode(),) for lang in "abcdef" for _ in range(20)]
-    marker = lm.find_states(spark.createDataFrame(rows, "data binary").repartition(1), lm.Scratch(spark, "test"))
-    assert len(set(marker.values())) == 6  # six languages, each with a state of its own
-    assert all(len({marker[u] for u in marker if u.startswith(x)}) == 1 for x in (b"a", b"b", b"c", b"d", b"e", b"f"))
-
-
-def brute_contexts(code, rows):
-    """The counts at each (context, what it sees, state, node)."""
-    counts = Counter()
-    for state, unit, n in rows:
-        for i, b in enumerate(unit):
-            for k, (reach, with_state) in enumerate(lm.CONTEXTS):
-                own = k, unit[:i] if reach is None else unit[max(0, i - reach) : i], state if with_state else None
-                for j in range(code.start[b], code.start[b] + code.length[b]):
-                    counts[own, code.node[j], code.bit[j]] += n
-    return counts
-
-
-def test_lm_counts_of_every_context_are_its_own(spark):
-    r = random.Random(8)
-    rows = sorted({(r.randrange(3), "".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(1, 12))).encode()) for _ in range(6000)})
-    rows = [(s, u, r.randint(1, 3)) for s, u in rows]
-    model = lm.build(spark.createDataFrame(rows, "state int, unit binary, n long"), {}, lm.Scratch(spark, "test"))
-    rows = [(s, u + b" ", n) for s, u, n in rows]
-    counts = brute_contexts(model.code, rows)
-    some = [(s, u) for s, u, _ in rows[::5]] + [(3, b"strange "), (0, b"qqq ")]
-    e = lm.Events(model.code, [u[:-1] for _, u in some], np.array([s for s, _ in some]))
-    for k, (reach, with_state) in enumerate(lm.CONTEXTS):
-        got, want = model.evidence.take(e.slots[k]), []
-        for s, u in some:
-            for i, b in enumerate(u):
-                own = k, u[:i] if reach is None else u[max(0, i - reach) : i], s if with_state else None
-                want += [[counts[own, model.code.node[j], v] for v in (0, 1)] for j in range(model.code.start[b], model.code.start[b] + model.code.length[b])]
-        assert (got == lm.evidence(*np.array(want, float).T)).all()
-
-
-def test_lm_learns_on_a_stream_that_grows(spark):
-    rows = [(0, b"the", 1_500_000), (1, b"the", 900_000)] + [(0, b"w%d" % i, 40) for i in range(5000)]
-    total = sum(n for *_, n in rows)
-    model = lm.build(spark.createDataFrame(rows, "state int, unit binary, n long"), {}, lm.Scratch(spark, "test"))
-    assert model.learned == pytest.approx(total / 64, rel=0.02)  # copies of a frequent unit too
-
-
-def test_lm_markers_come_from_full_counts(spark):
+    texts = [b"", b" ", b"a", b"a b\n\nc  d ", b"x\ty\r\nz", "\u00e9 \u00fc\n".encode(), b"\n", None, b"a \tb\v\f ", b"x" * 100_000 + b" " * 5000]
+    for some in (texts, texts[:4], texts[:1], []):  # with and without white space that is rare
+        units, begin = lm.cut(pa.array(some, pa.binary()))
+        assert [units.to_pylist()[a:b] for a, b in zip(begin, begin[1:])] == [plain_units(t or b"") for t in some]
+        for t, a, b in zip(some, begin, begin[1:]):
+            assert b"".join(lm.spelled(units.slice(a, b - a)).to_pylist()) == (t or b"") + lm.END
+    ends = lm.endings(pa.array([b"", b"a", b"\x00", b"ba", b"cba", b"ab", b"\x00\x00"], pa.binary())).tolist()
+    assert ends[3] == ends[4] and len(set(ends)) == 6 and 0 not in ends
+
+
+def small_model(rows, tmp_path, spark):
+    train = spark.createDataFrame([(r,) for r in rows], "data binary").repartition(3)
+    scratch = lm.Scratch(spark, "test")
+    return lm.build(train, scratch.write(lm.count_units(train)), scratch), train
+
+
+PROSE = [" ".join(random.Random(k).choices(["the", "of", "house", "Haus", "von", "der", "x1", "tree\n"], k=80) + [f"w{k % 7}{k}", "rare"]).encode() for k in range(120)]
+
+
+def test_lm_is_a_probability(spark, tmp_path):
+    """The chances of all symbols after a context add up to one, with what was learned."""
+    model, _ = small_model(PROSE, tmp_path, spark)
+    read = lm.Read(model.alphabet, pa.array(PROSE[:3], pa.binary()))
+    for layer, contexts, n in ((model.of_units, read.contexts, len(model.alphabet.values)), (model.of_letters, lm.letter_contexts(lm.spelled(read.others), model.alphabet)[1], 256)):
+        for at in (0, 3, 11):
+            p = 10 ** layer.score(np.arange(n), [np.repeat(c[at], n) for c in contexts])
+            assert p.sum() == pytest.approx(1, abs=1e-3) and (p > 0).all()
+
+
+def test_lm_score_is_a_plain_loops(spark, tmp_path, monkeypatch):
+    """Bit by bit: contexts from the units before, counts by brute force over the training texts, mixing and refinement."""
+    monkeypatch.setattr(lm, "EVENTS", 1e-4)  # so many rows that no two meet
+    model, _ = small_model(PROSE, tmp_path, spark)
+    al = model.alphabet
+    number = {u: k for k, u in enumerate(al.values.to_pylist()) if u is not None}
+    code = lambda c, s: [int(c.aligned[s]) >> (63 - j) & 1 for j in range(c.length[s])]
+
+    def events(text):
+        """(layer, contexts, symbol) of a text."""
+        marker = before = ending = None
+        for u in plain_units(text):
+            s = number.get(u, al.escape)
+            yield model.of_units, (("marker", marker), ("ending", ending), ("before", before)), s
+            if s == al.escape:
+                yield u
+            if u in number and s < lm.MARKERS:
+                marker = s
+            before, ending = s, u[-2:]
+
+    def letters(u):
+        w = u if u and u[-1] in lm.ENDS else u + b" "
+        for i, c in enumerate(w):
+            yield model.of_letters, tuple((k, w[:i] if k is None else w[max(0, i - k) : i]) for k in lm.OF_LETTERS), int(al.letter_rank[c])
+
+    counts, others = Counter(), Counter()
+    def put(layer, contexts, s, n):
+        b = code(layer.code, s)
+        for c in contexts:
+            for j, bit in enumerate(b):
+                counts[layer is model.of_units, c, tuple(b[:j]), bit] += n
+    for t in PROSE:
+        for e in events(t):
+            if isinstance(e, bytes):
+                others[e] += 1
+            else:
+                put(*e, 1)
+    for u, n in others.items():
+        for e in letters(u):
+            put(*e, n)
+
+    def alone(c, s, j):
+        b, total = code(c, s)[:j], [0, 0]
+        for k, w in enumerate(c.weights):
+            own = code(c, k)
+            if own[:j] == b and len(own) > j:
+                total[own[j]] += int(w)
+        return math.log((total[1] + 0.2) / (total[0] + 0.2))
+
+    def score(layer, contexts, s):
+        out, b = 0.0, code(layer.code, s)
+        gone = [False] * len(contexts)
+        for j, bit in enumerate(b):
+            inputs, gate = [], 0
+            for k, c in enumerate(contexts):
+                n0, n1 = (counts[layer is model.of_units, c, tuple(b[:j]), v] for v in (0, 1))
+                if j % 3 == 0 and j:  # nothing is kept below a row that one event alone reached
+                    head = tuple(b[: j - 3])
+                    up = sum(counts[layer is model.of_units, c, head, v] for v in (0, 1))
+                    gone[k] = gone[k] or up == 1
+                if gone[k]:
+                    n0 = n1 = 0
+                p0, p1 = (int(x) for x in lm.packed(np.array([n0, n1])))
+                n0, n1 = float(lm._COUNT[p0]), float(lm._COUNT[p1])
+                inputs.append(math.log((n1 + 0.2) / (n0 + 0.2)))
+                if k >= len(contexts) - 3:
+                    gate = gate * lm.LEVELS + sum(n0 + n1 > x for x in (0.5, 1.5, 4.5, 30))
+            if layer.alone:
+                inputs.append(alone(layer.code, s, j))
+            z = max(-14, min(14, sum(x * float(w[gate]) for x, w in zip(inputs, layer.mixer.weights))))
+            place = max(-7.99, min(7.99, z)) * 2 + 16
+            low = int(place)
+            row = int("1" + "".join(map(str, b[:j])), 2) if j < 8 else 0
+            fine = layer.mixer.refine[row][low] * (1 - place + low) + layer.mixer.refine[row][low + 1] * (place - low)
+            p = min(1 - 1e-6, max(1e-6, (1 / (1 + math.exp(-z)) + float(fine)) / 2))
+            out += math.log10(p if bit else 1 - p)
+        return out
+
+    texts = [*PROSE[::9], b"", b"unseen words and house\tof", b"rare rare w00 tree\n\n", "\u00fcber der Haus".encode()]
+    got = lm.score_texts(model, np.zeros(len(al.values), np.int64), pa.array(texts, pa.binary()))[1]
+    for t, g in zip(texts, got):
+        want = 0.0
+        for e in events(t):
+            want += sum(score(*x) for x in letters(e)) if isinstance(e, bytes) else score(*e)
+        assert g == pytest.approx(want, abs=1e-3, rel=1e-3)
+
+
+def test_lm_sees_across_white_space(spark, tmp_path):
+    """The same words in another order have another score."""
+    model, _ = small_model([b"one two three four five six"] * 40 + [b"six two five one four three %d" % k for k in range(5)], tmp_path, spark)
+    got = lm.score_texts(model, np.zeros(len(model.alphabet.values), np.int64), pa.array([b"one two three four five six", b"four two six one five three"], pa.binary()))[1]
+    assert got[0] > got[1] + 1
+
+
+def test_lm_table_grows_and_keeps_the_frequent():
+    assert lm.Table(10).row_bits + lm.Table(10).part_bits < lm.Table(10_000_000).row_bits + lm.Table(10_000_000).part_bits < lm.Table(10**9).row_bits + lm.Table(10**9).part_bits
+    key, n = lm.summed(np.array([5, 5, 9, 1 << 40], np.uint64), np.array([1, 2, 3, 4]))
+    assert key.tolist() == [5, 9, 1 << 40] and n.tolist() == [3, 3, 4]
+    back = lm.unpressed(lm.pressed(key, n))
+    assert back[0].tolist() == key.tolist() and back[1].tolist() == n.tolist()
+
+
+def test_lm_dictionary_comes_from_full_counts(spark):
     r = random.Random(3)
     rows = [(" ".join([f"common{i % 200}" for i in range(k, k + 190)] + [f"x{r.random()}" for _ in range(50)]).encode(),) for k in range(0, 4000, 7)]
-    want = Counter(u for (t,) in rows for u in lm.units(t))
-    marker = lm.find_states(spark.createDataFrame(rows, "data binary").repartition(8), lm.Scratch(spark, "test"))
-    assert set(marker) == {u for u, _ in sorted(want.items(), key=lambda x: (-x[1], x[0]))[: lm.MARKERS]}
+    want = Counter(u for (t,) in rows for u in plain_units(t))
+    train = spark.createDataFrame(rows, "data binary").repartition(8)
+    counted = lm.count_units(train).cache()
+    assert {bytes(u): n for u, n in counted.collect()} == want
+    units = lm.make_alphabet(counted).values.to_pylist()
+    assert {u for u in units if u is not None} == {u for u, n in want.items() if n > 1}
+    weights = [len(want) if u is None else want[u] for u in units]
+    assert weights == sorted(weights, reverse=True) or sum(1 for u in units if u is None) == 1
