@@ -6,37 +6,46 @@ token ids. The arrays lie in one file in the shared folder, which Spark hands to
 A batch's new words walk through the arcs together; words that are not in the lexicon are merged exactly.
 
 Words: the vocabulary's rules never join text across white space, so texts are cut there first. Texts whose
-characters all rules treat alike (:data:`PLAIN`) are cut and lower-cased here; others, and texts that hold special
-tokens, by the tokenizer file's own normaliser and splitter, the words then going the same way.
+characters all rules treat alike (:data:`PLAIN`) are cut and lower-cased by Arrow's kernels; words that are not known are then cut by the vocabulary's pattern.
+Others, and texts that hold special tokens, are cut by the tokenizer file's own normaliser and splitter; these pieces (marked :data:`PIECE`) are not cut again,
+as the library's tables of characters are older than those of the pattern's module here.
 
 Edge cases: null and empty texts have no tokens; repeated rows are encoded alike; words of any length are merged
-(with a heap, in n log n); an empty table gives an empty lexicon and result; columns of the input are kept, the result being
+(with a heap, in n log n), those of more than 64 characters are left out of the lexicon and always merged; words of equal counts at the edge of the lexicon are all left out;
+an empty table gives an empty lexicon and result; a very long text is worked on alone; columns of the input are kept, the result being
 one struct column; null ids decode to null.
 """
 
+from __future__ import annotations
+
 import functools
 import hashlib
 import heapq
 import json
 import re
 import uuid
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_dir, unused
+from tessera.llm.common import Scratch, shared_dir, slices, unused
 
 #: Frequent words that are compiled.
 LEXICON = 65_536
 #: Words whose tokens a task keeps.
 CACHE = 200_000
 #: Characters that the library's and Python's rules (white space, letters, lower case, composition) treat alike.
-PLAIN = re.compile("[\t\n\r -~¡-ɏ]*")
+PLAIN = re.compile("[\t\n\r -~¡-įı-ɏ]*")
+#: Marks of pieces that are cut already, and of ids of special tokens.
+PIECE, SPECIAL = "\0", "\1"
+#: Bytes of texts that a task works on together, and words that it counts at a time.
+SLICE = 1 << 22
+COUNTED = 600_000
 NONE = 1 << 62
 
 
@@ -213,17 +222,23 @@ class Vocabulary:
         """The tokens of a lower-case word without white space, cut into pieces first."""
         return [t for piece in self.find(word) for t in self.merge(piece.encode("utf-8"))]
 
-    def words(self, text: str) -> list[str | int]:
-        """A text's words; special tokens as their ids."""
-        if PLAIN.fullmatch(text) and not (self.special_split and "<|" in text):
-            return text.lower().split()
-        out: list[str | int] = []
+    def tokens_of(self, word: str) -> list[int]:
+        """The tokens of a word or of what is marked."""
+        if word[:1] == PIECE:
+            return self.merge(word[1:].encode("utf-8"))
+        return [int(word[1:])] if word[:1] == SPECIAL else self.merged(word)
+
+    def plain(self, text: str) -> bool:
+        return PLAIN.fullmatch(text) is not None and not (self.special_split and "<|" in text)
+
+    def pieces(self, text: str) -> list[str]:
+        """A text's pieces by the library's splitter, and its special tokens, marked."""
+        out: list[str] = []
         for part in self.special_split.split(text) if self.special_split else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(f"{SPECIAL}{self.special[part]}")
             elif part:
-                for piece, _ in self.split(self.normal(part)):
-                    out.append(bytes(map(self.back.__getitem__, piece)).decode("utf-8"))
+                out += [PIECE + bytes(map(self.back.__getitem__, piece)).decode("utf-8") for piece, _ in self.split(self.normal(part))]
         return out
 
 
@@ -232,31 +247,52 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def words(texts: pa.Array, vocab: Vocabulary) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words and marked pieces of texts, where each text's begin (and all end), and the places of these texts: plain ones come first."""
+    listed = texts.to_pylist()
+    plain = np.array([t is None or vocab.plain(t) for t in listed], bool)
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+    low = pc.utf8_lower(pc.fill_null(texts.filter(pa.array(plain)), ""))
+    for white in "\n\t\r":
+        low = pc.replace_substring(low, white, " ")
+    lists = pc.split_pattern(low, " ")
+    every = lists.flatten()
+    there = pc.not_equal(pc.binary_length(every), 0)
+    begin = np.concatenate([[0], np.cumsum(there.to_numpy(zero_copy_only=False))])[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(lists) else np.zeros(1, np.int64)
+    rest = [vocab.pieces(listed[i]) for i in np.flatnonzero(~plain)]
+    flat = pa.concat_arrays([every.filter(there), pa.array([w for r in rest for w in r], pa.string())])
+    return flat, np.concatenate([begin, begin[-1] + np.cumsum([len(r) for r in rest], dtype=np.int64)]), order
+
+
 class Encoder:
-    """Words to tokens, by the lexicon or else by merging; keeps the last CACHE words."""
+    """Words to tokens, by the lexicon or else by merging; keeps what ``form`` makes of the tokens of the last CACHE words."""
 
-    def __init__(self, vocab: Vocabulary, lexicon: dict[str, np.ndarray]):
-        self.vocab, self.lexicon = vocab, lexicon
-        self.known: dict[str | int, list[int]] = {}
+    def __init__(self, vocab: Vocabulary, lexicon: dict[str, np.ndarray], form: Callable[[list[int]], tuple]):
+        self.vocab, self.lexicon, self.form = vocab, lexicon, form
+        self.known: dict[str, tuple] = {}
 
-    def learn(self, words) -> None:
+    def of(self, distinct: list[str]) -> list[tuple]:
+        """The forms of distinct words."""
         if len(self.known) > CACHE:
             self.known.clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        for w in fresh:
-            if isinstance(w, int):
-                self.known[w] = [w]
-        fresh = [w for w in fresh if not isinstance(w, int)]
+        fresh = [w for w in distinct if w not in self.known]
         numbers = look_up(self.lexicon, [w.encode("utf-8") for w in fresh]).tolist()
         ends, ids = self.lexicon["ends"], self.lexicon["ids"]
         for w, k in zip(fresh, numbers):
-            self.known[w] = ids[ends[k] : ends[k + 1]].tolist() if k >= 0 else self.vocab.merged(w)
+            self.known[w] = self.form(ids[ends[k] : ends[k + 1]].tolist() if k >= 0 else self.vocab.tokens_of(w))
+        return [self.known[w] for w in distinct]
+
+    def encode(self, texts: pa.Array) -> tuple[list[tuple], np.ndarray, np.ndarray, np.ndarray]:
+        """The forms of the distinct words of texts, which of them the texts' words are, where each text's begin (and all end), and the texts' places."""
+        flat, begin, order = words(texts, self.vocab)
+        encoded = flat.dictionary_encode()
+        return self.of(encoded.dictionary.to_pylist()), encoded.indices.to_numpy(), begin, order
+
 
-    def encode(self, texts: list[str]) -> Iterator[list[int]]:
-        words = [self.vocab.words(t) for t in texts]
-        self.learn(w for ws in words for w in ws)
-        for ws in words:
-            yield [t for w in ws for t in self.known[w]]
+def joined(values: list[bytes], which: np.ndarray, begin: np.ndarray) -> list[bytes]:
+    """The values of each text, joined by spaces."""
+    lists = pa.ListArray.from_arrays(pa.array(begin, pa.int32()), pa.array(values, pa.binary()).take(pa.array(which)))
+    return pc.binary_join(lists, pa.scalar(b" ", pa.binary())).to_pylist()
 
 
 def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
@@ -267,33 +303,48 @@ def decode_ids(vocab: Vocabulary, ids: list[int]) -> str:
 # --- in Spark ----------------------------------------------------------------------------------------------
 
 
-def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON) -> list[str]:
-    """The ``size`` most frequent words of all texts, sorted by their bytes."""
+def frequent_words(docs: DataFrame, tokenizer: str, text: str = "text", size: int = LEXICON) -> pa.Array:
+    """The most frequent words (and marked pieces) of all texts, ``size`` of them at most: all above the least count that leaves so many."""
 
     def run(batches):
-        vocab, counts = vocabulary(tokenizer), Counter()
+        vocab, kept, n = vocabulary(tokenizer), [], 0
 
         def out():
-            yield pa.RecordBatch.from_pydict({"word": pa.array(list(counts), pa.string()), "n": pa.array(list(counts.values()), pa.int64())})
-            counts.clear()
+            rows = pa.concat_tables(kept).group_by("word").aggregate([("n", "sum")]).rename_columns(["word", "n"])
+            kept.clear()
+            return rows.to_batches(max_chunksize=50_000)
 
         for batch in batches:
-            for t in batch.column(0):
-                counts.update(w for w in vocab.words(t.as_py() or "") if isinstance(w, str) and len(w) <= 64)
-                if len(counts) > 1_000_000:
+            for b in slices(batch, size=SLICE):
+                encoded = words(b.column(0), vocab)[0].dictionary_encode()
+                kept.append(pa.table({"word": encoded.dictionary, "n": np.bincount(encoded.indices.to_numpy(), minlength=len(encoded.dictionary))}))
+                n += len(encoded.dictionary)
+                if n > COUNTED:
                     yield from out()
-        yield from out()
+                    n = 0
+        if kept:
+            yield from out()
 
     counts = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counts.where("n > 1").orderBy(F.desc("n"), "word").limit(size).collect()  # at most ``size`` words
-    return sorted((r[0] for r in top), key=lambda w: w.encode("utf-8"))
-
-
-def build_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
+    stored = Scratch(docs.sparkSession, "words")
+    counts = stored.write(counts.where("n > 1 and length(word) <= 64"))
+    total, cut = 0, 1
+    for n, words_ in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):  # as many rows as different counts
+        total += words_
+        if total > size:
+            cut = n
+            break
+    found = counts.where(F.col("n") > cut).select("word").toArrow()["word"]  # ``size`` words at most
+    stored.drop(counts)
+    return pa.concat_arrays(found.chunks).cast(pa.string()) if found.num_chunks else pa.array([], pa.string())
+
+
+def build_lexicon(spark: SparkSession, of: pa.Array, tokenizer: str) -> str:
     """Compile the words and hand the file to all machines; returns the file's name there."""
     vocab = vocabulary(tokenizer)
-    arrays = compile_words([w.encode("utf-8") for w in words])
-    ids = [vocab.merged(w) for w in words]
+    words_ = sorted(of.to_pylist(), key=lambda w: w.encode("utf-8"))
+    arrays = compile_words([w.encode("utf-8") for w in words_])
+    ids = [vocab.tokens_of(w) for w in words_]
     arrays["ends"] = np.cumsum([0, *map(len, ids)]).astype(np.int64)
     arrays["ids"] = np.array([t for x in ids for t in x], np.int32)
     name = f"lexicon-{uuid.uuid4().hex}.bin"
@@ -302,6 +353,7 @@ def build_lexicon(spark: SparkSession, words: list[str], tokenizer: str) -> str:
     stream = place.getFileSystem(sc._jsc.hadoopConfiguration()).create(place)
     stream.write(bytearray(to_bytes(arrays)))
     stream.close()
+    place.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(place)
     sc.addFile(path)
     return name
 
@@ -315,10 +367,16 @@ def encoded(text: Column, tokenizer: str, lexicon: str) -> Column:
 
     @F.arrow_udf(FIELDS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Encoder(vocabulary(tokenizer), mapped(SparkFiles.get(lexicon)))
-        for texts in batches:
-            got = list(own.encode([t or "" for t in texts.to_pylist()]))
-            yield pa.StructArray.from_arrays([pa.array(map(len, got), pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=["n_tokens", "ids"])
+        own = Encoder(vocabulary(tokenizer), mapped(SparkFiles.get(lexicon)), tuple)
+        for batch in batches:
+            out = []
+            for b in slices(pa.record_batch([batch], ["text"]), size=SLICE):
+                forms, which, begin, order = own.encode(b.column(0))
+                rows = [None] * len(order)
+                for place, a, e in zip(order.tolist(), begin, begin[1:]):
+                    rows[place] = [t for w in which[a:e].tolist() for t in forms[w]]
+                out += rows
+            yield pa.StructArray.from_arrays([pa.array(map(len, out), pa.int64()), pa.array(out, pa.list_(pa.int32()))], names=["n_tokens", "ids"])
 
     return run(text)
 
@@ -341,13 +399,27 @@ def digests(text: Column, tokenizer: str, lexicon: str) -> Column:
     @F.arrow_udf(DIGESTS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(tokenizer)
-        own = Encoder(vocab, mapped(SparkFiles.get(lexicon)))
-        number = list(map(str, range(len(vocab.tokens))))
-        for texts in batches:
-            rows = []
-            for at in range(0, len(texts), 500):
-                for ids in own.encode([t or "" for t in texts.slice(at, 500).to_pylist()]):
-                    rows.append((len(ids), hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest(), hashlib.sha256(decode_ids(vocab, ids).encode("utf-8")).hexdigest()))
+        number, shown = [str(i).encode() for i in range(len(vocab.tokens))], [t.encode("utf-8") for t in vocab.tokens]
+
+        def form(ids: list[int]) -> tuple[int, bytes, bytes]:
+            return len(ids), b" ".join([number[i] for i in ids]), b" ".join([shown[i] for i in ids])
+
+        own = Encoder(vocab, mapped(SparkFiles.get(lexicon)), form)
+        for batch in batches:
+            rows: list[tuple] = []
+            for b in slices(pa.record_batch([batch], ["text"]), size=SLICE):
+                forms, which, begin, order = own.encode(b.column(0))
+                n = np.array([f[0] for f in forms], np.int64)
+                if len(forms) and not n.all():  # words without tokens leave no space behind
+                    on = n[which] > 0
+                    begin, which = np.concatenate([[0], np.cumsum(on)])[begin], which[on]
+                counts = np.diff(np.concatenate([[0], np.cumsum(n[which])])[begin]) if len(forms) else np.zeros(len(order), np.int64)
+                digests_ = ([hashlib.sha256(x).hexdigest() for x in joined([f[k] for f in forms], which, begin)] for k in (1, 2))
+                made = list(zip(counts.tolist(), *digests_))
+                some = [None] * len(order)
+                for place, row in zip(order.tolist(), made):
+                    some[place] = row
+                rows += some
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.StructArray.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], names=["n_tokens", "ids_sha256", "decoded_sha256"])
 

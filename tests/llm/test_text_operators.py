@@ -177,6 +177,20 @@ def test_bpe_merges_random_words(word_bpe):
             assert vocab.merged(w) == own.encode(w, add_special_tokens=False).ids
 
 
+def test_bpe_of_every_code_point(spark, word_bpe):
+    """Between letters and signs, all code points have the library's ids: its tables of characters are not those of the pattern's module."""
+    own, vocab = Tokenizer.from_file(word_bpe), bpe.vocabulary(word_bpe)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{c}?! {c}b{c} " for c in points[k : k + 64]) for k in range(0, len(points), 64)]
+    assert sum(map(vocab.plain, texts)) > 3
+    encoder = bpe.Encoder(vocab, bpe.compile_words([]) | {"ends": np.zeros(1, np.int64), "ids": np.zeros(0, np.int32)}, tuple)
+    for at in range(0, len(texts), 2000):
+        forms, which, begin, order = encoder.encode(pa.array(texts[at : at + 2000]))
+        got = [[t for w in which[a:b] for t in forms[w]] for a, b in zip(begin, begin[1:])]
+        want = own.encode_batch([texts[at + i] for i in order], add_special_tokens=False)
+        assert got == [w.ids for w in want]
+
+
 def test_automaton_is_minimal_and_exact():
     r = random.Random(5)
     words = sorted({"".join(r.choice("abc") for _ in range(r.randint(1, 7))).encode() for _ in range(600)})
