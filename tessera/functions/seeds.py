@@ -1,9 +1,11 @@
-"""Seeds: contiguous or spaced masks, windows of a sequence, and strand-independent codes as column expressions."""
+"""Seeds: contiguous or spaced masks, windows of a sequence, and strand-independent codes, as column expressions and in Arrow batches."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,72 @@ def code_number(codes: Column) -> Column:
 def valid_window(window: Column) -> Column:
     """Whether all characters of a window of codes are bases."""
     return ~F.contains(window, F.lit("."))
+
+
+def code_text(code: Column, weight: int) -> Column:
+    """A number of two bits a base as its code text."""
+    return F.lpad(F.conv(code.cast("string"), 10, 4), weight, "0")
+
+
+# --- in Arrow batches ---------------------------------------------------------------------------------------
+
+_U = np.uint64
+#: Characters that are worked through together; longer records are gone through in pieces of this size.
+PIECE = 1 << 20
+
+
+def base_table(alphabet: str) -> np.ndarray:
+    """The code of each byte, 4 for what is no base."""
+    lut = np.full(256, 4, np.uint8)
+    for b in range(256):
+        c = chr(b)
+        if alphabet == "reference":
+            lut[b] = (b >> 1) & 7 if (b >> 1) & 7 <= 3 and (c.isascii() and c.isalpha() or c in " @") else 4
+        elif c in "ACGTUacgtu":
+            lut[b] = (b >> 1) & 7
+    return lut
+
+
+def codes_of(text: np.ndarray, seed: Seed, lut: np.ndarray, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of all windows of bytes (two bits a base), and which are valid."""
+    code = lut[text]
+    n = max(0, len(code) - seed.span + 1)
+    wide = code.astype(_U)
+    bad = np.concatenate([[0], np.cumsum(code > 3)])
+    good = bad[seed.span :][:n] - bad[:n] == 0
+    forward, backward = np.zeros(n, _U), np.zeros(n, _U)
+    for p in seed.positions:
+        forward <<= _U(2)
+        forward |= wide[p : p + n]
+    if canonical:
+        for p in reversed(seed.positions):
+            backward <<= _U(2)
+            backward |= wide[p : p + n] ^ _U(2)
+        forward = np.maximum(forward, backward)
+    return forward, good
+
+
+def coded_windows(records: list[bytes], seed: Seed, lut: np.ndarray, canonical: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(record, place, code) of all valid windows, about PIECE at a time: short records are laid end to end, long ones cut."""
+    at = 0
+    while at < len(records):
+        if len(records[at]) > PIECE:
+            for p in range(0, len(records[at]) - seed.span + 1, PIECE):
+                code, good = codes_of(np.frombuffer(records[at][p : p + PIECE + seed.span - 1], np.uint8), seed, lut, canonical)
+                place = np.flatnonzero(good)
+                yield np.full(len(place), at), p + place, code[place]
+            at += 1
+            continue
+        end, size = at, 0
+        while end < len(records) and size + len(records[end]) <= PIECE:
+            size += len(records[end])
+            end += 1
+        length = np.array([len(r) for r in records[at:end]], np.int64)
+        begin = np.cumsum(length) - length
+        code, good = codes_of(np.frombuffer(b"".join(records[at:end]), np.uint8), seed, lut, canonical)
+        place = np.flatnonzero(good)
+        row = np.searchsorted(begin + length, place, "right")  # empty records hold no place
+        inside = place + seed.span <= (begin + length)[row]
+        row, place = row[inside], place[inside]
+        yield at + row, place - begin[row], code[place]
+        at = end

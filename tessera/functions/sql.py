@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from tessera.functions.seeds import Seed
+from tessera.functions.seeds import Seed, base_table, coded_windows
 
 
 class Seeds:
@@ -17,13 +18,9 @@ class Seeds:
         if seq is None or mask is None:
             return
         seed = Seed(mask)
-        codes = seq.upper().translate(str.maketrans("ACTGU", "\x00\x01\x02\x03\x02"))
-        for i in range(len(codes) - seed.span + 1):
-            digits = [ord(codes[i + p]) for p in seed.positions]
-            if max(map(ord, codes[i : i + seed.span])) <= 3:
-                forward = "".join(map(str, digits))
-                back = "".join(str(d ^ 2) for d in reversed(digits))
-                yield i, max(forward, back)
+        for _, place, code in coded_windows([seq.encode("latin-1", "replace")], seed, base_table("strict"), True):
+            for p, c in zip(place.tolist(), code.tolist()):
+                yield p, np.base_repr(c, 4).zfill(seed.weight)
 
 
 SCALARS = {

@@ -11,15 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import seeds
-from tessera.functions.seeds import Seed
-from tessera.operators.index import Index, read_seeds
+from tessera.functions.seeds import PIECE, Seed, base_table, codes_of
+from tessera.operators.index import Index, coded_seeds, read_seeds
 
-#: Seeds that are sent to tasks (8 bytes each); larger indexes are joined.
-PROBE_LIMIT = 8_000_000
 _U = np.uint64
 
 
@@ -28,6 +26,9 @@ _U = np.uint64
 
 def seed_hits(rows: DataFrame, key: str, text: str, index: Index) -> DataFrame:
     """key and pos of the windows whose seed is in the index; Spark broadcasts a small index by itself."""
+    if index.dna:
+        found = coded_seeds(rows, key, text, index.seed, index.canonical, index.alphabet)
+        return found.join(index.codes, "seed", "left_semi").select(key, "pos")
     found = read_seeds(rows.select(key, text), key, text, index.seed, index.dna, index.canonical, index.alphabet)
     return found.join(index.codes, "seed", "left_semi").select(key, "pos")
 
@@ -51,51 +52,17 @@ def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
 # --- probe --------------------------------------------------------------------------------------------------
 
 
-def _codes_of(text: np.ndarray, seed: Seed, lut: np.ndarray, canonical: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all windows of bytes, and which are valid."""
-    code = lut[text]
-    n = len(code) - seed.span + 1
-    wide = code.astype(_U)
-    bad = np.concatenate([[0], np.cumsum(code > 3)])
-    good = bad[seed.span :] - bad[:n] == 0
-    forward, backward = np.zeros(n, _U), np.zeros(n, _U)
-    for p in seed.positions:
-        forward <<= _U(2)
-        forward |= wide[p : p + n]
-    if canonical:
-        for p in reversed(seed.positions):
-            backward <<= _U(2)
-            backward |= wide[p : p + n] ^ _U(2)
-        forward = np.maximum(forward, backward)
-    return forward, good
-
-
-def _base_lut(alphabet: str) -> np.ndarray:
-    lut = np.full(256, 4, np.uint8)
-    for b in range(256):
-        c = chr(b)
-        if alphabet == "reference":
-            lut[b] = (b >> 1) & 7 if (b >> 1) & 7 <= 3 and (c.isascii() and c.isalpha() or c in " @") else 4
-        elif c in "ACGTUacgtu":
-            lut[b] = (b >> 1) & 7
-    return lut
-
-
-#: Characters that are worked through together.
-PIECE = 1 << 20
-
-
 class Prober:
     """Decides records against sorted seeds: numbers of two bits a base, or hashes of text windows with their text.
 
     Records are laid end to end, so that each step serves many of them; a longer one is gone through in pieces.
     """
 
-    def __init__(self, index_rows: list[str], seed: Seed, dna: bool, canonical: bool, alphabet: str):
+    def __init__(self, index_rows: np.ndarray, seed: Seed, dna: bool, canonical: bool, alphabet: str):
         self.seed, self.dna, self.canonical = seed, dna, canonical
         if dna:
-            self.lut = _base_lut(alphabet)
-            self.known = np.sort(np.array([int(s, 4) for s in index_rows], _U))
+            self.lut = base_table(alphabet)
+            self.known = np.sort(index_rows.astype(np.int64).view(_U))
         else:
             points = np.frombuffer("".join(index_rows).encode("utf-32-le"), np.uint32).reshape(len(index_rows), -1)
             out = np.zeros(len(index_rows), _U)
@@ -117,7 +84,7 @@ class Prober:
     def windows(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """Codes of all windows, and which are valid (None: all)."""
         if self.dna:
-            return _codes_of(points, self.seed, self.lut, self.canonical)
+            return codes_of(points, self.seed, self.lut, self.canonical)
         n = len(points) - self.seed.span + 1
         wide, out = points.astype(_U) + _U(1), np.zeros(n, _U)
         for p in self.seed.positions:
@@ -127,6 +94,8 @@ class Prober:
 
     def known_at(self, code: np.ndarray) -> np.ndarray:
         """Places of codes that are known."""
+        if not len(self.known):
+            return np.zeros(0, np.int64)
         maybe = np.flatnonzero(self.table[self.slot(code)])
         at = np.searchsorted(self.known, code[maybe])
         at[at == len(self.known)] = 0
@@ -138,7 +107,7 @@ class Prober:
         begin = np.concatenate([[0], np.cumsum(size)[:-1]])
         whole = "".join(records)
         out = np.zeros((3, len(records)), np.int64)
-        if len(whole) < span or not len(self.known):
+        if len(whole) < span:
             return out
         code, good = self.windows(self.points(whole))
         inside = np.zeros(len(whole) + 1, np.int32)  # windows that begin and end in one record
@@ -202,10 +171,9 @@ class Prober:
 PROBED = "covered long, seeds long, found long"
 
 
-def probe(text: Column, index: Index) -> Column:
-    """A struct of :data:`PROBED` for each record; the index must have been checked against :data:`PROBE_LIMIT`."""
-    rows = [r[0] for r in index.codes.select("seed").collect()]
-    sent = index.codes.sparkSession.sparkContext.broadcast(Prober(rows, index.seed, index.dna, index.canonical, index.alphabet))
+def probe(text: Column, index) -> Column:
+    """A struct of :data:`PROBED` for each record; ``index``: an :class:`Index` that is small enough, or a published one."""
+    sent = SparkContext.getOrCreate().broadcast(index.prober())
 
     @F.arrow_udf(PROBED)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -220,10 +188,10 @@ def probe(text: Column, index: Index) -> Column:
 # --- verdict ------------------------------------------------------------------------------------------------
 
 
-def coverage(rows: DataFrame, key: str, text: str, index: Index, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
+def coverage(rows: DataFrame, key: str, text: str, index, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
     """key, length and covered of every record (0 for such as have no hit); ``max_length``: longer ones never match."""
     if strategy == "auto":
-        strategy = "probe" if index.seed.weight <= 32 and index.codes.limit(PROBE_LIMIT + 1).count() <= PROBE_LIMIT else "join"
+        strategy = "probe" if index.small else "join"
     size = F.length(text).cast("int")
     asked = F.col(text) if max_length is None else F.when(size <= max_length, F.col(text))
     if strategy == "probe":
@@ -243,6 +211,6 @@ def score(covered: Column, length: Column) -> Column:
     return F.when(length > 0, F.floor(covered * 1000 / length))
 
 
-def verdicts(rows: DataFrame, key: str, text: str, index: Index, permille: int = 500, **how) -> DataFrame:
+def verdicts(rows: DataFrame, key: str, text: str, index, permille: int = 500, **how) -> DataFrame:
     """key, covered, length and matched of every record."""
     return coverage(rows, key, text, index, **how).select(key, "covered", "length", matches(F.col("covered"), F.col("length"), permille).alias("matched"))

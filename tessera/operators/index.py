@@ -4,21 +4,30 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from tessera.functions import hashing, seeds
 from tessera.functions.seeds import Seed
+from tessera.sources.shared import workspace
 
 SLOTS = 4
 TARGET_LOAD = 0.95
 WARN_LOAD = 90
 
 
-@dataclass(frozen=True)
+#: Seeds that are sent to tasks (8 bytes each); larger indexes are joined.
+PROBE_LIMIT = 8_000_000
+
+
+@dataclass(eq=False)
 class Index:
-    """Distinct seeds of a reference: ``codes`` has the column ``seed`` (text).
+    """Distinct seeds of a reference: ``codes`` has the column ``seed``, a number of two bits a base or a window's text.
 
     ``dna``: seeds are base codes; else windows of plain text. ``canonical``: both strands share a seed.
     """
@@ -28,12 +37,59 @@ class Index:
     dna: bool = True
     canonical: bool = True
     alphabet: str = "strict"
+    #: Whether the codes lie in a table already.
+    kept: bool = False
 
     def save(self, path: str) -> None:
         self.codes.write.mode("overwrite").parquet(path)
 
     def load(self, path: str) -> Index:
-        return Index(self.codes.sparkSession.read.schema("seed string").parquet(path), self.seed, self.dna, self.canonical, self.alphabet)
+        codes = self.codes.sparkSession.read.schema("seed bigint" if self.dna else "seed string").parquet(path)
+        return Index(codes, self.seed, self.dna, self.canonical, self.alphabet, True)
+
+    def stored(self) -> Index:
+        """The same index as a table in the shared folder, so that it is built once."""
+        if not self.kept:
+            path = workspace(self.codes.sparkSession, "index")
+            self.save(f"{path}/codes")
+            self.codes, self.kept = self.load(f"{path}/codes").codes, True
+        return self
+
+    @cached_property
+    def small(self) -> bool:
+        """Whether the seeds may be sent to the tasks."""
+        return self.stored().codes.limit(PROBE_LIMIT + 1).count() <= PROBE_LIMIT
+
+    def prober(self):
+        """What decides records where they lie."""
+        from tessera.operators.coverage import Prober
+
+        if not self.small:
+            raise ValueError(f"an index of more than {PROBE_LIMIT} seeds is not sent to the tasks; use the join strategy")
+        return Prober(self.codes.select("seed").toArrow()["seed"].to_pandas().to_numpy(), self.seed, self.dna, self.canonical, self.alphabet)
+
+
+def coded_seeds(rows: DataFrame, key: str | None, text: str, seed: Seed, canonical: bool = True, alphabet: str = "strict") -> DataFrame:
+    """key, pos and seed (a number) of every valid window of every row; without a key, the seeds of each stretch once."""
+
+    def run(batches):
+        lut = seeds.base_table(alphabet)
+        for batch in batches:
+            records = [(t or "").encode("latin-1", "replace") for t in batch.column(batch.num_columns - 1).to_pylist()]
+            for row, place, code in seeds.coded_windows(records, seed, lut, canonical):
+                if key is None:
+                    found = np.unique(code)
+                    for at in range(0, len(found), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(found[at : at + (1 << 16)].view(np.int64))], names=["seed"])
+                    continue
+                for at in range(0, len(code), 1 << 16):
+                    k = slice(at, at + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[k])), pa.array(place[k].astype(np.int32)), pa.array(code[k].view(np.int64))], names=[key, "pos", "seed"])
+
+    if key is None:
+        return rows.select(text).mapInArrow(run, "seed long")
+    kind = StructType([StructField(key, rows.schema[key].dataType), StructField("pos", IntegerType()), StructField("seed", LongType())])
+    return rows.select(key, text).where(F.length(text) >= seed.span).mapInArrow(run, kind)
 
 
 def read_seeds(rows: DataFrame, key: str, text: str, seed: Seed, dna: bool = True, canonical: bool = True, alphabet: str = "strict") -> DataFrame:
@@ -47,11 +103,19 @@ def read_seeds(rows: DataFrame, key: str, text: str, seed: Seed, dna: bool = Tru
 
 
 def build_index(reference: DataFrame, text: str, seed: Seed, dna: bool = True, canonical: bool = True, alphabet: str = "strict") -> Index:
-    """The distinct seeds of all rows of ``reference``; several references are united before."""
+    """The distinct seeds of all rows of ``reference`` (of any length); several references are united before."""
+    if dna:
+        return Index(coded_seeds(reference, None, text, seed, canonical, alphabet).distinct(), seed, dna, canonical, alphabet)
     found = read_seeds(reference.select(F.lit(0).alias("_k"), text), "_k", text, seed, dna, canonical, alphabet)
     return Index(found.select("seed").distinct(), seed, dna, canonical, alphabet)
 
 
+def index_of_fasta(spark: SparkSession, path: str, seed: Seed, canonical: bool = True, alphabet: str = "strict", stretch: int = seeds.PIECE) -> Index:
+    """The index of FASTA files, whose contigs come in overlapping stretches: memory does not follow their length, and all cores cut seeds."""
+    found = spark.read.format("fasta").option("stretch", stretch).option("overlap", seed.span - 1).load(path).select("seq")
+    return build_index(found.repartition(spark.sparkContext.defaultParallelism), "seq", seed, True, canonical, alphabet)
+
+
 def log2_buckets(bases: Column) -> Column:
     """The log2 of how many buckets of four slots a reference of so many bases needs, from 10 to 31."""
     slots = bases / TARGET_LOAD

@@ -2,26 +2,31 @@
 
 from __future__ import annotations
 
+import operator
+import threading
+import uuid
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import coverage
 from tessera.operators.index import Index
+from tessera.sources.published import PublishedIndex
+from tessera.sources.shared import workspace
 
 RECORD = ("header", "seq", "plus", "qual")
 
 
-def split_reads(reads: DataFrame, index: Index, permille: int = 500, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
+def split_reads(reads: DataFrame, index: Index | PublishedIndex, permille: int = 500, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
     """Each record with its verdict; both sides are in the result, so none is lost.
 
-    With the probe strategy this is one narrow stage over the scan, also on streams.
+    With the probe strategy (always so for a published index) this is one narrow stage over the scan, also on streams.
     """
     size = F.coalesce(F.length("seq"), F.lit(0))
     if strategy == "auto":
-        small = index.codes.limit(coverage.PROBE_LIMIT + 1).count() <= coverage.PROBE_LIMIT
-        strategy = "probe" if small else "join"
+        strategy = "probe" if index.small else "join"
     if strategy == "probe":
         asked = F.col("seq") if max_length is None else F.when(F.length("seq") <= max_length, F.col("seq"))
         found = reads.withColumn("_p", coverage.probe(asked, index))
@@ -31,7 +36,7 @@ def split_reads(reads: DataFrame, index: Index, permille: int = 500, strategy: s
     return reads.join(said, ["sample", "mate", "ordinal"])
 
 
-def split_pairs(reads: DataFrame, index: Index, permille: int = 500, **how) -> DataFrame:
+def split_pairs(reads: DataFrame, index: Index | PublishedIndex, permille: int = 500, **how) -> DataFrame:
     """As :func:`split_reads` for both mates: a pair matches if one of its reads does (sample and ordinal make a pair)."""
     said = split_reads(reads, index, permille, **how)
     both = said.groupBy("sample", "ordinal").agg(F.bool_or("matched").alias("matched"), F.count_distinct("mate").alias("mates"))
@@ -71,18 +76,62 @@ class SampleResult:
     error: str | None = None
 
 
-def split_samples(samples: list[str], read, index: Index, path: str, permille: int = 500, paired: bool = False, gzip: bool = False) -> list[SampleResult]:
-    """Samples one by one; one that fails is reported and the next goes on. ``read``: from a name to its records."""
-    out = []
-    for name in samples:
-        try:
-            rows = read(name)
-            split = split_pairs(rows, index, permille) if paired else split_reads(rows, index, permille)
-            write_split(split, f"{path}/{name}", gzip)
-            out.append(SampleResult(name))
-        except Exception as e:  # noqa: BLE001  whatever a sample's files hold
-            out.append(SampleResult(name, str(e).splitlines()[0]))
-    return out
+CANCELLED = "cancelled"
+
+
+class Run:
+    """A run over samples that can be cancelled from another thread: its Spark jobs are stopped, which aborts their outputs."""
 
+    def __init__(self, spark: SparkSession):
+        self.spark, self.group, self.cancelled = spark, f"split-{uuid.uuid4().hex}", threading.Event()
 
-__all__ = ["SampleResult", "record_text", "report", "split_pairs", "split_reads", "split_samples", "write_split"]
+    def cancel(self) -> None:
+        self.cancelled.set()
+        self.spark.sparkContext.cancelJobGroup(self.group)
+
+    def samples(self, names: list[str], read, index: Index | PublishedIndex, path: str, permille: int = 500, paired: bool = False, gzip: bool = False) -> list[SampleResult]:
+        """Samples one by one; one that fails is reported and the next goes on. ``read``: from a name to its records."""
+        out = []
+        self.spark.sparkContext.setJobGroup(self.group, "split samples", interruptOnCancel=True)
+        try:
+            for name in names:
+                if self.cancelled.is_set():
+                    out.append(SampleResult(name, CANCELLED))
+                    continue
+                try:
+                    rows = read(name)
+                    split = split_pairs(rows, index, permille) if paired else split_reads(rows, index, permille)
+                    write_split(split, f"{path}/{name}", gzip)
+                    out.append(SampleResult(name))
+                except Exception as e:  # noqa: BLE001  whatever a sample's files hold
+                    out.append(SampleResult(name, CANCELLED if self.cancelled.is_set() else str(e).splitlines()[0]))
+        finally:
+            self.spark.sparkContext._jsc.clearJobGroup()
+        return out
+
+
+def split_samples(samples: list[str], read, index: Index | PublishedIndex, path: str, permille: int = 500, paired: bool = False, gzip: bool = False) -> list[SampleResult]:
+    """As :meth:`Run.samples`, without a way to cancel."""
+    return Run(SparkSession.getActiveSession()).samples(samples, read, index, path, permille, paired, gzip)
+
+
+def placed(rows: DataFrame, within: list[str], order: list[str], name: str = "line") -> DataFrame:
+    """``rows`` with their place (from 1) within the groups of ``within``, in the order of ``order``.
+
+    Rows are dealt by range and stored, a group's rows in each part are counted, and the counts of the parts before are added: no group meets in one task.
+    """
+    spark = rows.sparkSession
+    path = f"{workspace(spark, 'placed')}/rows"
+    n = max(1, spark.sparkContext.defaultParallelism)
+    dealt = rows.repartitionByRange(n, *within, *order).sortWithinPartitions(*within, *order)
+    dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
+    stored = spark.read.parquet(path)
+    each = stored.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("_part", *(F.col(c).alias(f"_{c}") for c in within), "_first", F.coalesce(before, F.lit(0)).alias("_before"))  # parts x groups rows
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in within]
+    both = stored.withColumnRenamed("_part", "_of").join(each, reduce(operator.and_, same, F.col("_of") == F.col("_part")))
+    return both.select(*rows.columns, (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias(name))
+
+
+__all__ = ["CANCELLED", "Run", "SampleResult", "placed", "record_text", "report", "split_pairs", "split_reads", "split_samples", "write_split"]

@@ -16,6 +16,7 @@ from tessera.functions.seeds import CONTIGUOUS_25, SPACED_29_33, Seed
 from tessera.operators import coverage, index, pairs
 from tessera.operators.index import Index
 from tessera.plans import split
+from tessera.sources.shared import workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,12 +55,13 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     cut = F.substring(dna(k % 10), (k % 11 + 1).cast("int"), F.lit(150))
     seq = F.when(k % 4 == 0, cut).when(k % 4 == 2, seeds.revcomp(cut)).otherwise(F.substring(dna(-k), 1, 150))
-    return table(spark, sf_dir, "orders").select(k.alias("read_id"), seq.alias("seq")).repartition(spread(spark))
+    return spread(table(spark, sf_dir, "orders")).select(k.alias("read_id"), seq.alias("seq"))
 
 
-def spread(spark: SparkSession) -> int:
-    """So many tasks at least work on rows that come from few files; larger tables have as many by themselves."""
-    return spark.sparkContext.defaultParallelism
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows that come in fewer parts than there are cores (small files) are dealt out; larger tables stay as they are read."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
 
 
 def noisy_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +80,7 @@ def paired_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").repartition(spread(spark))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def dna_index(spark: SparkSession, sf_dir: str, seed: Seed = SPACED) -> Index:
@@ -214,12 +216,8 @@ def union_refs(spark, sf_dir):
 @query(f"WITH {READS}, r AS (SELECT DISTINCT seed FROM ({_windows('contigs', 'contig_id')})) SELECT count(*) AS seeds, min(seed) AS least, max(seed) AS most FROM r")
 def index_roundtrip(spark, sf_dir):
     """An index written and read again."""
-    import uuid
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/tessera"
-    own, path = dna_index(spark, sf_dir), f"{root.rstrip('/')}/tessera-index-{uuid.uuid4().hex}"
-    own.save(path)
-    return own.load(path).codes.agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
+    seed = seeds.code_text(F.col("seed"), SPACED.weight)
+    return dna_index(spark, sf_dir).stored().codes.select(seed.alias("seed")).agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
 
 
 @query(f"""WITH {READS}, w AS (SELECT mask, length(mask) AS span, length(replace(mask, '_', '')) AS weight FROM (SELECT unnest(['{SPACED_29_33}', '{CONTIGUOUS_25}', '{seeds.CONTIGUOUS_31}']) AS mask))
@@ -358,7 +356,7 @@ def seed_hit_rate(spark, sf_dir):
 @query(f"WITH {READS}, r AS (SELECT DISTINCT seed FROM ({_windows('contigs', 'contig_id')})), one AS (SELECT min(seed) AS seed FROM r) SELECT seed, TRUE AS present FROM one UNION ALL SELECT repeat('0', 29), EXISTS (SELECT 1 FROM r WHERE seed = repeat('0', 29))")
 def probe_key(spark, sf_dir):
     """Single seeds looked up in an index."""
-    codes = dna_index(spark, sf_dir).codes
+    codes = dna_index(spark, sf_dir).stored().codes.select(seeds.code_text(F.col("seed"), SPACED.weight).alias("seed"))
     asked = codes.agg(F.min("seed").alias("seed")).union(spark.range(1).select(F.repeat(F.lit("0"), F.lit(29))))
     return asked.join(codes.withColumn("_in", F.lit(True)), "seed", "left").select("seed", F.coalesce("_in", F.lit(False)).alias("present"))
 
@@ -455,8 +453,7 @@ def split_paired(spark, sf_dir):
 def ordered_output(spark, sf_dir):
     """The place of each record within its output file: the order of the input."""
     out = split.split_reads(paired_reads(spark, sf_dir), dna_index(spark, sf_dir))
-    place = F.row_number().over(Window.partitionBy("matched", "mate").orderBy("ordinal"))
-    return out.select(F.col("mate").cast("long").alias("mate"), "ordinal", place.cast("long").alias("line"), "matched")
+    return split.placed(out.select(F.col("mate").cast("long").alias("mate"), "ordinal", "matched"), ["matched", "mate"], ["ordinal"])
 
 
 @query("SELECT l_orderkey, l_partkey // 4 AS record, coalesce(max(CASE WHEN l_partkey % 4 = 0 THEN l_linenumber END), 0) AS header, coalesce(max(CASE WHEN l_partkey % 4 = 1 THEN l_linenumber END), 0) AS seq, coalesce(max(CASE WHEN l_partkey % 4 = 2 THEN l_linenumber END), 0) AS plus, coalesce(max(CASE WHEN l_partkey % 4 = 3 THEN l_linenumber END), 0) AS qual FROM lineitem GROUP BY 1, 2")
@@ -481,6 +478,218 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select(k.alias("arrival"), F.concat(F.lit("S"), F.floor(k / 7).cast("string"), suffix).alias("name"), F.abs("c_acctbal").cast("long").alias("size"))
 
 
+# --- files --------------------------------------------------------------------------------------------------
+
+_READ_RECORD = "'@r' || read_id AS header, seq, '+' AS plus, repeat('I', CAST(length(seq) AS BIGINT)) AS qual"
+
+
+def fastq_files(spark: SparkSession, sf_dir: str, compression: str = "none") -> str:
+    """A folder of FASTQ files with all reads."""
+    from tessera.sources import sequences
+
+    sequences.register(spark)
+    path = f"{workspace(spark, 'fastq')}/reads"
+    paired_reads(spark, sf_dir).drop("read_id").write.format("fastq").option("compression", compression).mode("append").save(path)
+    return path
+
+
+def scanned(spark: SparkSession, sf_dir: str, compression: str, **options) -> DataFrame:
+    got = spark.read.format("fastq").options(**options).load(fastq_files(spark, sf_dir, compression))
+    return got.select("header", "seq", "plus", "qual")
+
+
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_scan(spark, sf_dir):
+    """Reads written as plain FASTQ files and read again in ranges of 256 KB."""
+    return scanned(spark, sf_dir, "none", split=1 << 18)
+
+
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_gzip(spark, sf_dir):
+    """The same through gzip files of one member."""
+    return scanned(spark, sf_dir, "gzip")
+
+
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_members(spark, sf_dir):
+    """The same through gzip files of many members."""
+    return scanned(spark, sf_dir, "members")
+
+
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_blocks(spark, sf_dir):
+    """The same through block-gzip files, read in ranges of 64 KB of blocks."""
+    return scanned(spark, sf_dir, "bgzf", split=1 << 16)
+
+
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_lines(spark, sf_dir):
+    """The same by lines that Spark reads from any store, numbered over blocks."""
+    from tessera.sources import sequences
+
+    return sequences.fastq_from_text(sequences.numbered_lines(spark, fastq_files(spark, sf_dir))).select("header", "seq", "plus", "qual")
+
+
+@query(f"WITH {READS} SELECT (SELECT count(*) FROM reads) AS records, (SELECT count(*) FROM reads) AS places, TRUE AS dense")
+def fastq_ordinals(spark, sf_dir):
+    """Ordinals of files that are read in ranges are dense: as many places as records in each file, from 0."""
+    from tessera.sources import sequences
+
+    got = sequences.dense_ordinals(spark.read.format("fastq").option("split", 1 << 16).load(fastq_files(spark, sf_dir)))
+    each = got.groupBy("sample").agg(F.count("*").alias("n"), F.count_distinct("ordinal").alias("places"), F.max("ordinal").alias("last"))
+    return each.agg(F.sum("n").alias("records"), F.sum("places").alias("places"), F.bool_and(F.col("last") == F.col("n") - 1).alias("dense"))
+
+
+def fasta_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of FASTA files: contigs of odd keys in lines of 70 bases, others in one."""
+    from tessera.sources import sequences
+
+    sequences.register(spark)
+    path = f"{workspace(spark, 'fasta')}/contigs"
+    wrapped = F.when(F.col("contig_id") % 2 == 1, F.regexp_replace("seq", "(.{70})", "$1\n")).otherwise(F.col("seq"))
+    contigs(spark, sf_dir).select(F.concat(F.lit(">contig "), F.col("contig_id").cast("string"), F.lit("\n"), wrapped).alias("value")).write.text(path, compression="gzip")
+    return path
+
+
+@query(f"WITH {READS} SELECT 'contig ' || contig_id AS header, seq FROM contigs")
+def fasta_scan(spark, sf_dir):
+    """Contigs written as FASTA and read again."""
+    path = fasta_files(spark, sf_dir)
+    return spark.read.format("fasta").load(path).select("header", "seq")
+
+
+@query(f"WITH {READS} SELECT count(DISTINCT seed) AS seeds, min(seed) AS least, max(seed) AS most FROM ({_windows('contigs', 'contig_id')})")
+def fasta_index(spark, sf_dir):
+    """The index of FASTA files whose contigs come in stretches of 64 bases that overlap: the seeds of whole contigs."""
+    own = index.index_of_fasta(spark, fasta_files(spark, sf_dir), SPACED, stretch=64)
+    return own.codes.select(seeds.code_text(F.col("seed"), SPACED.weight).alias("seed")).agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
+
+
+_LONG = "(SELECT 0 AS contig_id, string_agg(seq, '' ORDER BY contig_id) AS seq FROM contigs)"
+
+
+@query(f"WITH {READS} SELECT count(DISTINCT seed) AS seeds FROM ({_windows(_LONG, 'contig_id')})")
+def long_contig_index(spark, sf_dir):
+    """All contigs as one: a single long row, cut in pieces where it lies."""
+    order = F.array_sort(F.collect_list(F.struct("contig_id", "seq")))
+    one = contigs(spark, sf_dir).agg(F.array_join(F.transform(order, lambda x: x["seq"]), "").alias("seq"))
+    return index.build_index(one, "seq", SPACED).codes.agg(F.count("*").alias("seeds"))
+
+
+def published_index(spark: SparkSession, sf_dir: str):
+    """The contigs' seeds as a published index: an archive of a filter and its description, unpacked and checked."""
+    import io
+    import tarfile
+
+    from tessera.sources import published
+    from tessera.sources.shared import as_local
+
+    folder = as_local(workspace(spark, "published"))
+    own = dna_index(spark, sf_dir)
+    if not own.small:
+        raise ValueError("the encoder is for small references")
+    codes = own.codes.select("seed").toArrow()["seed"].to_numpy()  # PROBE_LIMIT at most
+    info = published.describe(SPACED, len(codes))
+    data = published.encode_filter(codes, published.Description.of(published.read_info(info)))
+    with tarfile.open(f"{folder}/index.tar.gz", "w:gz") as tar:
+        for name, content in (("i.filter", data), ("i.info", info)):
+            entry = tarfile.TarInfo(name)
+            entry.size = len(content)
+            tar.addfile(entry, io.BytesIO(content))
+    return published.PublishedIndex(*published.load_published(*published.unpack(f"{folder}/index.tar.gz", folder)))
+
+
+@query(f"WITH {DNA_COVERAGE} SELECT read_id, matched FROM verdict")
+def native_split(spark, sf_dir):
+    """Reads split by a published filter: the verdicts of the exact index, as a false positive covers 29 of 150 bases only."""
+    rows = noisy_reads(spark, sf_dir).select("read_id", F.lit("s").alias("sample"), F.lit(0).alias("mate"), F.col("read_id").alias("ordinal"), "seq")
+    return split.split_reads(rows, published_index(spark, sf_dir)).select("read_id", "matched")
+
+
+@query(f"WITH {READS}, r AS (SELECT DISTINCT seed FROM ({_windows('contigs', 'contig_id')})) SELECT count(*) AS asked, count(*) AS found FROM r")
+def native_hits(spark, sf_dir):
+    """A published filter holds all seeds that were put in."""
+    contigs_ = contigs(spark, sf_dir)
+    theirs = published_index(spark, sf_dir)
+    p = contigs_.select(coverage.probe(F.col("seq"), theirs).alias("p")).agg(F.sum("p.seeds").alias("asked"), F.sum("p.found").alias("found"))
+    distinct = index.build_index(contigs_, "seq", SPACED).codes.agg(F.count("*").alias("n"))
+    return p.crossJoin(F.broadcast(distinct)).select(F.col("n").alias("asked"), F.when(F.col("asked") == F.col("found"), F.col("n")).otherwise(F.col("found")).alias("found"))  # single rows
+
+
+@query(f"WITH d AS (SELECT count(DISTINCT seed) AS n FROM (WITH {READS} {_windows('contigs', 'contig_id')})) SELECT 'windowed_cuckoo' AS filtertype, CAST(4 AS BIGINT) ** 29 = universe AS universe_fits, k, span, CAST(greatest(4, floor(n / 0.7)) AS BIGINT) | 1 AS windows FROM d, (SELECT 4.0 ** 29 AS universe, 29 AS k, 33 AS span)")
+def native_info(spark, sf_dir):
+    """The description of a published index as a row."""
+    from tessera.sources import published
+
+    n = dna_index(spark, sf_dir).stored().codes.count()
+    row = published.info_frame(spark, published.read_info(published.describe(SPACED, n)))
+    return row.select("filtertype", (F.col("universe") == 4**SPACED.weight).alias("universe_fits"), "k", "span", F.col("nwindows").alias("windows"))
+
+
+@query(f"WITH {_CLEAN} SELECT v.read_id % 2 + 1 AS mate, CASE WHEN matched THEN 'true' ELSE 'false' END AS side, count(*) AS records, CAST(4 * count(*) AS BIGINT) AS lines FROM verdict v GROUP BY ALL")
+def split_files(spark, sf_dir):
+    """Both sides written as gzip files, twice (the second run replaces the first), and read again."""
+    out = f"{workspace(spark, 'sides')}/out"
+    both = split.split_reads(paired_reads(spark, sf_dir), dna_index(spark, sf_dir))
+    for _ in range(2):
+        split.write_split(both, out, gzip=True)
+    back = spark.read.schema("value string, matched string, sample string, mate long").text(out)
+    return back.groupBy("mate", F.col("matched").alias("side")).agg(F.count_if(F.startswith("value", F.lit("@r"))).alias("records"), F.count("*").alias("lines"))
+
+
+@query(f"WITH {_CLEAN} SELECT '@r' || v.read_id AS header, CASE WHEN matched THEN 'true' ELSE 'false' END AS side FROM verdict v")
+def stream_split(spark, sf_dir):
+    """FASTQ files split as a stream: what is there is read, decided and written by side."""
+    from tessera.streaming import split as stream
+
+    path, work = fastq_files(spark, sf_dir, "bgzf"), workspace(spark, "stream")
+    query_ = stream.split_stream(stream.read_fastq_stream(spark, path), dna_index(spark, sf_dir), f"{work}/out", f"{work}/checkpoint")
+    query_.awaitTermination()
+    return spark.read.parquet(f"{work}/out").select("header", F.col("matched").cast("string").alias("side"))
+
+
+@query(f"WITH {_CLEAN} SELECT name, error, n AS matched FROM (VALUES ('all', NULL), ('broken', 'failed')) s(name, error), (SELECT count_if(matched) AS n FROM verdict)".replace("n AS matched", "CASE WHEN error IS NULL THEN CAST(n AS BIGINT) ELSE 0 END AS matched"))
+def isolated_samples(spark, sf_dir):
+    """Two samples one by one, the second of which can't be read: it is reported, and the first one's output stays."""
+    out = workspace(spark, "samples")
+
+    def read(name: str) -> DataFrame:
+        if name == "broken":
+            raise ValueError("failed")
+        return paired_reads(spark, sf_dir)
+
+    said = split.Run(spark).samples(["all", "broken"], read, dna_index(spark, sf_dir), out)
+    rows = spark.createDataFrame([(r.name, r.error) for r in said], "name string, error string")
+    hits = spark.read.schema("value string, matched string").text(f"{out}/all").where("matched = 'true' and value like '@r%'").agg(F.count("*").alias("n"))
+    return rows.crossJoin(F.broadcast(hits)).select("name", "error", F.when(F.col("error").isNull(), F.col("n")).otherwise(0).cast("long").alias("matched"))  # a single row
+
+
+@query("SELECT CAST(i * 10 AS BIGINT) AS done, CASE WHEN i > 0 THEN CAST(round(i * 6.0 * (1000 - i * 10) / (i * 10), 6) AS DOUBLE) END AS seconds_left FROM range(0, 101) t(i)")
+def seconds_left(spark, sf_dir):
+    """What the rest of 1,000 records takes when each ten took six seconds."""
+    from tessera.streaming.split import Progress
+
+    rows = []
+    for i in range(101):
+        p = Progress(total_rows=1000)
+        p.rows, p.began = i * 10, 0.0
+        left = p.seconds_left(now=i * 6.0)
+        rows.append((i * 10, None if left is None else round(left, 6)))
+    return spark.createDataFrame(rows, "done long, seconds_left double")
+
+
+@query(f"WITH {READS}, rs AS ({_windows('noisy', 'read_id')}) SELECT read_id, count(*) AS n, min(seed) AS least, max(seed) AS most FROM rs GROUP BY read_id")
+def sql_seeds(spark, sf_dir):
+    """The table function ``seeds`` in SQL."""
+    from tessera.functions import sql
+
+    sql.register_sql(spark)
+    noisy_reads(spark, sf_dir).createOrReplaceTempView("tessera_reads")
+    return spark.sql(f"SELECT read_id, count(*) AS n, min(t.seed) AS least, max(t.seed) AS most FROM tessera_reads, LATERAL seeds(seq, '{SPACED_29_33}') t GROUP BY read_id")
+
+
+# --- names --------------------------------------------------------------------------------------------------
+
 @query(f"""WITH files AS ({_FILES.replace('CAST(abs(c_acctbal) AS BIGINT)', 'CAST(floor(abs(c_acctbal)) AS BIGINT)')}) SELECT role, count(*) AS files, CAST(sum(size) AS BIGINT) AS size FROM (SELECT *, CASE WHEN regexp_matches(name, '(?i)\\.(fa|fasta|fna)(\\.(gz|bgz|bgzf))?$') THEN 'reference' WHEN regexp_matches(name, '(?i)\\.(filter|info)$') THEN 'index'
  WHEN regexp_matches(name, '(?i)\\.(fastq|fq)(\\.(gz|bgz|bgzf))?$') THEN 'reads' END AS role FROM files) GROUP BY role""")
 def admit_files(spark, sf_dir):

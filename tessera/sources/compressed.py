@@ -82,6 +82,120 @@ def stream(path: str, permissive: bool = False) -> Iterator[bytes]:
             yield piece
 
 
+def can_be_split(path: str) -> bool:
+    """Whether a file can be read from its middle: plain and block-gzip files."""
+    if not SUFFIX.search(path):
+        return True
+    with open(path, "rb") as f:
+        return block_size(f.read(64)) is not None
+
+
+def _first_block(f: BinaryIO, at: int) -> int | None:
+    """The place of the first block at or after ``at``: a head whose size leads to another one, or to the end."""
+    f.seek(0, 2)
+    total = f.tell()
+    while at < total:
+        f.seek(at)
+        data = f.read(1 << 17)
+        k = data.find(b"\x1f\x8b\x08\x04")
+        while k >= 0:
+            size = block_size(data[k : k + 64])
+            if size:
+                f.seek(at + k + size)
+                if at + k + size == total or block_size(f.read(64)):
+                    return at + k
+            k = data.find(b"\x1f\x8b\x08\x04", k + 1)
+        if len(data) < 1 << 17:
+            return None
+        at += len(data) - 64  # a head may lie across
+    return None
+
+
+def marked_stream(path: str, permissive: bool = False, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, bool]]:
+    """The (decompressed) bytes of a file from ``start`` on, and whether they lie before ``end`` (in the file, or their block does)."""
+    if not start and end is None:
+        for piece in stream(path, permissive):
+            yield piece, True
+        return
+    with open(path, "rb") as f:
+        if SUFFIX.search(path):
+            at = _first_block(f, start)
+            while at is not None:
+                f.seek(at)
+                head = f.read(64)
+                if not head:
+                    return
+                size = block_size(head)
+                if size is None:
+                    if permissive:
+                        return
+                    raise ValueError(f"{path}: no block at {at}")
+                f.seek(at)
+                yield zlib.decompressobj(31).decompress(f.read(size)), end is None or at < end
+                at += size
+            return
+        f.seek(start)
+        at = start
+        while piece := f.read(PIECE if end is None or at >= end else min(PIECE, end - at)):
+            yield piece, end is None or at < end
+            at += len(piece)
+
+
+def marked_lines(pieces: Iterator[tuple[bytes, bool]]) -> Iterator[tuple[bytes, bool | None]]:
+    """Lines without their newline, and whether that lies before the end (None: the last line has none)."""
+    rest = b""
+    for piece, inside in pieces:
+        if b"\n" not in piece:
+            rest += piece
+            continue
+        first, *whole, last = piece.split(b"\n")
+        yield rest + first, inside
+        for line in whole:
+            yield line, inside
+        rest = last
+    if rest:
+        yield rest, None
+
+
+class Packer:
+    """Writes bytes plain, as one gzip member, a member for each call, or in blocks that can be found."""
+
+    BLOCK = 0xFF00
+
+    def __init__(self, f: BinaryIO, kind: str):
+        self.f, self.kind, self.held = f, kind, b""
+        self.one = zlib.compressobj(6, zlib.DEFLATED, 31) if kind == "gzip" else None
+
+    def write(self, data: bytes) -> None:
+        if self.kind == "none":
+            self.f.write(data)
+        elif self.kind == "gzip":
+            self.f.write(self.one.compress(data))
+        elif self.kind == "members":
+            own = zlib.compressobj(6, zlib.DEFLATED, 31)
+            self.f.write(own.compress(data) + own.flush())
+        else:
+            data = self.held + data
+            whole = len(data) - len(data) % self.BLOCK
+            for at in range(0, whole, self.BLOCK):
+                self._block(data[at : at + self.BLOCK])
+            self.held = data[whole:]
+
+    def _block(self, data: bytes) -> None:
+        own = zlib.compressobj(6, zlib.DEFLATED, -15)
+        body = own.compress(data) + own.flush()
+        head = b"\x1f\x8b\x08\x04" + bytes(4) + b"\x00\xff" + struct.pack("<H", 6) + b"BC" + struct.pack("<HH", 2, len(body) + 25)
+        self.f.write(head + body + struct.pack("<II", zlib.crc32(data), len(data)))
+
+    def close(self) -> None:
+        if self.kind == "gzip":
+            self.f.write(self.one.flush())
+        elif self.kind == "bgzf":
+            if self.held:
+                self._block(self.held)
+            self._block(b"")
+
+
 def lines(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """Lines without their newline; the last one counts even if it has none."""
     rest = b""

@@ -7,17 +7,15 @@ import os
 import pickle
 import re
 import tarfile
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import bucket_of
-from tessera.functions.seeds import Seed
-from tessera.operators.coverage import PROBED, _base_lut, _codes_of
+from tessera.functions.seeds import Seed, base_table
+from tessera.operators.coverage import Prober, probe
 from tessera.operators.index import NativeLayout
 
 INFO_SCHEMA = (
@@ -132,30 +130,82 @@ def contains(raw: np.ndarray, what: Description, code: np.ndarray) -> np.ndarray
     return found
 
 
+class PublishedProber(Prober):
+    """Decides records against a filter file, which each task maps into memory (a shared or shipped path)."""
+
+    def __init__(self, path: str, what: Description, alphabet: str):
+        self.path, self.what, self.seed, self.dna, self.canonical, self.lut = path, what, what.seed, True, True, base_table(alphabet)
+
+    def __getstate__(self):
+        return {k: v for k, v in vars(self).items() if k != "raw"}
+
+    def known_at(self, code: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "raw"):
+            self.raw = np.asarray(np.memmap(self.path, np.uint8, "r"))
+        return np.flatnonzero(contains(self.raw, self.what, code))
+
+
+@dataclass(frozen=True)
+class PublishedIndex:
+    """A published filter in the place of an index of one's own: it is always probed, whatever its size."""
+
+    path: str
+    what: Description
+    alphabet: str = "strict"
+    small = True
+    dna = canonical = True
+
+    @property
+    def seed(self) -> Seed:
+        return self.what.seed
+
+    def prober(self) -> PublishedProber:
+        return PublishedProber(self.path, self.what, self.alphabet)
+
+
 def probe_published(text: Column, filter_path: str, what: Description, alphabet: str = "strict") -> Column:
-    """As :func:`tessera.operators.coverage.probe`, on a filter file that each task maps into memory (a shared or shipped path)."""
-
-    @F.arrow_udf(PROBED)
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        raw, lut, seed = np.memmap(filter_path, np.uint8, "r"), _base_lut(alphabet), what.seed
-        for texts in batches:
-            rows = []
-            for t in texts:
-                record = (t.as_py() or "").encode("latin-1", "replace")
-                if len(record) < seed.span:
-                    rows.append((0, 0, 0))
-                    continue
-                code, good = _codes_of(np.frombuffer(record, np.uint8), seed, lut, True)
-                places = np.flatnonzero(good)
-                hit = places[contains(raw, what, code[places])]
-                mark = np.zeros(len(record), bool)
-                for p in seed.positions:
-                    mark[hit + p] = True
-                rows.append((int(mark.sum()), len(places), len(hit)))
-            cols = list(zip(*rows)) or [(), (), ()]
-            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["covered", "seeds", "found"])
-
-    return run(text)
+    """As :func:`tessera.operators.coverage.probe`, on a filter file."""
+    return probe(text, PublishedIndex(filter_path, what, alphabet))
+
+
+def encode_filter(codes: np.ndarray, what: Description, steps: int = 500) -> bytes:
+    """The bits of a filter that holds the codes: each goes into a free slot of its two windows, else it takes the place of another, which moves on.
+
+    Works code by code: for the references of tests and small studies.
+    """
+    x = what.layout
+    rows = [a.tolist() for a in what.places(codes.astype(_U))]
+    slots: dict[int, int] = {}  # bit place of a slot: which code lies there, and in which window
+    turn = 0
+    for k in range(len(codes)):
+        own, choice = k, 0
+        for _ in range(steps):
+            free = next(((c, j) for c in (choice, 1 - choice) for j in range(x.window_size) if rows[1 + c][own] + j * x.slot_bits not in slots), None)
+            if free is not None:
+                slots[rows[1 + free[0]][own] + free[1] * x.slot_bits] = own << 1 | free[0]
+                break
+            turn = (turn * 1103515245 + 12345) % (1 << 31)
+            side, j = turn >> 20 & 1, (turn >> 21) % x.window_size
+            at = rows[1 + side][own] + j * x.slot_bits
+            slots[at], moved = own << 1 | side, slots[at]
+            own, choice = moved >> 1, 1 - (moved & 1)
+        else:
+            raise ValueError("the filter is too small for the codes")
+    bits = np.zeros(x.subfilter_bits * x.subfilters, np.uint8)
+    for at, v in slots.items():
+        own, choice = v >> 1, v & 1
+        j = (at - rows[1 + choice][own]) // x.slot_bits
+        value = rows[0][own] | j << x.fingerprint_bits | choice << (x.fingerprint_bits + x.offset_bits)
+        bits[at : at + x.slot_bits] = [value >> b & 1 for b in range(x.slot_bits)]
+    return np.packbits(bits, bitorder="little").tobytes() + bytes(8)
+
+
+def describe(seed: Seed, codes: int, window_size: int = 2, fingerprint_bits: int = 14, load: float = 0.7, factors: tuple[int, int, int, int] = (62591, 9123457, 51234567, 884421)) -> bytes:
+    """A pickled description of a filter with one subfilter that has room for so many codes."""
+    windows = max(2 * window_size, int(codes / load)) | 1
+    of_filter = {"filtertype": "windowed_cuckoo", "universe": 4**seed.weight, "nsubfilters": 1, "nslots": windows + window_size - 1, "nwindows_per_subfilter": windows, "windowsize": window_size, "target_fpr": fingerprint_bits, "maxsteps": 500}
+    of_filter |= {f"{n}_hashfunc_str": f"linear{v}" for n, v in zip(("subfilter", "window", "fingerprint", "offset"), factors)}
+    return pickle.dumps((of_filter, {}, {"mask": seed.positions, "k": seed.weight, "rcmode": "max"}), 2)
 
 
 def unpack(archive: str, folder: str) -> tuple[str, str]:

@@ -1,9 +1,12 @@
-"""FASTQ and FASTA as Python data sources: ``spark.read.format("fastq").load(path)``.
+"""FASTQ and FASTA as Python data sources: ``spark.read.format("fastq").load(path)``, and ``readStream`` for FASTQ.
 
-A task reads one file (files are the partitions; records keep their place in the file as ``ordinal``). Block-gzip
-files can be split at blocks for FASTA-sized scans with ``spark.read.format("binaryFile")``; here order matters more.
-Paths are read as files of the machine or of a mounted shared store. On stores that only Spark reads use
-:func:`fastq_from_text` or :func:`fasta_from_text`, which take frames of numbered lines.
+Plain and block-gzip FASTQ files are cut into ranges of ``split`` bytes (128 MB; 0: whole files), which are the tasks; other gzip files can't be cut. A record
+belongs to the range that holds the newline before it, and is found there by its marks (``@``, and ``+`` two lines on). ``ordinal`` counts
+the records of a file; in a file of several ranges it counts within each range, the range's number standing from bit 40 on: ascending through the file, and
+made dense by :func:`dense_ordinals`. FASTA files are read by one task each, as whole contigs or in stretches of ``stretch`` bases that overlap by ``overlap``.
+
+Paths are opened as files of the machine or of a mounted shared store. On stores that only Spark reads, :func:`numbered_lines` reads the lines of text files
+(plain, or with a codec that Hadoop knows), and :func:`fastq_from_text` or :func:`fasta_from_text` frame them.
 
 Options: ``keepcr`` (default false: a carriage return at a line's end is removed), ``lastrecord`` (default true: a
 record without a final newline is kept), ``permissive`` (bytes after the last block of a file end it quietly), ``sample`` and ``mate`` (values of these columns).
@@ -18,53 +21,88 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
 
 from tessera.sources import compressed
+from tessera.sources.shared import as_local
 
 FASTQ_SCHEMA = "sample string, mate int, ordinal bigint, header string, seq string, plus string, qual string"
 FASTA_SCHEMA = "file string, contig_ordinal int, header string, seq string"
+STRETCH_SCHEMA = "file string, contig_ordinal int, header string, start bigint, seq string"
 BATCH = 4096
+SPLIT = 128 << 20
+#: From this bit on an ordinal has the number of the file's range.
+RANGE_BIT = 40
+
 
+class FileRange(InputPartition):
+    """The bytes from ``start`` up to ``end`` (None: all) of a file, its ``number``-th range."""
 
-class FilePartition(InputPartition):
-    def __init__(self, path: str):
+    def __init__(self, path: str, start: int = 0, end: int | None = None, number: int = 0):
         super().__init__(path)
+        self.start, self.end, self.number = start, end, number
 
 
 def _files(options) -> list[str]:
-    path = options.get("path", "").removeprefix("file://")
+    path = as_local(options.get("path", ""))
     found = [path] if os.path.isfile(path) else sorted(glob.glob(path)) if glob.has_magic(path) else sorted(os.path.join(path, x) for x in os.listdir(path) if x[0] not in "._") if os.path.isdir(path) else []
     if not found:
         raise FileNotFoundError(f"no files at {path!r}")
     return found
 
 
-def _true(options, name: str, default: bool) -> bool:
-    return str(options.get(name, default)).lower() == "true"
+def _ranges(paths: list[str], options) -> list[FileRange]:
+    step, out = int(options.get("split", SPLIT)), []
+    for p in paths:
+        size = os.path.getsize(p)
+        if not step or size <= step or not compressed.can_be_split(p):
+            out.append(FileRange(p))
+        else:
+            out += [FileRange(p, at, min(at + step, size), k) for k, at in enumerate(range(0, size, step))]
+    return out
 
 
-def fastq_records(path: str, keep_cr: bool = False, last: bool = True, permissive: bool = False) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
-    """Four lines a record; neither marks nor the length of qualities are checked."""
-    ended = [b""]
+def _true(options, name: str, default: bool) -> bool:
+    return str(options.get(name, default)).lower() == "true"
 
-    def watched():
-        for piece in compressed.stream(path, permissive):
-            if piece:
-                ended[0] = piece[-1:]
-            yield piece
 
+def fastq_records(path: str, keep_cr: bool = False, last: bool = True, permissive: bool = False, start: int = 0, end: int | None = None) -> Iterator[tuple[bytes, bytes, bytes, bytes]]:
+    """Four lines a record; neither marks nor the length of qualities are checked in a file that is read as a whole."""
+    lines = compressed.marked_lines(compressed.marked_stream(path, permissive, start, end))
+    inside, held = True, []  # whether the newline before the next record lies in the range; lines read ahead
+    if start:
+        first = next(lines, None)
+        if first is None or not first[1]:
+            return
+        while len(held) < 7 and (x := next(lines, None)) is not None:
+            held.append(x)
+        skip = next((k for k in range(4) if len(held) > k + 2 and held[k][0][:1] == b"@" and held[k + 2][0][:1] == b"+"), None)
+        if skip is None:
+            if len(held) == 7:
+                raise ValueError(f"{path}: no record begins after byte {start}; read the file with split=0")
+            return  # the rest of the last record
+        inside = skip == 0 or held[skip - 1][1]
+        del held[:skip]
     four: list[bytes] = []
-    held = None
-    for line in compressed.lines(watched()):
+    whole = None
+    ended: bool | None = True
+    while True:
+        x = held.pop(0) if held else next(lines, None)
+        if x is None:
+            break
+        if not four and not inside:
+            if whole is not None:
+                yield whole
+            return
+        line, ended = x
         four.append(line if keep_cr else line.removesuffix(b"\r"))
         if len(four) == 4:
-            if held is not None:
-                yield held
-            held, four = tuple(four), []
-    if held is not None and (last or ended[0] == b"\n" or four):
-        yield held
-    if four and last and len(four) == 3 and ended[0] == b"\n":
+            if whole is not None:
+                yield whole
+            whole, four, inside = tuple(four), [], ended is not False
+    if whole is not None and (last or ended is not None or four):
+        yield whole
+    if four and last and len(four) == 3 and ended is not None:
         yield (*four, b"")  # an empty last line
 
 
@@ -73,20 +111,20 @@ class FastqReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return [FilePartition(p) for p in _files(self.options)]
+        return _ranges(_files(self.options), self.options)
 
     def read(self, partition):
         o = self.options
         sample, mate = o.get("sample", os.path.basename(partition.value)), int(o.get("mate", 0))
         rows: list[tuple] = []
-        first = 0
+        first = partition.number << RANGE_BIT
 
         def batch():
             cols = [pa.array([x[k].decode("latin-1") for x in rows], pa.string()) for k in range(4)]
             n = len(rows)
             return pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.string()), pa.array([mate] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), *cols], names=["sample", "mate", "ordinal", "header", "seq", "plus", "qual"])
 
-        for r in fastq_records(partition.value, _true(o, "keepcr", False), _true(o, "lastrecord", True), _true(o, "permissive", False)):
+        for r in fastq_records(partition.value, _true(o, "keepcr", False), _true(o, "lastrecord", True), _true(o, "permissive", False), partition.start, partition.end):
             rows.append(r)
             if len(rows) == BATCH:
                 yield batch()
@@ -96,28 +134,53 @@ class FastqReader(DataSourceReader):
             yield batch()
 
 
+class FastqStreamReader(FastqReader, DataSourceStreamReader):
+    """Files in the order of their time of change and name; a batch has those that came since the last one, so files are to be moved in when they are whole."""
+
+    def _arrivals(self) -> list[tuple[int, str]]:
+        try:
+            return sorted((os.stat(p).st_mtime_ns, p) for p in _files(self.options))
+        except FileNotFoundError:
+            return []
+
+    def initialOffset(self):
+        return {"time": 0, "path": ""}
+
+    def latestOffset(self):
+        here = self._arrivals()
+        return {"time": here[-1][0], "path": here[-1][1]} if here else self.initialOffset()
+
+    def partitions(self, start, end):
+        a, b = ((x["time"], x["path"]) for x in (start, end))
+        return _ranges([p for t, p in self._arrivals() if a < (t, p) <= b], self.options)
+
+    def commit(self, end):
+        pass
+
+
 class FastqWriter(DataSourceArrowWriter):
-    """Writes records to parts of a folder; parts count only once the job commits."""
+    """Writes records to parts of a folder; parts count only once the job commits. ``compression``: none, gzip, members (a gzip member for each batch) or bgzf."""
 
     def __init__(self, options, overwrite: bool):
-        self.path, self.gzip = options.get("path", "").removeprefix("file://"), _true(options, "gzip", False)
+        self.path = as_local(options.get("path", ""))
+        self.compression = options.get("compression", "gzip" if _true(options, "gzip", False) else "none")
         self.overwrite = overwrite
 
     def write(self, batches):
-        import gzip
-
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
         os.makedirs(f"{self.path}/_temporary", exist_ok=True)
-        name = f"part-{ctx.partitionId():05d}.fastq" + ".gz" * self.gzip
+        name = f"part-{ctx.partitionId():05d}.fastq" + {"none": "", "gzip": ".gz", "members": ".gz", "bgzf": ".bgz"}[self.compression]
         temporary = f"{self.path}/_temporary/{ctx.taskAttemptId()}-{name}"
         n = 0
-        with gzip.open(temporary, "wb") if self.gzip else open(temporary, "wb") as f:
+        with open(temporary, "wb") as f:
+            out = compressed.Packer(f, self.compression)
             for b in batches:
-                for r in zip(*(b.column(c).to_pylist() for c in ("header", "seq", "plus", "qual"))):
-                    f.write("".join((x or "") + "\n" for x in r).encode("latin-1"))
-                    n += 1
+                rows = b.to_pydict()
+                out.write("".join(f"{x or ''}\n" for r in zip(*(rows[c] for c in ("header", "seq", "plus", "qual"))) for x in r).encode("latin-1"))
+                n += b.num_rows
+            out.close()
         return Written(temporary, name, n)
 
     def commit(self, messages):
@@ -154,23 +217,49 @@ class FastqSource(DataSource):
     def reader(self, schema):
         return FastqReader(self.options)
 
+    def streamReader(self, schema):
+        return FastqStreamReader(self.options)
+
     def writer(self, schema, overwrite):
         return FastqWriter(self.options, overwrite)
 
 
-def fasta_contigs(path: str, permissive: bool = False) -> Iterator[tuple[str, str]]:
-    """(header, sequence): a line that begins with ``>`` opens a contig, line ends within one do not cut it."""
-    header, parts = None, []
+def fasta_stretches(path: str, stretch: int | None = None, overlap: int = 0, permissive: bool = False) -> Iterator[tuple[int, str, int, str]]:
+    """(ordinal, header, start, sequence) of contigs, in stretches that overlap (None: whole ones).
+
+    A line that begins with ``>`` opens a contig, line ends within one do not cut it. What a stretch holds is all that is held.
+    """
+    ordinal, header, parts, size, start = 0, None, [], 0, 0
+
+    def rest():
+        return ordinal, header or "", start, b"".join(parts).decode("latin-1")
+
     for line in compressed.lines(compressed.stream(path, permissive)):
         line = line.replace(b"\r", b"")
         if line[:1] == b">":
             if header is not None or parts:
-                yield header or "", b"".join(parts).decode("latin-1")
-            header, parts = line[1:].decode("latin-1"), []
-        elif line:
-            parts.append(line)
+                yield rest()
+                ordinal += 1
+            header, parts, size, start = line[1:].decode("latin-1"), [], 0, 0
+            continue
+        for at in range(0, len(line), stretch or len(line) or 1):  # long lines too
+            part = line[at : at + (stretch or len(line))]
+            parts.append(part)
+            size += len(part)
+            if stretch and size >= stretch + overlap:
+                whole = b"".join(parts)
+                yield ordinal, header or "", start, whole.decode("latin-1")
+                start += len(whole) - overlap
+                parts = [whole[len(whole) - overlap :]] if overlap else []
+                size = overlap
     if header is not None or parts:
-        yield header or "", b"".join(parts).decode("latin-1")
+        yield rest()
+
+
+def fasta_contigs(path: str, permissive: bool = False) -> Iterator[tuple[str, str]]:
+    """(header, sequence) of whole contigs."""
+    for _, header, _, seq in fasta_stretches(path, permissive=permissive):
+        yield header, seq
 
 
 class FastaReader(DataSourceReader):
@@ -178,12 +267,13 @@ class FastaReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return [FilePartition(p) for p in _files(self.options)]
+        return [FileRange(p) for p in _files(self.options)]
 
     def read(self, partition):
-        name = os.path.basename(partition.value)
-        for k, (header, seq) in enumerate(fasta_contigs(partition.value, _true(self.options, "permissive", False))):
-            yield (name, k, header, seq)
+        name, o = os.path.basename(partition.value), self.options
+        stretch = int(o["stretch"]) if "stretch" in o else None
+        for k, header, start, seq in fasta_stretches(partition.value, stretch, int(o.get("overlap", 0)), _true(o, "permissive", False)):
+            yield (name, k, header, start, seq) if stretch else (name, k, header, seq)
 
 
 class FastaSource(DataSource):
@@ -192,7 +282,7 @@ class FastaSource(DataSource):
         return "fasta"
 
     def schema(self):
-        return FASTA_SCHEMA
+        return STRETCH_SCHEMA if "stretch" in self.options else FASTA_SCHEMA
 
     def reader(self, schema):
         return FastaReader(self.options)
@@ -204,6 +294,28 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(FastaSource)
 
 
+def dense_ordinals(records: DataFrame) -> DataFrame:
+    """Records with ordinals that count through files of several ranges: the ranges' counts are summed up and joined back."""
+    at = F.shiftright("ordinal", RANGE_BIT)
+    each = records.groupBy("sample", "mate", at.alias("_range")).count()
+    before = F.sum("count").over(Window.partitionBy("sample", "mate").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("sample", "mate", "_range", F.coalesce(before, F.lit(0)).alias("_before"))
+    within = F.col("ordinal") - F.shiftleft("_range", RANGE_BIT)
+    return records.withColumn("_range", at).join(each, ["sample", "mate", "_range"]).withColumn("ordinal", within + F.col("_before")).select(*records.columns)
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line_no (from 0) and value of text files in any store that Spark reads, many tasks a file.
+
+    Lines keep their order within a block of a file; the blocks' counts of lines, summed up, are joined back.
+    """
+    read = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    each = read.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
+    before = F.sum("_n").over(Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    each = each.select("file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each block
+    return read.join(each, ["file", "_block"]).select("file", (F.col("_row") - F.col("_first") + F.col("_before")).alias("line_no"), "value")
+
+
 def fastq_from_text(lines: DataFrame, file: str = "file", number: str = "line_no", text: str = "value") -> DataFrame:
     """file, ordinal and the four fields, from numbered lines (from 0) of each file; incomplete records are left out."""
     four = lines.select(F.col(file).alias("file"), F.floor(F.col(number) / 4).alias("ordinal"), (F.col(number) % 4).alias("k"), F.regexp_replace(text, "\r$", "").alias("value"))

@@ -16,30 +16,38 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tessera.operators import coverage
 from tessera.operators.index import Index
+from tessera.sources.published import PublishedIndex
+from tessera.sources.sequences import register
 
 READ_SCHEMA = "sample string, mate int, ordinal bigint, header string, seq string, plus string, qual string"
 
 
+def read_fastq_stream(spark: SparkSession, path: str, **options) -> DataFrame:
+    """Records of the FASTQ files that arrive in a folder (see :mod:`tessera.sources.sequences` for the options)."""
+    register(spark)
+    return spark.readStream.format("fastq").options(**options).load(path)
+
+
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Records (as Parquet of :data:`READ_SCHEMA`) that arrive in a folder."""
     reader = spark.readStream.schema(READ_SCHEMA).format("parquet")
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
-def with_verdict(reads: DataFrame, index: Index, permille: int = 500) -> DataFrame:
+def with_verdict(reads: DataFrame, index: Index | PublishedIndex, permille: int = 500) -> DataFrame:
     """Records with their verdict; ``reads`` may be a stream."""
     found = reads.withColumn("_p", coverage.probe(F.col("seq"), index))
     return found.withColumn("matched", coverage.matches(F.col("_p.covered"), F.coalesce(F.length("seq"), F.lit(0)), permille)).drop("_p")
 
 
-def split_stream(reads: DataFrame, index: Index, out: str, checkpoint: str, permille: int = 500, name: str = "split") -> StreamingQuery:
+def split_stream(reads: DataFrame, index: Index | PublishedIndex, out: str, checkpoint: str, permille: int = 500, name: str = "split") -> StreamingQuery:
     """Both sides as Parquet in matched=true/false; counts are observed as ``counts`` of each batch's progress."""
     said = with_verdict(reads, index, permille).observe("counts", F.count(F.lit(1)).alias("reads"), F.count_if("matched").alias("matched"), F.sum(F.length("seq")).alias("bases"))
     writer = said.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).queryName(name)
     return writer.partitionBy("matched").trigger(availableNow=True).start()
 
 
-def pair_stream(reads: DataFrame, index: Index, write: Callable[[DataFrame, int], None], checkpoint: str, permille: int = 500) -> StreamingQuery:
+def pair_stream(reads: DataFrame, index: Index | PublishedIndex, write: Callable[[DataFrame, int], None], checkpoint: str, permille: int = 500) -> StreamingQuery:
     """As :func:`split_stream` for pairs: each batch, which holds both files of its samples, is split as a whole."""
     from tessera.plans.split import split_pairs
 
@@ -60,10 +68,10 @@ class Progress(StreamingQueryListener):
     def share(self) -> float | None:
         return min(1.0, self.rows / self.total) if self.total else None
 
-    def seconds_left(self) -> float | None:
+    def seconds_left(self, now: float | None = None) -> float | None:
         """What the rest takes at the speed so far."""
         done = self.share
-        return None if not done or self.began is None else (time.time() - self.began) * (1 - done) / done
+        return None if not done or self.began is None else ((time.time() if now is None else now) - self.began) * (1 - done) / done
 
     def onQueryStarted(self, event):
         self.began = time.time()

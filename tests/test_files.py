@@ -102,7 +102,7 @@ def test_fasta(known, tmp_path):
     assert sorted(map(tuple, again.collect())) == got[:2]
     # seeds go across the ends of lines, not of contigs
     own = index.build_index(known.read.format("fasta").load(str(tmp_path / "b.fna.gz")), "seq", Seed("#" * 25))
-    assert {r.seed for r in own.codes.collect()} == {s for _, s in brute_seeds("ACGTACGTAC" * 7, Seed("#" * 25))}
+    assert {r.seed for r in own.codes.collect()} == {int(s, 4) for _, s in brute_seeds("ACGTACGTAC" * 7, Seed("#" * 25))}
 
 
 def test_fastq_from_numbered_lines(spark):
@@ -297,3 +297,133 @@ def test_stream_splits_as_a_batch_does(spark, tmp_path):
     assert sum(got) == 52
     spark.streams.removeListener(progress)
     assert 0 <= progress.share <= 1
+
+
+def test_files_are_read_in_ranges(known, tmp_path):
+    """Each record is read once wherever a range begins; qualities that look like marks do not mislead."""
+    import random
+
+    r = random.Random(4)
+    rows = [(f"@r{k}", random_dna(r.randint(1, 60), k), "+" + "@" * (k % 3), r.choice(["@", "+", "I"]) + "I" * 20) for k in range(300)]
+    (tmp_path / "a.fastq").write_bytes(fastq(rows))
+    (tmp_path / "b.fastq").write_bytes(fastq(rows, "\r\n", end=False))
+    (tmp_path / "c.fastq.bgz").write_bytes(block_gzip(fastq(rows), 333))
+    for f in ("a.fastq", "b.fastq", "c.fastq.bgz"):
+        for split_ in (0, 97, 500, 1001, 4096):
+            df = known.read.format("fastq").option("split", split_).load(str(tmp_path / f))
+            got = sorted(sequences.dense_ordinals(df).collect(), key=lambda x: x.ordinal)
+            assert [(x.header, x.seq, x.plus, x.qual) for x in got] == rows, (f, split_)
+            assert [x.ordinal for x in got] == list(range(300))
+    assert known.read.format("fastq").option("split", 500).load(str(tmp_path / "a.fastq")).rdd.getNumPartitions() > 20
+    (tmp_path / "d.fastq").write_bytes(b"x\n" * 2000)
+    with pytest.raises(Exception, match="split=0"):
+        known.read.format("fastq").option("split", 500).load(str(tmp_path / "d.fastq")).collect()
+
+
+def test_writer_packs_what_readers_read(known, tmp_path):
+    rows = spark_rows(known)
+    want = sorted(map(tuple, rows.select("header", "seq", "plus", "qual").collect()))
+    for kind in ("none", "gzip", "members", "bgzf"):
+        out = str(tmp_path / kind)
+        rows.coalesce(2).write.format("fastq").option("compression", kind).mode("append").save(out)
+        assert sorted(map(tuple, known.read.format("fastq").load(out).select("header", "seq", "plus", "qual").collect())) == want
+    assert all(compressed.blocks(str(p)) for p in (tmp_path / "bgzf").glob("*.bgz"))
+
+
+def test_lines_are_numbered_in_any_store(spark, tmp_path):
+    rows = records(400)
+    (tmp_path / "a.fastq").write_bytes(fastq(rows))
+    (tmp_path / "b.fastq.gz").write_bytes(gzip.compress(fastq(rows[:7])))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = sequences.fastq_from_text(sequences.numbered_lines(spark, str(tmp_path))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    for name, n in (("a.fastq", 400), ("b.fastq.gz", 7)):
+        own = sorted((r for r in got if r.file.endswith(name)), key=lambda r: r.ordinal)
+        assert [(r.header, r.seq, r.plus, r.qual) for r in own] == rows[:n]
+
+
+def test_index_of_long_contigs(known, tmp_path):
+    """Stretches of a contig give the seeds of the whole one, in a long row too."""
+    contig, seed = random_dna(5000, 9), Seed("######_#######_###_#######_######")
+    lines = "\n".join(contig[i : i + 70] for i in range(0, 5000, 70))
+    (tmp_path / "g.fa").write_text(f">one\n{lines}\n>two\n{contig[::-1]}\n>three\nACGT\n")
+    whole = known.read.format("fasta").load(str(tmp_path / "g.fa"))
+    want = {r.seed for r in index.build_index(whole, "seq", seed).codes.collect()}
+    assert want == {int(s, 4) for c in (contig, contig[::-1]) for _, s in brute_seeds(c, seed)}
+    for stretch in (40, 1000, 4999, 5000, 9000):
+        assert {r.seed for r in index.index_of_fasta(known, str(tmp_path / "g.fa"), seed, stretch=stretch).codes.collect()} == want
+    parts = known.read.format("fasta").option("stretch", 1000).option("overlap", 32).load(str(tmp_path / "g.fa")).where("contig_ordinal = 1").orderBy("start").collect()
+    assert all(contig[::-1][p.start : p.start + len(p.seq)] == p.seq for p in parts) and all(a.start + len(a.seq) - b.start == 32 for a, b in zip(parts, parts[1:]))
+    long = "ACGTTGCAAC" * 150_000 + random_dna(100, 1)  # more than one piece
+    own = index.build_index(known.createDataFrame([(long,), (None,), ("",)], "s string"), "s", Seed("#" * 25))
+    assert own.codes.count() == len({x for _, x in brute_seeds("ACGTTGCAAC" * 8 + long[-100:], Seed("#" * 25))})
+
+
+def test_published_index_splits(spark, tmp_path):
+    """A published filter takes the place of an index in splits of reads, of pairs and of streams, with the same verdicts."""
+    from tessera.streaming import split as stream
+
+    ref, seed = random_dna(300, 77), Seed("#" * 25)
+    reads = reads_frame(spark, ref)
+    own = index.build_index(spark.createDataFrame([(ref,)], "s string"), "s", seed)
+    codes = own.codes.toArrow()["seed"].to_numpy()
+    info = published.describe(seed, len(codes))
+    what = published.Description.of(published.read_info(info))
+    (tmp_path / "i.filter").write_bytes(published.encode_filter(codes, what))
+    (tmp_path / "i.info").write_bytes(info)
+    theirs = published.PublishedIndex(*published.load_published(str(tmp_path / "i.filter"), str(tmp_path / "i.info")))
+    said = lambda df: {(r.ordinal, r.mate, r.matched) for r in df.collect()}
+    assert said(split.split_reads(reads, theirs)) == said(split.split_reads(reads, own))
+    assert said(split.split_pairs(reads, theirs)) == said(split.split_pairs(reads, own))
+    reads.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream.split_stream(stream.read_stream(spark, str(tmp_path / "in")), theirs, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    assert {(r.ordinal, r.mate, str(r.matched) == "true") for r in spark.read.parquet(str(tmp_path / "out")).collect()} == said(split.split_reads(reads, own))
+    assert split.split_samples(["a"], lambda n: reads, theirs, str(tmp_path / "many"))[0].error is None
+
+
+def test_stream_of_fastq_files(known, tmp_path):
+    from tessera.streaming import split as stream
+
+    ref = random_dna(300, 77)
+    own = index.build_index(known.createDataFrame([(ref,)], "s string"), "s", Seed("#" * 25))
+    os.mkdir(tmp_path / "in")
+    rows = [(f"@r{k}", ref[k : k + 60] if k % 2 else random_dna(60, k), "+", "I" * 60) for k in range(40)]
+
+    def run():
+        stream.split_stream(stream.read_fastq_stream(known, str(tmp_path / "in"), split=700), own, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+        return {(r.header, str(r.matched).lower()) for r in known.read.parquet(str(tmp_path / "out")).collect()}, known.read.parquet(str(tmp_path / "out")).count()
+
+    want = {(r[0], "true" if k % 2 else "false") for k, r in enumerate(rows)}
+    (tmp_path / "in/a.fastq").write_bytes(fastq(rows[:25]))
+    assert run() == ({x for x in want if int(x[0][2:]) < 25}, 25)
+    (tmp_path / "in/b.fastq.gz").write_bytes(gzip.compress(fastq(rows[25:])))
+    assert run() == (want, 40)
+
+
+def test_a_run_is_cancelled_and_leaves_no_output(known, tmp_path):
+    import threading
+    import time
+
+    slow = F.udf(lambda s: time.sleep(0.2) or s, "string")
+    own = index.build_index(known.createDataFrame([(random_dna(300, 77),)], "s string"), "s", Seed("#" * 25))
+    reads = reads_frame(known, random_dna(300, 77))
+    run, got = split.Run(known), []
+    read = lambda n: reads.withColumn("seq", slow("seq")) if n == "slow" else reads
+    t = threading.Thread(target=lambda: got.extend(run.samples(["first", "slow", "last"], read, own, str(tmp_path / "out"))))
+    t.start()
+    while not (tmp_path / "out/first/_SUCCESS").exists():
+        time.sleep(0.1)
+    time.sleep(1.5)
+    run.cancel()
+    t.join(60)
+    assert not t.is_alive() and [(r.name, r.error) for r in got] == [("first", None), ("slow", split.CANCELLED), ("last", split.CANCELLED)]
+    assert not [p for p in (tmp_path / "out").rglob("*.txt") if "/slow/" in str(p) or "/last/" in str(p)]
+
+
+def test_places_within_groups(spark):
+    rows = spark.range(1000).selectExpr("id", "id % 3 as g", "cast(null as int) as h")
+    got = split.placed(rows, ["g", "h"], ["id"]).collect()
+    assert len(got) == 1000 and all(r.line == r.id // 3 + 1 for r in got)
