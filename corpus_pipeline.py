@@ -13,9 +13,9 @@ from tessera.llm import common, jaccard, langid, packing, quality, queries
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression bands and base rules keep."""
+    """Documents with a word that the compression bands and the limit on repeated words keep; short ones have wide bands and stay."""
     (q,) = common.unused(docs, "q")
-    return quality.quality(docs, out=q).where(F.col(f"{q}.kept")).drop(q)
+    return quality.quality(docs, out=q, min_words=1).where(F.col(f"{q}.kept")).drop(q)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,18 +3,18 @@
 Each tree gives every vector a long bit string (signs of projections on orthonormal random directions). Sorted, the
 strings form the tree: all vectors below a node are one stretch of the array, those that share a prefix.
 A query descends in all trees to its longest prefix matches and then ascends in all of them at once, bit by
-bit, until the stretches together hold enough candidates; so the length of the prefix varies with how dense the
-data are around the query. Candidates are compared by exact cosine.
+bit; so the length of the prefix varies with how dense the data are around the query. Candidates are compared by exact cosine.
+
+A query ascends twice at most: until the stretches hold :data:`START` candidates together, and then, if the k-th of these lies at an angle at which a point may
+well have been missed so far, to the level where such a point has met the query in some tree with the probability :data:`RECALL`
+(:func:`needed_level`). Near neighbours end the search early; data without any structure need a share of all points.
 
 In Spark a tree's array is cut by its first bits (and, where a cell is crowded, dealt into chunks of it);
-each piece is sorted and searched in one task, with the queries whose stretch meets it. The level at which
-a query stops follows from counts of prefixes of up to :data:`COUNT_BITS` bits (a table of bounded size,
+each piece is sorted and searched in one task, with the queries whose stretch meets it (:data:`ASKED` of them at most, more are dealt out). The level of the first
+stretch follows from counts of prefixes of up to :data:`COUNT_BITS` bits (a table of bounded size,
 2^17 numbers a tree). Trees are worked through a few at a time, so the disk holds the vectors a few times only. Equal vectors
 are one point with its smallest ids, however many there are; equal queries are searched once.
 
-How many candidates are needed for a recall of 0.9 depends on the data; :func:`enough` is set for the worst case, vectors
-without any structure.
-
 Edge cases: vectors that are null, zero, hold null or non-finite components, or are not of the most common
 length take no part, nor do rows with a null id; rows of the same id are never neighbours of each other;
 ties go to the smaller id; fewer candidates than k give fewer rows; an empty table gives an empty result; only
@@ -35,14 +35,21 @@ from tessera.llm.common import Scratch
 
 TREES, BITS, COUNT_BITS = 16, 32, 16
 TREES_AT_ONCE = 2
-#: Points of a cell, and of a chunk of a crowded cell.
-CELL, CHUNK = 16_384, 32_768
+#: Points of a cell, of a chunk of a crowded cell, and queries that meet a chunk together.
+CELL, CHUNK, ASKED = 16_384, 32_768, 16_384
+#: Candidates of a query's first stretch, and the probability with which its k-th neighbour is to be met.
+START, RECALL = 2048, 0.92
 SEED = 11
 
 
-def enough(n: int) -> int:
-    """Candidates at which a query stops ascending, of n points."""
-    return math.ceil(4 * n ** (6 / 7))
+def needed_level(score: Column, trees: int, recall: float) -> Column:
+    """The level at which a point of this cosine has met the query in some tree with the probability ``recall``.
+
+    A random plane parts two vectors with a probability of their angle / pi, so strings agree on L bits with (1 - angle / pi)^L.
+    """
+    same = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), score))) / math.pi
+    each = 1 - (1 - recall) ** (1 / trees)
+    return F.when(same >= 1 - 1e-9, BITS).when(same <= 0, 0).otherwise(F.least(F.lit(BITS), F.floor(math.log(each) / F.log(same)))).cast("int")
 
 
 def directions(tree: int, dim: int, seed: int = SEED) -> np.ndarray:
@@ -120,7 +127,7 @@ def top_in_stretches(points: np.ndarray, strings: np.ndarray, queries: np.ndarra
                 yield i, places[first], exact[first]
 
 
-def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, seed: int = SEED, candidates=enough) -> DataFrame:
+def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES, seed: int = SEED, start: int = START, recall: float = RECALL) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest (by cosine) found for each row that ``queries`` (on vec_id) picks."""
     scratch = Scratch(df.sparkSession, "ann")
     spark = df.sparkSession
@@ -148,7 +155,7 @@ def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", v
     while counts[-1].shape[1] > 1:
         counts.append(counts[-1].reshape(trees, -1, 2).sum(2))
     counts = spark.sparkContext.broadcast(counts[::-1])  # by level, from the root
-    wanted = min(candidates(n), n)
+    wanted = min(max(start, 2 * (k + 1)), n)
 
     def levels(batches):
         """The level at which a query stops: ascending in all trees until they hold enough."""
@@ -199,15 +206,35 @@ def search(df: DataFrame, queries: Column, k: int = 5, vec_id: str = "vec_id", v
         places = np.concatenate([p for _, p, _ in found])
         return pa.table({"query": right["cid"].take(pa.array(asks)), "score": pa.array(np.concatenate([s for *_, s in found])), "ids": left["ids"].take(pa.array(places))})
 
-    kept = None
-    key = ["tree", "cell", "chunk"]
-    for at in range(0, trees, TREES_AT_ONCE):
-        of = tuple(range(trees)[at : at + TREES_AT_ONCE])
-        stored = points.mapInArrow(lambda bs, of=of: place(bs, of, False), "cid binary, vec binary, ids array<long>, tree int, string long, cell long, chunk int").drop("cid")
-        sent = once.mapInArrow(lambda bs, of=of: place(bs, of, True), "cid binary, vec binary, level int, tree int, string long, cell long, chunk int")
-        got = stored.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(best, "query binary, score double, ids array<long>")
-        new = scratch.write(got)
-        kept = new if kept is None else kept.union(new)
+    key = ["tree", "cell", "chunk", "turn"]
+    plain = "cid binary, vec binary, ids array<long>, tree int, string long, cell long, chunk int"
+
+    def ascend(queries_: DataFrame) -> DataFrame:
+        """query, score and ids of the best in the stretches of all trees at the queries' levels."""
+        kept, several = None, queries_.count() > ASKED
+        for at in range(0, trees, TREES_AT_ONCE):
+            of = tuple(range(trees)[at : at + TREES_AT_ONCE])
+            stored = points.mapInArrow(lambda bs, of=of: place(bs, of, False), plain).drop("cid").withColumn("turn", F.lit(0))
+            sent = queries_.mapInArrow(lambda bs, of=of: place(bs, of, True), "cid binary, vec binary, level int, tree int, string long, cell long, chunk int").withColumn("turn", F.lit(0))
+            if several:  # crowds of queries are dealt out, each part meets the points of the chunk
+                sent = scratch.write(sent)
+                crowds = sent.groupBy("tree", "cell", "chunk").count().where(F.col("count") > ASKED).select("tree", "cell", "chunk", F.ceil(F.col("count") / ASKED).cast("int").alias("turns"))
+                if not crowds.isEmpty():
+                    sent = sent.drop("turn").join(crowds, ["tree", "cell", "chunk"], "left").withColumn("turn", F.coalesce(F.pmod(F.xxhash64("cid"), F.col("turns")), F.lit(0)).cast("int")).drop("turns")
+                    stored = stored.drop("turn").join(crowds, ["tree", "cell", "chunk"], "left").withColumn("turn", F.explode(F.sequence(F.lit(0), F.coalesce("turns", F.lit(1)) - 1))).drop("turns")
+            new = scratch.write(stored.groupBy(*key).cogroup(sent.groupBy(*key)).applyInArrow(best, "query binary, score double, ids array<long>"))
+            kept = new if kept is None else kept.union(new)
+        return kept
+
+    # first as far up as few candidates ask; then to where the k-th of them would have been met
+    kept = ascend(once)
+    ranked = kept.groupBy("query", "ids").agg(F.max("score").alias("score"))
+    so_far = F.sum(F.size("ids")).over(Window.partitionBy("query").orderBy(F.desc("score"), F.col("ids")[0]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = ranked.withColumn("n", so_far).where(F.col("n") > k).groupBy("query").agg(F.max("score").alias("score"))  # with the query itself
+    wider = once.withColumnRenamed("cid", "query").join(last, "query", "left").withColumn("needed", F.coalesce(needed_level(F.col("score"), trees, recall), F.lit(0)))
+    wider = scratch.write(wider.where("needed < level").select(F.col("query").alias("cid"), "vec", F.col("needed").alias("level")))
+    if not wider.isEmpty():
+        kept = kept.union(ascend(wider))
 
     # a query's finds: at most (k + 1) from each piece that it met
     found = kept.groupBy("query", "ids").agg(F.max("score").alias("score"))

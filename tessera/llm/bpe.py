@@ -33,7 +33,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import Scratch, shared_dir, slices, unused
+from tessera.llm.common import Scratch, slices, unused
+from tessera.sources.shared import shared_dir
 
 #: Frequent words that are compiled.
 LEXICON = 65_536

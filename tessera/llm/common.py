@@ -4,10 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
-import re
-import tempfile
 import time
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,27 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import as_local, hadoop_path, workspace
+
 #: ASCII white space: the separators of the word rule ``[^\\x20\\x09-\\x0D]+``; ``bytes.split()`` uses the same set.
 SPACES = b" \t\n\v\f\r"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share, from ``spark.checkpoint.dir``.
-
-    Only on one machine (a local master, as in tests) a temporary folder is set where the session names none; on a cluster that is an error.
-    """
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    got = spark.sparkContext.getCheckpointDir()
-    if not got:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        got = spark.sparkContext.getCheckpointDir()
-    return got.rstrip("/")
-
-
 class Scratch:
     """Tables of one query in the shared folder; writing one cuts the lineage and survives lost executors.
 
@@ -44,15 +26,8 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, workspace(spark, name)
         self.made = 0
-        place, files = self._place(self.root)
-        files.mkdirs(place)
-        files.deleteOnExit(place)
-
-    def _place(self, path: str):
-        place = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return place, place.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, codec: str = "zstd") -> DataFrame:
         """Write ``df`` as Parquet and read it again."""
@@ -65,14 +40,12 @@ class Scratch:
 
     def local(self, name: str) -> str:
         """A folder under the same root for files that tasks open by their path: the shared folder must be mounted on all machines."""
-        path = re.sub(r"^file:/*", "/", self.root)
-        if not path.startswith("/"):
-            raise ValueError(f"{self.root} can't be opened as a file; spark.checkpoint.dir must be a mounted folder here")
-        os.makedirs(f"{path}/{name}")
-        return f"{path}/{name}"
+        path = f"{as_local(self.root)}/{name}"
+        os.makedirs(path)
+        return path
 
     def drop_local(self, name: str) -> None:
-        place, files = self._place(f"{self.root}/{name}")
+        place, files = hadoop_path(self.spark, f"{self.root}/{name}")
         files.delete(place, True)
 
     def release(self) -> None:
@@ -86,7 +59,7 @@ class Scratch:
         """Remove a table that is not read any more."""
         path = getattr(df, "tessera_path", None)
         if path:
-            place, files = self._place(path)
+            place, files = hadoop_path(self.spark, path)
             files.delete(place, True)
 
 

@@ -261,6 +261,16 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
             return new.select("node", "label")
 
 
+def widened(labels: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """``labels`` (node, label) with more edges (a, b): only the components that these join are worked on."""
+    ends = [edges.join(labels.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")), c, "left").select("a", "b", F.coalesce(f"l_{c}", c).alias(f"l_{c}")) for c in "ab"]
+    between = ends[0].join(ends[1], ["a", "b"]).select(F.col("l_a").alias("a"), F.col("l_b").alias("b")).where("a != b").distinct()
+    tops = components(between, scratch)
+    known = labels.join(tops.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label"))
+    fresh = tops.join(labels.select("node"), "node", "left_anti")
+    return scratch.write(known.union(fresh.select("node", "label")))
+
+
 def _ident(column: str) -> Column:
     """An id as a number that may be shared by chance; only what it finds is looked at closely."""
     return F.xxhash64(F.coalesce(F.col(column).cast("string"), F.lit("")))
@@ -349,19 +359,19 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     for _ in range(STARS):  # each with the one that shows a member first: what these connect is not paired below
         here = relabelled()
         leads = here.groupBy("token").agg(F.min(F.struct("place", "cid", "n", "label", *fold)).alias("l")).select("token", *(F.col(f"l.{c}").alias(f"{c}_l") for c in ("place", "cid", "n", "label", *fold)))
+        leads = scratch.write(leads)  # so that the join's sides are dealt out for it alone, and a hot token's rows can be split
         to_lead = here.join(leads, "token").where((F.col("label") != F.col("label_l")) & near_in_size(F.col("n"), F.col("n_l")) & apart_at_most("", "_l"))
         more = linking(to_lead.select(*pair("", "_l")).distinct(), sets)
         if more.isEmpty():
             break
-        edges = edges.union(more)
-        labels = components(edges, scratch)
+        labels = widened(labels, more, scratch)
     here = scratch.write(relabelled())
     x, y = (here.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("cid", "n", "label", "place", *fold))) for s in "xy")
     ordered = F.struct("place_x", "cid_x") < F.struct("place_y", "cid_y")
     rest = x.join(y, "token").where((F.col("label_x") != F.col("label_y")) & near_in_size(F.col("n_x"), F.col("n_y")) & apart_at_most("_x", "_y") & ordered)
     more = linking(rest.select(*pair("_x", "_y")).distinct(), sets)
     if not more.isEmpty():
-        labels = components(edges.union(more), scratch)
+        labels = widened(labels, more, scratch)
     scratch.drop(keyed)
 
     named = labels.join(classes.select(F.col("cid").alias("node"), "rep"), "node")

@@ -297,8 +297,8 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, **search_args) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece of every document."""
-    cut_up = Scratch(docs.sparkSession, "pack").write(pieces(docs, tokenizer, capacity=capacity, end=end))
-    return pack(cut_up, order=("doc_id", "piece", "ids_crc32"), capacity=capacity, **search_args)
+    cut_up = Scratch(docs.sparkSession, "pack").write(pieces(docs, tokenizer, capacity=capacity, end=end).withColumn("row_no", F.monotonically_increasing_id()))  # tells repeated rows apart
+    return pack(cut_up, order=("doc_id", "piece", "ids_crc32", "row_no"), capacity=capacity, **search_args).drop("row_no")
 
 
 def sequences(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, **search_args) -> DataFrame:

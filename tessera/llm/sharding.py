@@ -138,6 +138,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, seed: int = SEED, **sizes
     """doc_id, size, text_crc32, law, shard, slot and grown_shard of each document, by the law ``rows``."""
     data = F.encode(F.coalesce(F.col("text"), F.lit("")), "UTF-8")
     narrow = docs.select("doc_id", (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
-    narrow = Scratch(docs.sparkSession, "shard").write(narrow)
-    out = shard_rows(narrow, ["doc_id", "text_crc32"], shards, seed, **sizes)
+    narrow = Scratch(docs.sparkSession, "shard").write(narrow.withColumn("row_no", F.monotonically_increasing_id()))  # tells repeated rows apart
+    out = shard_rows(narrow, ["doc_id", "text_crc32", "row_no"], shards, seed, **sizes)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -76,6 +76,33 @@ def test_quality_bands(spark):
     assert got[1].reason == "repetitive" and got[2].reason.startswith("incompressible") and got[3].reason.startswith("repetitive")
 
 
+def test_quality_verdicts_by_brute_force(spark, docs, edges):
+    """Ratios, counts of chunks and verdicts from zstandard itself."""
+    import zstandard
+
+    squeezed = lambda b: len(zstandard.ZstdCompressor(level=quality.LEVEL).compress(b))
+    for df in (docs, edges):
+        for r in df.select("text", quality.compression_bands("text").alias("q")).collect():
+            data, q = (r.text or "").encode(), r.q
+            parts = [data[i : i + 2048] for i in range(0, len(data) - 2047, 2048)]
+            low, high = sum(2048 / squeezed(p) < 1.45 for p in parts), sum(2048 / squeezed(p) > 2.45 for p in parts)
+            band = [b for b in quality.BANDS if len(data) >= b.least][-1]
+            ratio = len(data) / squeezed(data) if data else None
+            good = not data or band.low <= ratio <= band.high and 4 * low <= len(parts) and 4 * high <= len(parts)
+            assert (q.ratio, q.n_chunks) == (ratio, len(parts)) and q.kept == (good and not q.base_failed)
+            if q.n_chunks:
+                assert (q.n_low, q.n_high) == (low, high)
+
+
+def test_pipeline_keeps_short_good_documents(spark, docs):
+    import corpus_pipeline
+
+    good = spark.read.parquet(f"{DATA}/labels.parquet").where("quality = 1")
+    kept = corpus_pipeline.quality_rules(spark, docs, DATA)
+    assert kept.columns == docs.columns
+    assert kept.join(good, "doc_id").count() >= 0.99 * docs.join(good, "doc_id").where("text is not null").count() > 20
+
+
 def test_quality_keeps_what_people_call_good(spark, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     said = docs.join(labels, "doc_id").select("quality", quality.compression_bands("text").alias("q")).where("not q.base_failed")
