@@ -296,15 +296,19 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
     bands = keyed.select("cid", "n", F.explode("sketches").alias("s"))
     shown = F.transform("s.shown", lambda i: F.xxhash64("s.band", i, F.get("s.parts", i)))
     parts = bands.select("cid", "n", F.explode(shown).alias("key"))
-    shared = scratch.write(parts.groupBy("key").count().where("count > 1").select("key"))
+    shared = scratch.write(parts.groupBy("key").agg(F.count("*").alias("in_part"), F.min("cid").alias("lead")).where("in_part > 1"))
     scratch.release()
-    members = scratch.write(parts.join(shared, "key", "left_semi"))
-    scratch.release()
-    members = scratch.write(members.join(members.groupBy("key").agg(F.min("cid").alias("lead")), "key"))
+    members = scratch.write(parts.join(shared, "key"))
+    scratch.drop(shared)
 
     def near_in_size(x: Column, y: Column) -> Column:
         return F.least(x, y) * den >= F.greatest(x, y) * num
 
+    def picked(table: DataFrame, wanted: DataFrame, column: str) -> DataFrame:
+        """``table`` without rows that a join with ``wanted`` (distinct values of ``column``) drops anyhow, where that costs no shuffle."""
+        wanted = scratch.write(wanted)
+        return table.join(F.broadcast(wanted), column, "left_semi") if wanted.count() <= BROADCAST else table
+
     def make_sets(nodes: DataFrame) -> DataFrame:
         """fp and members of the classes ``nodes`` (cid), from a text of each."""
         wanted = scratch.write(classes.join(nodes, "cid", "left_semi").select("fp", _ident("rep").alias("ident")))
@@ -317,11 +321,15 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 
     def linking(pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
         """Those of the distinct pairs (a, b) that link: first by their sketches, then by the sets themselves."""
-        left, right = (keyed.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"), F.col("sketches").alias(f"s_{c}")) for c in "ab")
+        pairs = scratch.write(pairs)
+        ends = picked(keyed, pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid")
+        left, right = (ends.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("fp").alias(f"fp_{c}"), F.col("sketches").alias(f"s_{c}")) for c in "ab")
         near = pairs.join(left, "a").join(right, "b").where(sketches_allow(num, den)).select("a", "b", "n_a", "n_b", "fp_a", "fp_b")
         near = scratch.write(near)
         if sets is None:
             sets = make_sets(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+        else:
+            sets = picked(sets, near.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct(), "fp")
         left, right = (sets.select(F.col("fp").alias(f"fp_{c}"), F.col("members").alias(f"m_{c}")) for c in "ab")
         both = near.join(left, "fp_a").join(right, "fp_b").withColumn("common", F.arrow_udf(common_members, "long")("m_a", "m_b"))
         out = scratch.write(both.where(linked(F.col("common"), F.col("n_a"), F.col("n_b"), num, den)).select("a", "b"))
@@ -335,7 +343,7 @@ def grouped(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int
 
     # members of parts that still lie apart
     labelled = members.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count_distinct("cid").alias("in_part")).where("x < y and in_part > 2").select("key")
+    apart = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max("in_part").alias("in_part")).where("x < y and in_part > 2").select("key")
     left_over = scratch.write(labelled.join(apart, "key", "left_semi").select("cid", "n", "label").distinct())
     scratch.release()
     sets = make_sets(left_over.select("cid"))

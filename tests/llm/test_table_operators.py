@@ -211,7 +211,9 @@ def test_one_of_each_group_stays(spark):
     assert jaccard.keep_one(empty).collect() == [] and jaccard.jaccard_components(empty).collect() == []
 
 
-def test_a_single_null_id_does_not_stay_beside_its_copy(spark):
+@pytest.mark.parametrize("most", [0, jaccard.BROADCAST])
+def test_a_single_null_id_does_not_stay_beside_its_copy(spark, monkeypatch, most):
+    monkeypatch.setattr(jaccard, "BROADCAST", most)  # with and without ids that are broadcast
     words = [f"w{i}" for i in range(120)]
     near = " ".join(["v", *words[1:]])
     rows = [(1, " ".join(words), "en", "a"), (None, near, "en", "a"), (3, "quite another text that stays here", "en", "a")]
