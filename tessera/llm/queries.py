@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import ann, bpe, chat, jaccard, langid, lm, packing, quality, sharding, urls
+from tessera.llm import ann, bpe, bytebpe, chat, jaccard, langid, lm, negatives, packing, quality, sharding, urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +65,15 @@ def op10_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.withColumn("spans", shown)
 
 
+def op11_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bytebpe.encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"))
+
+
+def op12_rotated_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
 OP10_SQL = r"""
 WITH rows AS (
   SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text
@@ -88,8 +97,28 @@ SELECT conv_id, assistant, segment, CAST(count(*) AS INTEGER) AS n_turns, string
 FROM placed GROUP BY conv_id, assistant, segment
 """
 
+OP12_SQL = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT a.vec_id AS anchor_id, a.label AS own, r.vec_id, r.label, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+  FROM rows a JOIN rows r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE label = own
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+       vec_id AS negative_id, positive_score, score AS negative_score
+FROM positives JOIN scored USING (anchor_id)
+WHERE label <> own AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) <= 3
+"""
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_genetic_packing, op2_viterbi_language, op3_parity_sketch_join, op4_link_graph_verdicts, op5_compression_bands,
     op6_transducer_bpe, op7_prefix_forest, op8_context_mixing, op9_hypergeometric_shards, op10_perspective_rotation,
+    op11_byte_level_bpe, op12_rotated_hard_negatives,
 )}
-ORACLES: dict[str, str] = {"op10_perspective_rotation": OP10_SQL}
+ORACLES: dict[str, str] = {"op10_perspective_rotation": OP10_SQL, "op12_rotated_hard_negatives": OP12_SQL}
