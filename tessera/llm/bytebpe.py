@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import slices, unused
 
 #: Chunks whose tokens a task keeps, and the longest of them in characters.
-CACHE, KEPT = 200_000, 64
+CACHE, KEPT = 400_000, 64
 #: Bytes of texts that a task works on together.
 SLICE = 1 << 22
 #: Bytes that are shown as themselves (fixed values).
@@ -142,10 +142,11 @@ def vocabulary(path: str, pattern: str | None = None) -> Vocabulary:
 
 
 class Encoder:
-    """Chunks to what ``form`` makes of their ids and their spans of characters; keeps those of the last CACHE chunks."""
+    """Chunks to what ``form`` makes of the library's result (without its offsets, unless ``offsets``); keeps those of the last CACHE chunks."""
 
-    def __init__(self, vocab: Vocabulary, form: Callable[[list[int], list[tuple[int, int]]], tuple]):
+    def __init__(self, vocab: Vocabulary, form: Callable[..., tuple], offsets: bool = False):
         self.vocab, self.form, self.known = vocab, form, {}
+        self.batch = vocab.library.encode_batch if offsets else vocab.library.encode_batch_fast
 
     def encode(self, texts: pa.Array) -> tuple[list[tuple], np.ndarray, np.ndarray, pa.Array]:
         """The forms of the distinct chunks, which of them the texts' chunks are, where each text's begin (and all end), and the distinct chunks."""
@@ -155,7 +156,10 @@ class Encoder:
         if len(self.known) > CACHE:
             self.known.clear()
         fresh = [c for c in distinct if c not in self.known]
-        made = {c: self.form(e.ids, e.offsets) for c, e in zip(fresh, self.vocab.library.encode_batch(fresh, add_special_tokens=False))}
+        made: dict[str, tuple] = {}
+        for at in range(0, len(fresh), 16_384):
+            some = fresh[at : at + 16_384]
+            made.update(zip(some, map(self.form, self.batch(some, add_special_tokens=False))))
         forms = [made[c] if c in made else self.known[c] for c in distinct]
         self.known.update((c, f) for c, f in made.items() if len(c) <= KEPT)
         return forms, coded.indices.to_numpy(), begin, coded.dictionary
@@ -176,7 +180,7 @@ def encoded(text: Column, ranks: str) -> Column:
 
     @F.arrow_udf(FIELDS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = Encoder(vocabulary(ranks), lambda ids, spans_: (ids, spans_))
+        own = Encoder(vocabulary(ranks), lambda e: (e.ids, e.offsets), offsets=True)
         for batch in batches:
             rows = []
             for b in slices(pa.record_batch([batch], ["text"]), size=SLICE):
@@ -240,8 +244,14 @@ def digests(text: Column, ranks: str) -> Column:
     @F.arrow_udf(DIGESTS)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vocab = vocabulary(ranks)
-        number = {i: str(i).encode() for i in vocab.bytes}
-        own = Encoder(vocab, lambda ids, _: (len(ids), b" ".join([number[i] for i in ids]), bytes_of(ids, vocab)))
+        number = [str(i).encode() for i in range(max(vocab.bytes) + 1)]
+        shown = [vocab.bytes.get(i, b"") for i in range(len(number))]
+
+        def form(e) -> tuple[int, bytes, bytes]:
+            ids = e.ids
+            return len(ids), b" ".join([number[i] for i in ids]), b"".join([shown[i] for i in ids])
+
+        own = Encoder(vocab, form)
         for batch in batches:
             rows: list[tuple] = []
             for b in slices(pa.record_batch([batch], ["text"]), size=SLICE):
