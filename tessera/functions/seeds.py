@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.hashing import mix64
+
 #: Published masks (fixed values): weight 29 span 33, weight 25, weight 31.
 SPACED_29_33 = "######_#######_###_#######_######"
 CONTIGUOUS_25 = "#" * 25
@@ -184,3 +186,22 @@ def coded_windows(records: list[bytes], seed: Seed, lut: np.ndarray, canonical:
         row, place = row[inside], place[inside]
         yield at + row, place - begin[row], code[place]
         at = end
+
+
+#: Factors and offsets of the two prints of a text window.
+_PRINTS = ((_U(0x100000001B3), _U(1)), (_U(0x9E3779B97F4A7C15), _U(0xD1B54A32D192ED03)))
+
+
+def text_prints(points: np.ndarray, seed: Seed, which: int = 0, places: np.ndarray | None = None) -> np.ndarray:
+    """Prints of 64 bits of the windows of code points at ``places`` (None: all): each mixed point times a power of a factor, summed up.
+
+    Two windows are taken as equal if both of their prints are.
+    """
+    factor, offset = _PRINTS[which]
+    wide = mix64(points.astype(_U) + offset)
+    n = max(0, len(points) - seed.span + 1)
+    out = np.zeros(n if places is None else len(places), _U)
+    for p in seed.positions:
+        out *= factor
+        out += wide[p : p + n] if places is None else wide[places + p]
+    return out

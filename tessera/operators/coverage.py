@@ -1,8 +1,9 @@
 """Coverage: how many characters of a record lie under seeds that the reference holds, and the verdict.
 
-Two physical strategies give the same rows. ``probe``: an index whose size is below a checked bound is sent to the
-tasks as sorted numbers and each record is decided where it lies, without a shuffle (so it also serves streams).
-``join``: seeds are exploded and semi-joined, and only hits are shuffled, for indexes of any size.
+``probe``: each record is decided where it lies, without a shuffle (so it also serves streams). An index below a checked number of bytes is sent to the
+tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map, in which a window that is not held is found with a
+probability of 2^-32. ``join``: seeds are exploded and semi-joined: exact for indexes of any size, but every window is shuffled. ``verified``: windows that the
+filter finds are semi-joined, so all is exact and only these are shuffled.
 """
 
 from __future__ import annotations
@@ -14,8 +15,9 @@ import pyarrow as pa
 from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.functions.seeds import PIECE, Seed, base_table, codes_of
+from tessera.functions.seeds import PIECE, Seed, base_table, codes_of, text_prints
 from tessera.operators.index import Index, coded_seeds, read_seeds
 
 _U = np.uint64
@@ -24,13 +26,39 @@ _U = np.uint64
 # --- join ---------------------------------------------------------------------------------------------------
 
 
-def seed_hits(rows: DataFrame, key: str, text: str, index: Index) -> DataFrame:
-    """key and pos of the windows whose seed is in the index; Spark broadcasts a small index by itself."""
+def seed_hits(rows: DataFrame, key: str, text: str, index: Index, with_seed: bool = False) -> DataFrame:
+    """key and pos (with ``with_seed`` also seed) of the windows whose seed is in the index; Spark broadcasts a small index by itself."""
     if index.dna:
         found = coded_seeds(rows, key, text, index.seed, index.canonical, index.alphabet)
-        return found.join(index.codes, "seed", "left_semi").select(key, "pos")
-    found = read_seeds(rows.select(key, text), key, text, index.seed, index.dna, index.canonical, index.alphabet)
-    return found.join(index.codes, "seed", "left_semi").select(key, "pos")
+    else:
+        found = read_seeds(rows.select(key, text), key, text, index.seed, index.dna, index.canonical, index.alphabet)
+    return found.join(index.codes, "seed", "left_semi").select(key, "pos", *(["seed"] if with_seed else []))
+
+
+def found_windows(rows: DataFrame, key: str, text: str, index) -> DataFrame:
+    """key, pos and seed of the windows that a prober finds, exact or not: a narrow stage, in which records that hold none give no rows."""
+    sent = SparkContext.getOrCreate().broadcast(index.prober())
+    dna, seed = index.dna, index.seed
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            at, pos, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)] if dna else []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                for start in range(0, len(t or "") - seed.span + 1, PIECE):
+                    part = t[start : start + PIECE + seed.span - 1]
+                    hit, code, _ = own.hits(own.points(part))
+                    at.append(np.full(len(hit), i))
+                    pos.append(start + hit)
+                    codes += [code[hit].view(np.int64)] if dna else ["".join(part[h + a : h + a + n] for a, n in seed.runs) for h in hit.tolist()]
+            at, pos = np.concatenate(at), np.concatenate(pos)
+            of = pa.array(np.concatenate(codes)) if dna else pa.array(codes, pa.string())
+            for s in range(0, len(at), 1 << 16):
+                k = slice(s, s + (1 << 16))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[k])), pa.array(pos[k].astype(np.int32)), of[k]], names=[key, "pos", "seed"])
+
+    kind = StructType([StructField(key, rows.schema[key].dataType), StructField("pos", IntegerType()), StructField("seed", LongType() if dna else StringType())])
+    return rows.select(key, text).mapInArrow(run, kind)
 
 
 def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
@@ -53,44 +81,50 @@ def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
 
 
 class Prober:
-    """Decides records against sorted seeds: numbers of two bits a base, or hashes of text windows with their text.
+    """Decides records against sorted seeds: numbers of two bits a base, or two prints of each text window.
 
     Records are laid end to end, so that each step serves many of them; a longer one is gone through in pieces.
     """
 
-    def __init__(self, index_rows: np.ndarray, seed: Seed, dna: bool, canonical: bool, alphabet: str):
-        self.seed, self.dna, self.canonical = seed, dna, canonical
-        if dna:
-            self.lut = base_table(alphabet)
-            self.known = np.sort(index_rows.astype(np.int64).view(_U))
-        else:
-            points = np.frombuffer("".join(index_rows).encode("utf-32-le"), np.uint32).reshape(len(index_rows), -1)
-            out = np.zeros(len(index_rows), _U)
-            for k in range(points.shape[1]):
-                out = out * _U(0x100000001B3) + (points[:, k].astype(_U) + _U(1))
-            self.texts = set(index_rows)
-            self.known = np.unique(out)
+    def __init__(self, first: np.ndarray, second: np.ndarray | None, *how):
+        """``first``: seeds or first prints, ``second``: the second prints of text windows; ``how``: see :meth:`describe`."""
+        self.describe(*how)
+        order = np.argsort(first) if second is None else np.lexsort((second, first))
+        self.known, self.second = first[order], None if second is None else second[order]
+        same = np.flatnonzero(np.append(np.diff(self.known) != 0, True))
+        self.most = int(np.diff(np.append(-1, same)).max(initial=1))  # windows that share a first print
         # a table of first bits tells most windows that are not known apart from the rest
         self.table = np.zeros(1 << 22, bool)
         self.table[self.slot(self.known)] = True
 
+    def describe(self, seed: Seed, dna: bool, canonical: bool, alphabet: str) -> None:
+        self.seed, self.dna, self.canonical = seed, dna, canonical
+        self.lut = base_table(alphabet) if dna else None
+
     @staticmethod
     def slot(code: np.ndarray) -> np.ndarray:
         return ((code * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
 
     def points(self, text: str) -> np.ndarray:
-        return np.frombuffer(text.encode("latin-1", "replace"), np.uint8) if self.dna else np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return np.frombuffer(text.encode("latin-1", "replace"), np.uint8) if self.dna else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
 
     def windows(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
         """Codes of all windows, and which are valid (None: all)."""
-        if self.dna:
-            return codes_of(points, self.seed, self.lut, self.canonical)
-        n = len(points) - self.seed.span + 1
-        wide, out = points.astype(_U) + _U(1), np.zeros(n, _U)
-        for p in self.seed.positions:
-            out *= _U(0x100000001B3)
-            out += wide[p : p + n]
-        return out, None
+        return codes_of(points, self.seed, self.lut, self.canonical) if self.dna else (text_prints(points, self.seed), None)
+
+    def hits(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """Places of known windows, codes of all windows, and which are valid."""
+        code, good = self.windows(points)
+        hit = self.known_at(code)
+        if good is not None:
+            hit = hit[good[hit]]
+        elif getattr(self, "second", None) is not None and len(hit):  # the second print decides
+            want, at, same = text_prints(points, self.seed, 1, hit), np.searchsorted(self.known, code[hit]), np.zeros(len(hit), bool)
+            for k in range(self.most):
+                i = np.minimum(at + k, len(self.known) - 1)
+                same |= (self.known[i] == code[hit]) & (self.second[i] == want)
+            hit = hit[same]
+        return hit, code, good
 
     def known_at(self, code: np.ndarray) -> np.ndarray:
         """Places of codes that are known."""
@@ -109,7 +143,7 @@ class Prober:
         out = np.zeros((3, len(records)), np.int64)
         if len(whole) < span:
             return out
-        code, good = self.windows(self.points(whole))
+        hit, code, good = self.hits(self.points(whole))
         inside = np.zeros(len(whole) + 1, np.int32)  # windows that begin and end in one record
         fits = size >= span
         np.add.at(inside, begin[fits], 1)
@@ -117,10 +151,7 @@ class Prober:
         inside = np.cumsum(inside)[: len(code)] > 0
         if good is not None:
             inside &= good
-        hit = self.known_at(code)
         hit = hit[inside[hit]]
-        if not self.dna and len(hit):  # the hash says so; the text decides
-            hit = hit[["".join(whole[i + a : i + a + n] for a, n in self.seed.runs) in self.texts for i in hit.tolist()]]
         sums = np.concatenate([[0], np.cumsum(inside)])
         ends = np.minimum(begin + size, len(code))
         out[1] = sums[np.maximum(ends, np.minimum(begin, len(code)))] - sums[np.minimum(begin, len(code))]
@@ -139,12 +170,7 @@ class Prober:
         seeds_, mark, found = 0, np.zeros(len(record), bool), 0
         for at in range(0, len(record) - self.seed.span + 1, PIECE):
             part = record[at : at + PIECE + self.seed.span - 1]
-            code, good = self.windows(self.points(part))
-            hit = self.known_at(code)
-            if good is not None:
-                hit = hit[good[hit]]
-            else:
-                hit = np.array([i for i in hit.tolist() if "".join(part[i + a : i + a + n] for a, n in self.seed.runs) in self.texts], np.int64)
+            hit, code, good = self.hits(self.points(part))
             seeds_ += len(code) if good is None else int(good.sum())
             found += len(hit)
             for p in self.seed.positions:
@@ -172,7 +198,7 @@ PROBED = "covered long, seeds long, found long"
 
 
 def probe(text: Column, index) -> Column:
-    """A struct of :data:`PROBED` for each record; ``index``: an :class:`Index` that is small enough, or a published one."""
+    """A struct of :data:`PROBED` for each record; ``index``: an :class:`Index` or a published one."""
     sent = SparkContext.getOrCreate().broadcast(index.prober())
 
     @F.arrow_udf(PROBED)
@@ -190,13 +216,15 @@ def probe(text: Column, index) -> Column:
 
 def coverage(rows: DataFrame, key: str, text: str, index, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
     """key, length and covered of every record (0 for such as have no hit); ``max_length``: longer ones never match."""
-    if strategy == "auto":
-        strategy = "probe" if index.small else "join"
     size = F.length(text).cast("int")
     asked = F.col(text) if max_length is None else F.when(size <= max_length, F.col(text))
-    if strategy == "probe":
+    if strategy in ("auto", "probe"):
         return rows.select(key, size.alias("length"), probe(asked, index).alias("p")).select(key, F.coalesce("length", F.lit(0)).alias("length"), F.col("p.covered").alias("covered"))
-    hits = seed_hits(rows.select(key, asked.alias(text)), key, text, index)
+    asked_rows = rows.select(key, asked.alias(text))
+    if strategy == "verified":
+        hits = found_windows(asked_rows, key, text, index).join(index.codes, "seed", "left_semi").select(key, "pos")
+    else:
+        hits = seed_hits(asked_rows, key, text, index)
     found = covered_by_hits(hits, key, index.seed)
     return rows.select(key, F.coalesce(size, F.lit(0)).alias("length")).join(found, key, "left").select(key, "length", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 

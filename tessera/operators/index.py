@@ -21,8 +21,8 @@ TARGET_LOAD = 0.95
 WARN_LOAD = 90
 
 
-#: Seeds that are sent to tasks (8 bytes each); larger indexes are joined.
-PROBE_LIMIT = 8_000_000
+#: Bytes of seeds that are sent to tasks (8 a seed of bases, 16 a text window); larger indexes are mapped from a file.
+PROBE_LIMIT = 64 << 20
 
 
 @dataclass(eq=False)
@@ -39,6 +39,10 @@ class Index:
     alphabet: str = "strict"
     #: Whether the codes lie in a table already.
     kept: bool = False
+    #: A single row: the characters of the reference, which has no more windows.
+    windows: DataFrame | None = None
+    #: Bits of a fingerprint where the index is mapped: 8, 16 or 32.
+    filter_bits: int = 32
 
     def save(self, path: str) -> None:
         self.codes.write.mode("overwrite").parquet(path)
@@ -55,18 +59,51 @@ class Index:
             self.codes, self.kept = self.load(f"{path}/codes").codes, True
         return self
 
+    @cached_property
+    def size(self) -> int:
+        """How many seeds there are."""
+        return self.stored().codes.count()
+
     @cached_property
     def small(self) -> bool:
-        """Whether the seeds may be sent to the tasks."""
-        return self.stored().codes.limit(PROBE_LIMIT + 1).count() <= PROBE_LIMIT
+        """Whether the seeds may be sent to the tasks: by the reference's length, else by their number."""
+        limit = PROBE_LIMIT // (8 if self.dna else 16)
+        return (self.windows is not None and (self.windows.first()[0] or 0) <= limit) or self.size <= limit
+
+    def prints(self) -> DataFrame:
+        """first and second: the two prints of each text window."""
+        seed = Seed("#" * self.seed.weight)  # of the significant characters
+
+        def run(batches):
+            for b in batches:
+                points = np.frombuffer("".join(b.column(0).to_pylist()).encode("utf-32-le", "replace"), np.uint32)
+                begin = np.arange(b.num_rows) * seed.span
+                yield pa.RecordBatch.from_arrays([pa.array(seeds.text_prints(points, seed, k, begin).view(np.int64)) for k in (0, 1)], names=["first", "second"])
+
+        return self.codes.select("seed").mapInArrow(run, "first long, second long")
+
+    @cached_property
+    def filter(self):
+        """The static filter of all seeds; built once."""
+        from tessera.operators import static_filter
+
+        codes = self.stored().codes.select(F.col("seed").alias("first")) if self.dna else self.stored().prints().select("first").distinct()
+
+        def run(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(hashing.mix64(b.column(0).to_numpy().view(np.uint64)).view(np.int64))], names=["h"])
+
+        return static_filter.build_filter(codes.mapInArrow(run, "h long"), self.size, self.filter_bits)
 
     def prober(self):
         """What decides records where they lie."""
-        from tessera.operators.coverage import Prober
+        from tessera.operators import coverage, static_filter
 
+        how = self.seed, self.dna, self.canonical, self.alphabet
         if not self.small:
-            raise ValueError(f"an index of more than {PROBE_LIMIT} seeds is not sent to the tasks; use the join strategy")
-        return Prober(self.codes.select("seed").toArrow()["seed"].to_pandas().to_numpy(), self.seed, self.dna, self.canonical, self.alphabet)
+            return static_filter.FilterProber(self.filter, *how)
+        columns = (self.codes.select("seed") if self.dna else self.prints()).toArrow().columns
+        return coverage.Prober(*(c.to_numpy().view(np.uint64) for c in columns), *[None] * (2 - len(columns)), *how)
 
 
 def coded_seeds(rows: DataFrame, key: str | None, text: str, seed: Seed, canonical: bool = True, alphabet: str = "strict") -> DataFrame:
@@ -104,16 +141,19 @@ def read_seeds(rows: DataFrame, key: str, text: str, seed: Seed, dna: bool = Tru
 
 def build_index(reference: DataFrame, text: str, seed: Seed, dna: bool = True, canonical: bool = True, alphabet: str = "strict") -> Index:
     """The distinct seeds of all rows of ``reference`` (of any length); several references are united before."""
+    windows = reference.agg(F.sum(F.length(F.col(text)).cast("long")))
     if dna:
-        return Index(coded_seeds(reference, None, text, seed, canonical, alphabet).distinct(), seed, dna, canonical, alphabet)
+        return Index(coded_seeds(reference, None, text, seed, canonical, alphabet).distinct(), seed, dna, canonical, alphabet, windows=windows)
     found = read_seeds(reference.select(F.lit(0).alias("_k"), text), "_k", text, seed, dna, canonical, alphabet)
-    return Index(found.select("seed").distinct(), seed, dna, canonical, alphabet)
+    return Index(found.select("seed").distinct(), seed, dna, canonical, alphabet, windows=windows)
 
 
 def index_of_fasta(spark: SparkSession, path: str, seed: Seed, canonical: bool = True, alphabet: str = "strict", stretch: int = seeds.PIECE) -> Index:
     """The index of FASTA files, whose contigs come in overlapping stretches: memory does not follow their length, and all cores cut seeds."""
     found = spark.read.format("fasta").option("stretch", stretch).option("overlap", seed.span - 1).load(path).select("seq")
-    return build_index(found.repartition(spark.sparkContext.defaultParallelism), "seq", seed, True, canonical, alphabet)
+    own = build_index(found.repartition(spark.sparkContext.defaultParallelism), "seq", seed, True, canonical, alphabet)
+    own.windows = None  # files are not read once more for their length
+    return own
 
 
 def log2_buckets(bases: Column) -> Column:

@@ -22,16 +22,14 @@ RECORD = ("header", "seq", "plus", "qual")
 def split_reads(reads: DataFrame, index: Index | PublishedIndex, permille: int = 500, strategy: str = "auto", max_length: int | None = None) -> DataFrame:
     """Each record with its verdict; both sides are in the result, so none is lost.
 
-    With the probe strategy (always so for a published index) this is one narrow stage over the scan, also on streams.
+    This is one narrow stage over the scan, also on streams, whatever the index's size is; the strategies ``join`` and ``verified`` (see :mod:`tessera.operators.coverage`) shuffle windows.
     """
     size = F.coalesce(F.length("seq"), F.lit(0))
-    if strategy == "auto":
-        strategy = "probe" if index.small else "join"
-    if strategy == "probe":
+    if strategy in ("auto", "probe"):
         asked = F.col("seq") if max_length is None else F.when(F.length("seq") <= max_length, F.col("seq"))
         found = reads.withColumn("_p", coverage.probe(asked, index))
         return found.withColumn("matched", coverage.matches(F.col("_p.covered"), size, permille)).drop("_p")
-    said = coverage.verdicts(reads.select(F.struct("sample", "mate", "ordinal").alias("id"), "seq"), "id", "seq", index, permille, strategy="join", max_length=max_length)
+    said = coverage.verdicts(reads.select(F.struct("sample", "mate", "ordinal").alias("id"), "seq"), "id", "seq", index, permille, strategy=strategy, max_length=max_length)
     said = said.select("id.*", "matched")
     return reads.join(said, ["sample", "mate", "ordinal"])
 

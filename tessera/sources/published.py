@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.hashing import bucket_of
-from tessera.functions.seeds import Seed, base_table
+from tessera.functions.seeds import Seed
 from tessera.operators.coverage import Prober, probe
 from tessera.operators.index import NativeLayout
 
@@ -134,7 +134,8 @@ class PublishedProber(Prober):
     """Decides records against a filter file, which each task maps into memory (a shared or shipped path)."""
 
     def __init__(self, path: str, what: Description, alphabet: str):
-        self.path, self.what, self.seed, self.dna, self.canonical, self.lut = path, what, what.seed, True, True, base_table(alphabet)
+        self.describe(what.seed, True, True, alphabet)
+        self.path, self.what = path, what
 
     def __getstate__(self):
         return {k: v for k, v in vars(self).items() if k != "raw"}

@@ -32,9 +32,14 @@ def hadoop_path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """The path of a new, uniquely named folder in the shared one; what is written there stays."""
+    return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+
+
 def workspace(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one; it goes when the driver's JVM ends."""
-    path = f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    path = new_folder(spark, name)
     place, files = hadoop_path(spark, path)
     files.mkdirs(place)
     files.deleteOnExit(place)

@@ -6,8 +6,10 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from jobs import queries as jobs
 from tessera import queries
 
+ALL, SQL = queries.QUERIES | jobs.QUERIES, queries.ORACLES | jobs.ORACLES
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -26,9 +28,9 @@ def canonical(df):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+@pytest.mark.parametrize("name", sorted(ALL))
 def test_query_equals_its_sql(spark, duck, name):
-    got, want = queries.QUERIES[name](spark, DATA).toPandas(), duck.sql(queries.ORACLES[name]).df()
+    got, want = ALL[name](spark, DATA).toPandas(), duck.sql(SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert canonical(got) == canonical(want)
 
