@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 import numpy as np
@@ -41,8 +41,9 @@ class Index:
     kept: bool = False
     #: A single row: the characters of the reference, which has no more windows.
     windows: DataFrame | None = None
-    #: Bits of a fingerprint where the index is mapped: 8, 16 or 32.
+    #: Bits of a fingerprint where the index is mapped: 8, 16 or 32; whether it is mapped however small it is.
     filter_bits: int = 32
+    always_mapped: bool = False
 
     def save(self, path: str) -> None:
         self.codes.write.mode("overwrite").parquet(path)
@@ -59,6 +60,10 @@ class Index:
             self.codes, self.kept = self.load(f"{path}/codes").codes, True
         return self
 
+    def mapped(self, bits: int = 32) -> Index:
+        """The same index, probed through a static filter."""
+        return replace(self.stored(), filter_bits=bits, always_mapped=True)
+
     @cached_property
     def size(self) -> int:
         """How many seeds there are."""
@@ -100,7 +105,7 @@ class Index:
         from tessera.operators import coverage, static_filter
 
         how = self.seed, self.dna, self.canonical, self.alphabet
-        if not self.small:
+        if self.always_mapped or not self.small:
             return static_filter.FilterProber(self.filter, *how)
         columns = (self.codes.select("seed") if self.dna else self.prints()).toArrow().columns
         return coverage.Prober(*(c.to_numpy().view(np.uint64) for c in columns), *[None] * (2 - len(columns)), *how)

@@ -378,6 +378,26 @@ def coverage_spaced_join(spark, sf_dir):
     return coverage.coverage(noisy_reads(spark, sf_dir), "read_id", "seq", dna_index(spark, sf_dir), strategy="join").select("read_id", "covered", "length")
 
 
+@query(f"WITH {DNA_COVERAGE} SELECT read_id, covered, length FROM verdict")
+def coverage_mapped(spark, sf_dir):
+    """Spaced coverage through a static filter that tasks map, as for indexes too large to be sent: one narrow stage."""
+    return coverage.coverage(noisy_reads(spark, sf_dir), "read_id", "seq", dna_index(spark, sf_dir).mapped()).select("read_id", "covered", "length")
+
+
+@query(f"WITH {DNA_SEEDS} SELECT read_id, count(*) AS hits, CAST(sum(pos) AS BIGINT) AS places FROM hits GROUP BY read_id")
+def verified_hits(spark, sf_dir):
+    """Windows found through a filter of eight bits, whose false finds a semi-join with the seeds takes out."""
+    own = dna_index(spark, sf_dir).mapped(8)
+    found = coverage.found_windows(noisy_reads(spark, sf_dir), "read_id", "seq", own).join(own.codes, "seed", "left_semi")
+    return found.groupBy("read_id").agg(F.count("*").alias("hits"), F.sum("pos").alias("places"))
+
+
+@query(f"WITH {TEXT_COVERAGE} SELECT doc_id, covered, length FROM dverdict")
+def coverage_text_mapped(spark, sf_dir):
+    """Coverage of documents through a static filter of the prints of text windows."""
+    return coverage.coverage(documents(spark, sf_dir), "doc_id", "text", text_index(spark, sf_dir).mapped()).select("doc_id", "covered", "length")
+
+
 @query(f"WITH {DNA_COVERAGE} SELECT read_id, CAST(floor(covered * 1000 / length) AS BIGINT) AS permille FROM verdict")
 def coverage_score(spark, sf_dir):
     c = coverage.coverage(noisy_reads(spark, sf_dir), "read_id", "seq", dna_index(spark, sf_dir))
@@ -504,6 +524,19 @@ def fastq_scan(spark, sf_dir):
     return scanned(spark, sf_dir, "none", split=1 << 18)
 
 
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_appends(spark, sf_dir):
+    """Reads written by two appends to one folder, after an overwrite of what was there: all are there once."""
+    from tessera.sources import sequences
+
+    sequences.register(spark)
+    path, rows = f"{workspace(spark, 'appends')}/reads", paired_reads(spark, sf_dir)
+    parts = [(rows.where("read_id % 3 = 0"), "overwrite"), (rows.where("read_id % 3 = 1"), "overwrite"), (rows.where("read_id % 3 = 2"), "append"), (rows.where("read_id % 3 = 0"), "append")]
+    for part, mode in parts:
+        part.drop("read_id").write.format("fastq").option("compression", "bgzf").mode(mode).save(path)
+    return spark.read.format("fastq").load(path).select("header", "seq", "plus", "qual")
+
+
 @query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
 def fastq_gzip(spark, sf_dir):
     """The same through gzip files of one member."""

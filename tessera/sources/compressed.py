@@ -37,12 +37,13 @@ def inflate(f: BinaryIO, permissive: bool = False) -> Iterator[bytes]:
     """The bytes of all members of a gzip stream, in pieces."""
     data, out = b"", None
     while True:
+        # a member's mark may lie across two pieces
+        while len(data) < (2 if out is None else 1) and (more := f.read(PIECE)):
+            data += more
         if not data:
-            data = f.read(PIECE)
-            if not data:
-                break
+            break
         if out is None:
-            if not is_gzip(data) and (len(data) >= 2 or f.read(1)):
+            if not is_gzip(data):
                 if permissive or not data.strip(b"\0"):
                     return
                 raise ValueError("there are bytes after the last gzip member")

@@ -1,4 +1,4 @@
-"""FASTQ and FASTA as Python data sources: ``spark.read.format("fastq").load(path)``, and ``readStream`` for FASTQ.
+"""FASTQ and FASTA as Python data sources: ``spark.read.format("fastq").load(path)``; streams of files: :func:`tessera.streaming.split.read_fastq_stream`.
 
 Plain and block-gzip FASTQ files are cut into ranges of ``split`` bytes (128 MB; 0: whole files), which are the tasks; other gzip files can't be cut. A record
 belongs to the range that holds the newline before it, and is found there by its marks (``@``, and ``+`` two lines on). ``ordinal`` counts
@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import glob
 import os
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from tessera.sources import compressed
 from tessera.sources.shared import as_local
@@ -106,6 +108,27 @@ def fastq_records(path: str, keep_cr: bool = False, last: bool = True, permissiv
         yield (*four, b"")  # an empty last line
 
 
+def fastq_batches(part: FileRange, o) -> Iterator[pa.RecordBatch]:
+    """The records of a range of a file, by the source's options."""
+    sample, mate = o.get("sample", os.path.basename(part.value)), int(o.get("mate", 0))
+    rows: list[tuple] = []
+    first = part.number << RANGE_BIT
+
+    def batch():
+        cols = [pa.array([x[k].decode("latin-1") for x in rows], pa.string()) for k in range(4)]
+        n = len(rows)
+        return pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.string()), pa.array([mate] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), *cols], names=["sample", "mate", "ordinal", "header", "seq", "plus", "qual"])
+
+    for r in fastq_records(part.value, _true(o, "keepcr", False), _true(o, "lastrecord", True), _true(o, "permissive", False), part.start, part.end):
+        rows.append(r)
+        if len(rows) == BATCH:
+            yield batch()
+            first += len(rows)
+            rows = []
+    if rows:
+        yield batch()
+
+
 class FastqReader(DataSourceReader):
     def __init__(self, options):
         self.options = dict(options)
@@ -114,54 +137,18 @@ class FastqReader(DataSourceReader):
         return _ranges(_files(self.options), self.options)
 
     def read(self, partition):
-        o = self.options
-        sample, mate = o.get("sample", os.path.basename(partition.value)), int(o.get("mate", 0))
-        rows: list[tuple] = []
-        first = partition.number << RANGE_BIT
-
-        def batch():
-            cols = [pa.array([x[k].decode("latin-1") for x in rows], pa.string()) for k in range(4)]
-            n = len(rows)
-            return pa.RecordBatch.from_arrays([pa.array([sample] * n, pa.string()), pa.array([mate] * n, pa.int32()), pa.array(range(first, first + n), pa.int64()), *cols], names=["sample", "mate", "ordinal", "header", "seq", "plus", "qual"])
-
-        for r in fastq_records(partition.value, _true(o, "keepcr", False), _true(o, "lastrecord", True), _true(o, "permissive", False), partition.start, partition.end):
-            rows.append(r)
-            if len(rows) == BATCH:
-                yield batch()
-                first += len(rows)
-                rows = []
-        if rows:
-            yield batch()
-
-
-class FastqStreamReader(FastqReader, DataSourceStreamReader):
-    """Files in the order of their time of change and name; a batch has those that came since the last one, so files are to be moved in when they are whole."""
-
-    def _arrivals(self) -> list[tuple[int, str]]:
-        try:
-            return sorted((os.stat(p).st_mtime_ns, p) for p in _files(self.options))
-        except FileNotFoundError:
-            return []
-
-    def initialOffset(self):
-        return {"time": 0, "path": ""}
-
-    def latestOffset(self):
-        here = self._arrivals()
-        return {"time": here[-1][0], "path": here[-1][1]} if here else self.initialOffset()
-
-    def partitions(self, start, end):
-        a, b = ((x["time"], x["path"]) for x in (start, end))
-        return _ranges([p for t, p in self._arrivals() if a < (t, p) <= b], self.options)
-
-    def commit(self, end):
-        pass
+        return fastq_batches(partition, self.options)
 
 
 class FastqWriter(DataSourceArrowWriter):
-    """Writes records to parts of a folder; parts count only once the job commits. ``compression``: none, gzip, members (a gzip member for each batch) or bgzf."""
+    """Writes records to parts of a folder; parts count only once the job commits. ``compression``: none, gzip, members (a gzip member for each batch) or bgzf.
+
+    Parts and their temporary folder have the job's own name, so an append adds to what is there and jobs do not touch each other's files. Overwriting
+    moves the new parts in first and then removes those that were there; a job that fails removes only its own.
+    """
 
     def __init__(self, options, overwrite: bool):
+        self.job = uuid.uuid4().hex
         self.path = as_local(options.get("path", ""))
         self.compression = options.get("compression", "gzip" if _true(options, "gzip", False) else "none")
         self.overwrite = overwrite
@@ -170,9 +157,9 @@ class FastqWriter(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         ctx = TaskContext.get()
-        os.makedirs(f"{self.path}/_temporary", exist_ok=True)
-        name = f"part-{ctx.partitionId():05d}.fastq" + {"none": "", "gzip": ".gz", "members": ".gz", "bgzf": ".bgz"}[self.compression]
-        temporary = f"{self.path}/_temporary/{ctx.taskAttemptId()}-{name}"
+        os.makedirs(self.temporary, exist_ok=True)
+        name = f"part-{ctx.partitionId():05d}-{self.job}.fastq" + {"none": "", "gzip": ".gz", "members": ".gz", "bgzf": ".bgz"}[self.compression]
+        temporary = f"{self.temporary}/{ctx.taskAttemptId()}-{name}"
         n = 0
         with open(temporary, "wb") as f:
             out = compressed.Packer(f, self.compression)
@@ -183,22 +170,24 @@ class FastqWriter(DataSourceArrowWriter):
             out.close()
         return Written(temporary, name, n)
 
+    @property
+    def temporary(self) -> str:
+        return f"{self.path}/_temporary-{self.job}"
+
     def commit(self, messages):
-        if self.overwrite:
-            for p in glob.glob(f"{glob.escape(self.path)}/part-*.fastq*"):
-                os.remove(p)
+        old = glob.glob(f"{glob.escape(self.path)}/part-*.fastq*") if self.overwrite else []
         for m in messages:
             if m is not None:
                 os.replace(m.temporary, f"{self.path}/{m.name}")
+        for p in old:
+            os.remove(p)
         self._clean()
 
     def abort(self, messages):
         self._clean()
 
     def _clean(self):
-        import shutil
-
-        shutil.rmtree(f"{self.path}/_temporary", ignore_errors=True)
+        shutil.rmtree(self.temporary, ignore_errors=True)
 
 
 class Written(WriterCommitMessage):
@@ -217,9 +206,6 @@ class FastqSource(DataSource):
     def reader(self, schema):
         return FastqReader(self.options)
 
-    def streamReader(self, schema):
-        return FastqStreamReader(self.options)
-
     def writer(self, schema, overwrite):
         return FastqWriter(self.options, overwrite)
 

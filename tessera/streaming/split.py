@@ -17,20 +17,47 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 from tessera.operators import coverage
 from tessera.operators.index import Index
 from tessera.sources.published import PublishedIndex
-from tessera.sources.sequences import register
-
-READ_SCHEMA = "sample string, mate int, ordinal bigint, header string, seq string, plus string, qual string"
-
-
-def read_fastq_stream(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Records of the FASTQ files that arrive in a folder (see :mod:`tessera.sources.sequences` for the options)."""
-    register(spark)
-    return spark.readStream.format("fastq").options(**options).load(path)
+from tessera.sources import compressed
+from tessera.sources.sequences import FASTQ_SCHEMA, SPLIT, FileRange, fastq_batches
+from tessera.sources.shared import as_local
+
+READ_SCHEMA = FASTQ_SCHEMA
+
+
+def read_fastq_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, **options) -> DataFrame:
+    """Records of the FASTQ files that arrive in a folder (see :mod:`tessera.sources.sequences` for the options; ``split``: bytes of a range).
+
+    Which files came is kept by Spark's file source in the query's checkpoint, by their names: files that are moved in late, with older or equal times, are taken too, and a
+    batch has ``files_per_batch`` files at most. What the source hands on is names and sizes; ranges of them are dealt out and read in tasks, which open the files (a mounted
+    store). The bytes of each batch are observed as ``input``. Files are to be moved in whole.
+    """
+    step = int(options.get("split", SPLIT)) or 1 << 62
+    options = {k: str(v) for k, v in options.items()}
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary")
+    files = files.option("maxFilesPerTrigger", files_per_batch).option("maxFileAge", "36500d").load(path).select("path", "length")
+    begin = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("length") - 1, F.lit(0)), F.lit(step))).alias("start")
+    ranges = files.select("path", "length", begin).withColumn("end", F.least(F.col("start") + step, F.col("length")))
+    ranges = ranges.observe("input", F.coalesce(F.sum(F.col("end") - F.col("start")), F.lit(0)).alias("bytes"), F.count_if(F.col("start") == 0).alias("files"))
+
+    def read(batches):
+        for b in batches:
+            for r in b.to_pylist():
+                own = as_local(r["path"])
+                whole = r["start"] == 0 and r["end"] == r["length"]
+                if not whole and not compressed.can_be_split(own):
+                    if r["start"]:
+                        continue  # the first range reads all
+                    whole = True
+                part = FileRange(own) if whole else FileRange(own, r["start"], r["end"], r["start"] // step)
+                yield from fastq_batches(part, options)
+
+    # ranges are a few bytes each; their reading is what is dealt out
+    return ranges.repartition("path", "start").mapInArrow(read, FASTQ_SCHEMA)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Records (as Parquet of :data:`READ_SCHEMA`) that arrive in a folder."""
-    reader = spark.readStream.schema(READ_SCHEMA).format("parquet")
+    reader = spark.readStream.schema(READ_SCHEMA).format("parquet").option("maxFileAge", "36500d")
     return (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).load(path)
 
 
@@ -58,14 +85,17 @@ def pair_stream(reads: DataFrame, index: Index | PublishedIndex, write: Callable
 
 
 class Progress(StreamingQueryListener):
-    """The counts of a query so far, and the share of known input that is done (never over one)."""
+    """The counts of a query so far, and the share of known input that is done (never over one): of its bytes as stored, else of its rows."""
 
-    def __init__(self, total_rows: int | None = None):
-        self.total, self.rows, self.matched, self.ended = total_rows, 0, 0, False
-        self.began: float | None = None
+    def __init__(self, total_rows: int | None = None, total_bytes: int | None = None):
+        self.total, self.total_bytes = total_rows, total_bytes
+        self.rows = self.matched = self.bytes = 0
+        self.ended, self.began, self.shares = False, None, []
 
     @property
     def share(self) -> float | None:
+        if self.total_bytes:
+            return min(1.0, self.bytes / self.total_bytes)
         return min(1.0, self.rows / self.total) if self.total else None
 
     def seconds_left(self, now: float | None = None) -> float | None:
@@ -77,10 +107,13 @@ class Progress(StreamingQueryListener):
         self.began = time.time()
 
     def onQueryProgress(self, event):
-        counts = event.progress.observedMetrics.get("counts")
+        counts, read = (event.progress.observedMetrics.get(k) for k in ("counts", "input"))
         if counts is not None:
             self.rows += counts["reads"]
             self.matched += counts["matched"]
+        if read is not None:
+            self.bytes += read["bytes"]
+        self.shares.append(self.share)
 
     def onQueryIdle(self, event):
         pass

@@ -399,8 +399,76 @@ def test_stream_of_fastq_files(known, tmp_path):
     want = {(r[0], "true" if k % 2 else "false") for k, r in enumerate(rows)}
     (tmp_path / "in/a.fastq").write_bytes(fastq(rows[:25]))
     assert run() == ({x for x in want if int(x[0][2:]) < 25}, 25)
-    (tmp_path / "in/b.fastq.gz").write_bytes(gzip.compress(fastq(rows[25:])))
+    (tmp_path / "in/b.fastq.gz").write_bytes(gzip.compress(fastq(rows[25:33])))
+    os.utime(tmp_path / "in/b.fastq.gz", (10**9, 10**9))  # moved in later with a much older time
+    assert run() == ({x for x in want if int(x[0][2:]) < 33}, 33)
+    (tmp_path / "in/c.fastq.bgz").write_bytes(block_gzip(fastq(rows[33:]), 300))
+    os.utime(tmp_path / "in/c.fastq.bgz", (10**9, 10**9))  # and another of the same time
     assert run() == (want, 40)
+    assert run() == (want, 40)
+
+
+def test_stream_takes_a_backlog_in_batches_and_tells_its_share(known, tmp_path):
+    from tessera.streaming import split as stream
+
+    own = index.build_index(known.createDataFrame([(random_dna(300, 77),)], "s string"), "s", Seed("#" * 25))
+    os.mkdir(tmp_path / "in")
+    total = 0
+    for k in range(10):
+        data = fastq(records(5, 5 * k))
+        data = (data, gzip.compress(data), block_gzip(data, 100))[k % 3]
+        (tmp_path / f"in/{k}.fastq{('', '.gz', '.bgz')[k % 3]}").write_bytes(data)
+        total += len(data)
+    progress = stream.Progress(total_bytes=total)
+    known.streams.addListener(progress)
+    q = stream.split_stream(stream.read_fastq_stream(known, str(tmp_path / "in"), files_per_batch=4, split=150), own, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    files = [p.observedMetrics["input"]["files"] for p in q.recentProgress]
+    assert sum(files) == 10 and max(files) == 4 and len([f for f in files if f]) == 3
+    for _ in range(100):
+        if progress.ended:
+            break
+        __import__("time").sleep(0.1)
+    known.streams.removeListener(progress)
+    assert progress.bytes == total and progress.share == 1.0 and progress.shares == sorted(progress.shares) and 0 < progress.shares[0] < 1
+    assert known.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def written(spark, path):
+    return sorted(r.header for r in spark.read.format("fastq").load(str(path)).collect())
+
+
+def test_appends_add_and_overwrites_replace(known, tmp_path):
+    frame = lambda a, b: known.createDataFrame([("s", 0, k, *r) for k, r in enumerate(records(b - a, a))], sequences.FASTQ_SCHEMA)
+    names_ = lambda a, b: sorted(r[0] for r in records(b - a, a))
+    out = str(tmp_path / "out")
+    frame(0, 10).write.format("fastq").mode("append").save(out)
+    frame(10, 17).write.format("fastq").mode("append").option("compression", "bgzf").save(out)
+    assert written(known, out) == names_(0, 17)
+    bad = frame(20, 25).withColumn("seq", F.when(F.col("ordinal") == 3, F.raise_error(F.lit("broken"))).otherwise(F.col("seq")))
+    for mode in ("append", "overwrite"):
+        with pytest.raises(Exception, match="broken"):
+            bad.write.format("fastq").mode(mode).save(out)
+        assert written(known, out) == names_(0, 17)  # nothing lost, nothing partial
+    os.makedirs(f"{out}/_temporary-other")  # another writer at work
+    frame(30, 34).write.format("fastq").mode("overwrite").save(out)
+    assert written(known, out) == names_(30, 34) and os.listdir(f"{out}/_temporary-other") == []
+    assert [x for x in os.listdir(out) if x.startswith("_temporary")] == ["_temporary-other"]
+
+
+@pytest.mark.parametrize("permissive", [False, True])
+def test_members_end_anywhere_in_a_piece(monkeypatch, permissive):
+    data = gzip.compress(b"a" * 50) + gzip.compress(b"b" * 60) + gzip.compress(b"") + gzip.compress(b"c" * 40)
+    for piece in range(1, len(data) + 1):
+        monkeypatch.setattr(compressed, "PIECE", piece)
+        assert b"".join(compressed.inflate(io.BytesIO(data), permissive)) == b"a" * 50 + b"b" * 60 + b"c" * 40
+        assert len(b"".join(compressed.inflate(io.BytesIO(data + bytes(5)), permissive))) == 150
+        for rest in (b"x", b"xyz"):
+            if permissive:
+                assert len(b"".join(compressed.inflate(io.BytesIO(data + rest), True))) == 150
+            else:
+                with pytest.raises(ValueError):
+                    b"".join(compressed.inflate(io.BytesIO(data + rest)))
 
 
 def test_a_run_is_cancelled_and_leaves_no_output(known, tmp_path):
