@@ -218,7 +218,12 @@ class NativeLayout:
     def window_bits(self) -> int:
         return self.slot_bits * self.window_size
 
+    @property
+    def slots_each(self) -> int:
+        """Slots of a subfilter."""
+        return -(-self.slots // self.subfilters)
+
     @property
     def subfilter_bits(self) -> int:
-        used = -(-self.slots // self.subfilters) * self.slot_bits
+        used = self.slots_each * self.slot_bits
         return used + 512 - used % 512

@@ -611,24 +611,20 @@ def long_contig_index(spark, sf_dir):
 
 def published_index(spark: SparkSession, sf_dir: str):
     """The contigs' seeds as a published index: an archive of a filter and its description, unpacked and checked."""
-    import io
     import tarfile
 
     from tessera.sources import published
     from tessera.sources.shared import as_local
 
     folder = as_local(workspace(spark, "published"))
-    own = dna_index(spark, sf_dir)
-    if not own.small:
-        raise ValueError("the encoder is for small references")
-    codes = own.codes.select("seed").toArrow()["seed"].to_numpy()  # PROBE_LIMIT at most
-    info = published.describe(SPACED, len(codes))
-    data = published.encode_filter(codes, published.Description.of(published.read_info(info)))
-    with tarfile.open(f"{folder}/index.tar.gz", "w:gz") as tar:
-        for name, content in (("i.filter", data), ("i.info", info)):
-            entry = tarfile.TarInfo(name)
-            entry.size = len(content)
-            tar.addfile(entry, io.BytesIO(content))
+    own = dna_index(spark, sf_dir).stored()
+    info = published.describe(SPACED, own.size, subfilters=5)
+    published.write_filter(own.codes, published.Description.of(published.read_info(info)), f"{folder}/i.filter")
+    with open(f"{folder}/i.info", "wb") as f:
+        f.write(info)
+    with tarfile.open(f"{folder}/index.tar.gz", "w:gz") as tar:  # from file to file
+        for name in ("i.filter", "i.info"):
+            tar.add(f"{folder}/{name}", name)
     return published.PublishedIndex(*published.load_published(*published.unpack(f"{folder}/index.tar.gz", folder)))
 
 

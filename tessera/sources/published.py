@@ -7,9 +7,11 @@ import os
 import pickle
 import re
 import tarfile
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -169,42 +171,87 @@ def probe_published(text: Column, filter_path: str, what: Description, alphabet:
     return probe(text, PublishedIndex(filter_path, what, alphabet))
 
 
-def encode_filter(codes: np.ndarray, what: Description, steps: int = 500) -> bytes:
-    """The bits of a filter that holds the codes: each goes into a free slot of its two windows, else it takes the place of another, which moves on.
+def settle(one: np.ndarray, two: np.ndarray, size: int, slots: int, rounds: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """A slot for each code within ``size`` from the begin of one of its windows, and which window: all codes at once, in rounds.
 
-    Works code by code: for the references of tests and small studies.
+    A code takes a free slot of its windows, else it takes the place of a code that lies there, which goes on in the next round. Of codes that want one slot the first gets it.
     """
+    rng, near = np.random.default_rng(seed), np.arange(size)
+    owner, at, side = np.full(slots, -1, np.int64), np.full(len(one), -1, np.int64), np.zeros(len(one), np.int64)
+    pending = np.arange(len(one))
+    for _ in range(rounds):
+        if not len(pending):
+            return at, side
+        wanted = np.concatenate([one[pending, None] + near, two[pending, None] + near], axis=1)
+        free = owner[wanted] < 0
+        room = free.any(1)
+        pick = np.where(room, (free * rng.random(free.shape)).argmax(1), rng.integers(2 * size, size=len(pending)))
+        slot, first = np.unique(wanted[np.arange(len(pending)), pick], return_index=True)
+        taker, moved = pending[first], owner[slot]
+        moved = moved[moved >= 0]
+        at[moved] = -1
+        owner[slot], at[taker], side[taker] = taker, slot, pick[first] // size
+        lost = np.ones(len(pending), bool)
+        lost[first] = False
+        pending = np.concatenate([pending[lost], moved])
+    if len(pending):
+        raise ValueError(f"the filter is too small for the codes: {len(pending)} of {len(one)} have no slot")
+    return at, side
+
+
+def packed(values: np.ndarray, bits: int) -> Iterator[bytes]:
+    """Numbers of ``bits`` bits in a row, lowest bit first, some at a time."""
+    places = np.arange(bits, dtype=np.uint64)
+    for s in range(0, len(values), 1 << 18):  # whole bytes each
+        yield np.packbits(((values[s : s + (1 << 18), None] >> places) & _U(1)).astype(np.uint8), bitorder="little").tobytes()
+
+
+def subfilter_values(code: np.ndarray, what: Description, rounds: int = 5000) -> np.ndarray:
+    """The slots' values of a subfilter that holds the codes (all of it)."""
     x = what.layout
-    rows = [a.tolist() for a in what.places(codes.astype(_U))]
-    slots: dict[int, int] = {}  # bit place of a slot: which code lies there, and in which window
-    turn = 0
-    for k in range(len(codes)):
-        own, choice = k, 0
-        for _ in range(steps):
-            free = next(((c, j) for c in (choice, 1 - choice) for j in range(x.window_size) if rows[1 + c][own] + j * x.slot_bits not in slots), None)
-            if free is not None:
-                slots[rows[1 + free[0]][own] + free[1] * x.slot_bits] = own << 1 | free[0]
-                break
-            turn = (turn * 1103515245 + 12345) % (1 << 31)
-            side, j = turn >> 20 & 1, (turn >> 21) % x.window_size
-            at = rows[1 + side][own] + j * x.slot_bits
-            slots[at], moved = own << 1 | side, slots[at]
-            own, choice = moved >> 1, 1 - (moved & 1)
-        else:
-            raise ValueError("the filter is too small for the codes")
-    bits = np.zeros(x.subfilter_bits * x.subfilters, np.uint8)
-    for at, v in slots.items():
-        own, choice = v >> 1, v & 1
-        j = (at - rows[1 + choice][own]) // x.slot_bits
-        value = rows[0][own] | j << x.fingerprint_bits | choice << (x.fingerprint_bits + x.offset_bits)
-        bits[at : at + x.slot_bits] = [value >> b & 1 for b in range(x.slot_bits)]
-    return np.packbits(bits, bitorder="little").tobytes() + bytes(8)
-
-
-def describe(seed: Seed, codes: int, window_size: int = 2, fingerprint_bits: int = 14, load: float = 0.7, factors: tuple[int, int, int, int] = (62591, 9123457, 51234567, 884421)) -> bytes:
-    """A pickled description of a filter with one subfilter that has room for so many codes."""
-    windows = max(2 * window_size, int(codes / load)) | 1
-    of_filter = {"filtertype": "windowed_cuckoo", "universe": 4**seed.weight, "nsubfilters": 1, "nslots": windows + window_size - 1, "nwindows_per_subfilter": windows, "windowsize": window_size, "target_fpr": fingerprint_bits, "maxsteps": 500}
+    print_, one, two, _ = what.places(code)
+    base = bucket_of(what.factors[0], code, x.subfilters, what.bits) * _U(x.subfilter_bits)
+    begin = [((w - base) // _U(x.slot_bits)).astype(np.int64) for w in (one, two)]
+    at, side = settle(*begin, x.window_size, x.slots_each, rounds)
+    within = (at - np.where(side == 0, *begin)).astype(_U)
+    out = np.zeros(x.slots_each, _U)
+    out[at] = print_ | within << _U(x.fingerprint_bits) | side.astype(_U) << _U(x.fingerprint_bits + x.offset_bits)
+    return out
+
+
+def write_filter(codes: DataFrame, what: Description, path: str, code: str = "seed") -> int:
+    """Write a filter file that holds all distinct ``codes`` (longs); returns how many there are.
+
+    Codes are dealt by their subfilter; each is filled in one task and written at its place in the file, by position, so a second attempt writes the same bytes. Take as many subfilters as
+    leave some million codes in each. ``path`` is on a store that all machines mount.
+    """
+    x, spark = what.layout, codes.sparkSession
+
+    def deal(batches):
+        for b in batches:
+            sub = bucket_of(what.factors[0], b.column(0).to_numpy().view(_U), x.subfilters, what.bits)
+            yield pa.RecordBatch.from_arrays([pa.array(sub.astype(np.int32)), b.column(0)], names=["sub", "code"])
+
+    def fill(rows: pa.Table) -> pa.Table:
+        own = np.unique(rows["code"].to_numpy().view(_U))
+        with open(path, "r+b") as f:
+            f.seek(rows["sub"][0].as_py() * (x.subfilter_bits // 8))
+            for piece in packed(subfilter_values(own, what), x.slot_bits):
+                f.write(piece)
+        return pa.table({"n": pa.array([len(own)], pa.int64())})
+
+    with open(path, "wb") as f:
+        f.truncate(x.subfilters * x.subfilter_bits // 8 + 8)
+    dealt = codes.select(F.col(code).cast("long").alias("code")).mapInArrow(deal, "sub int, code long")
+    dealt = dealt.repartition(min(x.subfilters, max(x.subfilters // 4, spark.sparkContext.defaultParallelism)), "sub")
+    return dealt.groupBy("sub").applyInArrow(fill, "n long").agg(F.sum("n")).first()[0] or 0
+
+
+def describe(seed: Seed, codes: int, window_size: int = 2, fingerprint_bits: int = 14, load: float = 0.7, subfilters: int = 1, factors: tuple[int, int, int, int] = (62591, 9123457, 51234567, 884421)) -> bytes:
+    """A pickled description of a filter that has room for so many codes, which fall to subfilters by chance."""
+    each = codes / subfilters
+    windows = max(2 * window_size, int((each + 6 * each**0.5 * (subfilters > 1)) / load)) | 1
+    of_filter = {"filtertype": "windowed_cuckoo", "universe": 4**seed.weight, "nsubfilters": subfilters, "nslots": subfilters * (windows + window_size - 1), "nwindows_per_subfilter": windows, "windowsize": window_size, "target_fpr": fingerprint_bits, "maxsteps": 500}
     of_filter |= {f"{n}_hashfunc_str": f"linear{v}" for n, v in zip(("subfilter", "window", "fingerprint", "offset"), factors)}
     return pickle.dumps((of_filter, {}, {"mask": seed.positions, "k": seed.weight, "rcmode": "max"}), 2)
 

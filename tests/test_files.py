@@ -260,6 +260,33 @@ def test_published_filter(spark, tmp_path, windows, subfilters):
     assert row.filtertype == "windowed_cuckoo" and row.span == 12 and row.hash.window == "linear9123457"
 
 
+@pytest.mark.parametrize("subfilters,window_size,bits,load", [(1, 2, 14, 0.7), (7, 2, 13, 0.9), (4, 3, 7, 0.9), (16, 1, 16, 0.4)])
+def test_filters_are_written_by_subfilter(spark, tmp_path, subfilters, window_size, bits, load):
+    """Every code is found in a file that tasks filled; slots whose bits are not whole bytes too."""
+    seed, n = Seed("#" * 15), 6000
+    rng = np.random.default_rng(3)
+    codes = np.unique(rng.integers(0, 4**15, n))
+    what = published.Description.of(published.read_info(published.describe(seed, len(codes), window_size, bits, load, subfilters)))
+    rows = spark.createDataFrame([(int(c),) for c in np.append(codes, codes[:50])], "seed long")
+    path = str(tmp_path / "i.filter")
+    assert published.write_filter(rows, what, path) == len(codes)
+    raw = np.fromfile(path, np.uint8)
+    assert len(raw) == what.layout.subfilter_bits * subfilters // 8 + 8
+    assert published.contains(raw, what, codes.astype(np.uint64)).all()
+    others = np.setdiff1d(rng.integers(0, 4**15, 50_000), codes).astype(np.uint64)
+    assert published.contains(raw, what, others).mean() <= 2 * window_size / 2**bits * 2 + 1e-4
+    again = str(tmp_path / "again.filter")
+    published.write_filter(rows.repartition(5), what, again)
+    assert (np.fromfile(again, np.uint8) == raw).all()  # a second attempt writes the same
+    assert published.write_filter(rows.where("false"), what, again) == 0 and not np.fromfile(again, np.uint8).any()
+
+
+def test_a_filter_that_is_too_small_is_told():
+    with pytest.raises(ValueError, match="too small"):
+        published.settle(np.zeros(5, np.int64), np.ones(5, np.int64), 2, 3, 200)
+    assert published.settle(np.zeros(0, np.int64), np.zeros(0, np.int64), 2, 3, 200)[0].size == 0
+
+
 def test_published_refusals(tmp_path):
     with pytest.raises(pickle.UnpicklingError):
         published.read_info(pickle.dumps((os.system, {}, {})))
@@ -369,10 +396,8 @@ def test_published_index_splits(spark, tmp_path):
     ref, seed = random_dna(300, 77), Seed("#" * 25)
     reads = reads_frame(spark, ref)
     own = index.build_index(spark.createDataFrame([(ref,)], "s string"), "s", seed)
-    codes = own.codes.toArrow()["seed"].to_numpy()
-    info = published.describe(seed, len(codes))
-    what = published.Description.of(published.read_info(info))
-    (tmp_path / "i.filter").write_bytes(published.encode_filter(codes, what))
+    info = published.describe(seed, own.size, subfilters=3)
+    assert published.write_filter(own.codes, published.Description.of(published.read_info(info)), str(tmp_path / "i.filter")) == own.size
     (tmp_path / "i.info").write_bytes(info)
     theirs = published.PublishedIndex(*published.load_published(str(tmp_path / "i.filter"), str(tmp_path / "i.info")))
     said = lambda df: {(r.ordinal, r.mate, r.matched) for r in df.collect()}
