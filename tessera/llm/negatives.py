@@ -175,15 +175,16 @@ def mine(df: DataFrame, anchors: Column, label: Column, positives: int = 5, nega
     cores = max(1, spark.sparkContext.defaultParallelism)
     row_blocks = max(1, math.ceil(n / block), min(cores, math.ceil(n / 1024)))  # as many as there are cores, unless they become tiny
     anchor_blocks = max(1, math.ceil(asked.count() / block))
+    tasks = min(10_000, 2 * row_blocks * anchor_blocks)  # blocks are few bytes for the work that they are: they are not put together in few tasks
     places = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     hashed = lambda salt, count: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(count)).cast("int")
 
     def dealt():
         read = spark.read.schema(rows.schema).parquet(rows.tessera_path)  # a frame of its own beside the anchors'
-        return read.withColumn("rb", hashed(1, row_blocks)).withColumn("ab", places(anchor_blocks)).groupBy("rb", "ab")
+        return read.withColumn("rb", hashed(1, row_blocks)).withColumn("ab", places(anchor_blocks)).repartition(tasks, "rb", "ab").groupBy("rb", "ab")
 
     def spread(questions: DataFrame):
-        return questions.withColumn("ab", hashed(2, anchor_blocks)).withColumn("rb", places(row_blocks)).groupBy("rb", "ab")
+        return questions.withColumn("ab", hashed(2, anchor_blocks)).withColumn("rb", places(row_blocks)).repartition(tasks, "rb", "ab").groupBy("rb", "ab")
 
     def like(left: pa.Table, right: pa.Table) -> pa.Table:
         """Each anchor's best rows of its label in the block."""
