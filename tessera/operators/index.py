@@ -153,10 +153,11 @@ def build_index(reference: DataFrame, text: str, seed: Seed, dna: bool = True, c
     return Index(found.select("seed").distinct(), seed, dna, canonical, alphabet, windows=windows)
 
 
-def index_of_fasta(spark: SparkSession, path: str, seed: Seed, canonical: bool = True, alphabet: str = "strict", stretch: int = seeds.PIECE) -> Index:
-    """The index of FASTA files, whose contigs come in overlapping stretches: memory does not follow their length, and all cores cut seeds."""
-    found = spark.read.format("fasta").option("stretch", stretch).option("overlap", seed.span - 1).load(path).select("seq")
-    own = build_index(found.repartition(spark.sparkContext.defaultParallelism), "seq", seed, True, canonical, alphabet)
+def index_of_fasta(spark: SparkSession, path: str, seed: Seed, canonical: bool = True, alphabet: str = "strict", stretch: int = seeds.PIECE, **options) -> Index:
+    """The index of FASTA files, which are read in ranges (``split`` bytes) by many tasks, each in overlapping stretches: memory follows neither files nor contigs."""
+    from tessera.sources.ranges import read_fasta_stretches
+
+    own = build_index(read_fasta_stretches(spark, path, stretch, seed.span - 1, **options), "seq", seed, True, canonical, alphabet)
     own.windows = None  # files are not read once more for their length
     return own
 

@@ -42,6 +42,18 @@ def split_pairs(reads: DataFrame, index: Index | PublishedIndex, permille: int =
     return said.drop("matched").join(whole.drop("mates"), ["sample", "ordinal"])
 
 
+def split_read_pairs(pairs: DataFrame, index: Index | PublishedIndex, permille: int = 500, max_length: int | None = None) -> DataFrame:
+    """As :func:`split_pairs` for pairs that were read together (:func:`tessera.sources.ranges.read_pairs`): each is decided where it lies, then its mates become records."""
+
+    def hit(text: str) -> Column:
+        asked = F.col(text) if max_length is None else F.when(F.length(text) <= max_length, F.col(text))
+        return coverage.matches(coverage.probe(asked, index)["covered"], F.coalesce(F.length(text), F.lit(0)), permille)
+
+    said = pairs.withColumns({"_1": hit("seq_1"), "_2": hit("seq_2")}).withColumn("matched", F.col("_1") | F.col("_2"))
+    mates = F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(f"{c}_{m}").alias(c) for c in RECORD)) for m in (1, 2)))
+    return said.select("sample", "ordinal", "matched", F.inline(mates)).select("sample", "mate", "ordinal", *RECORD, "matched")
+
+
 def record_text() -> Column:
     """The four lines of a record."""
     return F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in RECORD))
@@ -132,4 +144,4 @@ def placed(rows: DataFrame, within: list[str], order: list[str], name: str = "li
     return both.select(*rows.columns, (F.col("_row") - F.col("_first") + F.col("_before") + 1).alias(name))
 
 
-__all__ = ["CANCELLED", "Run", "SampleResult", "placed", "record_text", "report", "split_pairs", "split_reads", "split_samples", "write_split"]
+__all__ = ["CANCELLED", "Run", "SampleResult", "placed", "record_text", "report", "split_pairs", "split_read_pairs", "split_reads", "split_samples", "write_split"]

@@ -91,6 +91,42 @@ def can_be_split(path: str) -> bool:
         return block_size(f.read(64)) is not None
 
 
+def kind(path: str) -> str:
+    """plain, blocks (block gzip) or members (any other gzip file)."""
+    if not SUFFIX.search(path):
+        return "plain"
+    return "blocks" if can_be_split(path) else "members"
+
+
+def plausible_head(head: bytes) -> bool:
+    """Whether ten bytes can be the begin of a gzip member: deflate, no reserved flag, and a known system."""
+    return len(head) == 10 and head[:3] == b"\x1f\x8b\x08" and head[3] < 0x20 and head[8] in (0, 2, 4) and (head[9] < 14 or head[9] == 255)
+
+
+def member_stream(path: str, start: int, end: int, permissive: bool = False) -> Iterator[tuple[bytes, bool]]:
+    """The decompressed bytes from the member that begins at ``start`` on, and whether their member begins before ``end``."""
+    with open(path, "rb") as f:
+        f.seek(start)
+        begin, data, out = start, b"", None
+        while True:
+            while len(data) < (2 if out is None else 1) and (more := f.read(PIECE)):
+                data += more
+            if not data:
+                break
+            if out is None:
+                if not is_gzip(data):
+                    if permissive or not data.strip(b"\0"):
+                        return
+                    raise ValueError(f"{path}: there are bytes after the last gzip member")
+                out, begin = zlib.decompressobj(31), f.tell() - len(data)
+            yield out.decompress(data, PIECE), begin < end
+            data = out.unused_data if out.eof else out.unconsumed_tail
+            if out.eof:
+                out = None
+        if out is not None:
+            raise EOFError(f"{path}: the gzip stream ends within a member")
+
+
 def _first_block(f: BinaryIO, at: int) -> int | None:
     """The place of the first block at or after ``at``: a head whose size leads to another one, or to the end."""
     f.seek(0, 2)

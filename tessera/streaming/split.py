@@ -51,8 +51,8 @@ def read_fastq_stream(spark: SparkSession, path: str, files_per_batch: int = 100
                 part = FileRange(own) if whole else FileRange(own, r["start"], r["end"], r["start"] // step)
                 yield from fastq_batches(part, options)
 
-    # ranges are a few bytes each; their reading is what is dealt out
-    return ranges.repartition("path", "start").mapInArrow(read, FASTQ_SCHEMA)
+    # ranges are a few bytes each; their reading is what is dealt out, to a fixed number of tasks
+    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, FASTQ_SCHEMA)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
