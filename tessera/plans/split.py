@@ -50,8 +50,8 @@ def split_read_pairs(pairs: DataFrame, index: Index | PublishedIndex, permille:
         return coverage.matches(coverage.probe(asked, index)["covered"], F.coalesce(F.length(text), F.lit(0)), permille)
 
     said = pairs.withColumns({"_1": hit("seq_1"), "_2": hit("seq_2")}).withColumn("matched", F.col("_1") | F.col("_2"))
-    mates = F.array(*(F.struct(F.lit(m).alias("mate"), *(F.col(f"{c}_{m}").alias(c) for c in RECORD)) for m in (1, 2)))
-    return said.select("sample", "ordinal", "matched", F.inline(mates)).select("sample", "mate", "ordinal", *RECORD, "matched")
+    mates = F.array(*(F.struct(F.lit(m).alias("mate"), F.col(f"file_{m}").alias("file"), *(F.col(f"{c}_{m}").alias(c) for c in RECORD)) for m in (1, 2)))
+    return said.select("sample", "ordinal", "matched", F.inline(mates)).select("sample", "mate", "ordinal", *RECORD, "file", "matched")
 
 
 def record_text() -> Column:

@@ -23,19 +23,20 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.sources import compressed
 from tessera.sources.sequences import BATCH, FASTQ_SCHEMA, SPLIT, STRETCH_SCHEMA, _files, _true
-from tessera.sources.shared import as_local
+from tessera.sources.shared import as_local, workspace
 
 RANGE = "file string, number int, start long, end long, members boolean"
-LINES = f"{RANGE}, lines long, open boolean, bytes long"
-#: The first line's number in a range (also if it began before), whether the range begins with a line, and how many records the file has.
-PLACED = f"{RANGE}, line long, fresh boolean, records long"
+LINES = f"{RANGE}, lines long, open boolean, bytes long, error string"
+#: The first line's number in a range (also if it began before), whether the range begins with a line, how many records the file has, and what is wrong with it.
+PLACED = f"{RANGE}, line long, fresh boolean, records long, error string"
 PAIR_FIELDS = ("header", "seq", "plus", "qual")
-PAIR_SCHEMA = "sample string, ordinal long, " + ", ".join(f"{c}_{m} string" for m in (1, 2) for c in PAIR_FIELDS)
+PAIR_SCHEMA = "sample string, ordinal long, file_1 string, file_2 string, " + ", ".join(f"{c}_{m} string" for m in (1, 2) for c in PAIR_FIELDS)
 
 
 def tasks_for(files: list[str], split: int) -> int:
@@ -137,31 +138,45 @@ def pieces_of(path: str, start: int, end: int, members: bool, permissive: bool)
     return compressed.member_stream(path, start, end, permissive) if members else compressed.marked_stream(path, permissive, start, end)
 
 
-def line_map(spark: SparkSession, files: list[str], split: int, options: dict) -> DataFrame:
-    """The ranges of all files with the place of their first line (:data:`PLACED`)."""
+def line_map(spark: SparkSession, files: list[str], split: int, options: dict, tolerant: bool = False) -> DataFrame:
+    """The ranges of all files with the place of their first line (:data:`PLACED`). ``tolerant``: a file that can't be read gives one row with the error."""
     permissive, last_counts = _true(options, "permissive", False), _true(options, "lastrecord", True)
 
+    def counted(r: dict) -> list[tuple]:
+        if r["members"]:
+            found = [(at, inflated_member(r["file"], at)) for at in member_starts(r["file"], r["start"], r["end"])]
+            # a first row, so that a file without any member is heard of
+            return [(r["file"], r["number"], -1, -1, True, 0, False, 0, None)] + [(r["file"], r["number"], at, m[0], True, m[2], m[3], m[1], None) for at, m in found if m is not None]
+        lines, size, last = 0, 0, b"\n"
+        for piece, inside in compressed.marked_stream(r["file"], permissive, r["start"], r["end"]):
+            if not inside:
+                break
+            lines, size, last = lines + piece.count(b"\n"), size + len(piece), piece[-1:] or last
+        return [(*r.values(), lines, last != b"\n", size, None)]
+
     def count(batches):
         for b in batches:
             out = []
             for r in b.to_pylist():
-                if r["members"]:
-                    out.append((r["file"], r["number"], -1, -1, True, 0, False, 0))  # so that a file without any member is heard of
-                    for at in member_starts(r["file"], r["start"], r["end"]):
-                        if (got := inflated_member(r["file"], at)) is not None:
-                            out.append((r["file"], r["number"], at, got[0], True, got[2], got[3], got[1]))
-                    continue
-                lines, size, last = 0, 0, b"\n"
-                for piece, inside in compressed.marked_stream(r["file"], permissive, r["start"], r["end"]):
-                    if not inside:
-                        break
-                    lines, size, last = lines + piece.count(b"\n"), size + len(piece), piece[-1:] or last
-                out.append((*r.values(), lines, last != b"\n", size))
+                try:
+                    out += counted(r)
+                except Exception as e:  # noqa: BLE001  whatever the file holds
+                    if not tolerant:
+                        raise
+                    out.append((*r.values(), 0, False, 0, str(e)))
             yield from table(out, LINES).to_batches()
 
     def place(rows: pa.Table) -> pa.Table:
+        path, wrong = rows["file"][0].as_py(), pc.drop_null(rows["error"].combine_chunks()).to_pylist()
         rows = rows.sort_by([("number", "ascending"), ("start", "ascending")])
-        every = chained(rows, permissive, split) if rows["members"][0].as_py() else [tuple(r.values()) for r in rows.to_pylist()]
+        try:
+            every = [] if wrong else chained(rows, permissive, split) if rows["members"][0].as_py() else [tuple(r.values())[:-1] for r in rows.to_pylist()]
+        except ValueError as e:
+            if not tolerant:
+                raise
+            wrong = [str(e)]
+        if wrong:
+            return table([(path, 0, 0, 0, False, 0, True, 0, wrong[0])], PLACED)
         out, line, fresh = [], 0, True
         for *of, lines, open_, size in every:
             out.append((*of, line, fresh))
@@ -172,7 +187,7 @@ def line_map(spark: SparkSession, files: list[str], split: int, options: dict) -
             whole += more == 3 and fresh  # its last line is empty
         elif not more and not fresh:
             whole -= 1
-        return table([(*r, whole) for r in out], PLACED)
+        return table([(*r, whole, None) for r in out], PLACED)
 
     return dealt(spark, files, split).mapInArrow(count, LINES).groupBy("file").applyInArrow(place, PLACED)
 
@@ -235,71 +250,115 @@ def read_fastq(spark: SparkSession, path: str, **options) -> DataFrame:
     """Records of FASTQ files as the source ``fastq`` gives them, but read in ranges whatever the compression, with dense ordinals."""
     options = {k: str(v) for k, v in options.items()}
     files = _files(options | {"path": path})
-    where = line_map(spark, files, step_of(options), options)
+    return records_of(line_map(spark, files, step_of(options), options), tasks_for(files, step_of(options)), options).drop("file")
+
+
+def records_of(where: DataFrame, tasks: int, options: dict) -> DataFrame:
+    """The records of mapped ranges, with the names of their files; a column ``sample`` of ``where`` is taken as it is."""
+    schema = FASTQ_SCHEMA.replace("bigint", "long") + ", file string"
 
     def read(batches):
         for b in batches:
             for r in b.to_pylist():
-                sample, mate = options.get("sample", os.path.basename(r["file"])), int(options.get("mate", 0))
+                name, mate = os.path.basename(r["file"]), int(options.get("mate", 0))
+                sample = r.get("sample", options.get("sample", name))
                 rows: list[tuple] = []
                 for ordinal, four in opened(r, options).records():
-                    rows.append((sample, mate, ordinal, *four))
+                    rows.append((sample, mate, ordinal, *four, name))
                     if len(rows) == BATCH:
-                        yield from table(rows, FASTQ_SCHEMA.replace("bigint", "long")).to_batches()
+                        yield from table(rows, schema).to_batches()
                         rows = []
-                yield from table(rows, FASTQ_SCHEMA.replace("bigint", "long")).to_batches()
+                yield from table(rows, schema).to_batches()
 
-    return where.repartition(tasks_for(files, step_of(options))).mapInArrow(read, FASTQ_SCHEMA)
+    return where.repartition(tasks).mapInArrow(read, schema)
 
 
-def read_pairs(spark: SparkSession, pairs: DataFrame | list[tuple[str, str, str]], **options) -> DataFrame:
-    """sample, ordinal and the fields of both mates (:data:`PAIR_SCHEMA`) of (sample, path of R1, path of R2), without a join of records.
+def read_samples(spark: SparkSession, samples: list[tuple[str, str, str | None]], **options) -> tuple[DataFrame, DataFrame]:
+    """Records of (sample, path of R1, path of R2 or None), all of one kind, and sample and error of those whose files can't be read.
 
-    Files whose numbers of records differ are an error. What is shuffled are ranges; records go from the files to their row.
+    Singles: as the source ``fastq`` gives them, and file. Pairs: :data:`PAIR_SCHEMA`. The map of all files is made and kept first, so what is broken is known before the records are read.
     """
     options = {k: str(v) for k, v in options.items()}
-    listed = [tuple(p) for p in (pairs.select("sample", "r1", "r2").collect() if isinstance(pairs, DataFrame) else pairs)]  # names of files
-    files = sorted({as_local(f) for _, *both in listed for f in both})
-    where = line_map(spark, files, step_of(options), options)
-    of = spark.createDataFrame([(s, m, as_local(f)) for s, *both in listed for m, f in zip((1, 2), both)], "sample string, mate int, file string")
-    ways = "file string, number int, start long, end long, members boolean, line long, fresh boolean"
-    schema = "sample string, first long, last long, " + ", ".join(f"{f.split()[0]}_{m} {f.split()[1]}" for m in (1, 2) for f in ways.split(", "))
-
-    def meet(rows: pa.Table) -> pa.Table:
-        """For each range of R1 the records that begin in it, and the range of R2 in which the first of them begins."""
-        one, two = ([r for r in rows.sort_by([("number", "ascending")]).to_pylist() if r["mate"] == m] for m in (1, 2))
-        sample = rows["sample"][0].as_py()
-        count = [side[0]["records"] if side else 0 for side in (one, two)]
-        if count[0] != count[1]:
-            raise ValueError(f"{sample}: R1 and R2 differ in their number of records ({count[0]} and {count[1]})")
-        first = [min(count[0], -(-(r["line"] + (not r["fresh"])) // 4)) for r in one] + [count[0]]
-        names, out, at = [f.split()[0] for f in ways.split(", ")], [], 0
-        whole = [r["line"] + (not r["fresh"]) for r in two]  # the first line that begins in a range
-        for r, begin, end in zip(one, first, first[1:]):
-            if begin == end:
-                continue
-            while at + 1 < len(two) and whole[at + 1] <= 4 * begin:
-                at += 1
-            out.append((sample, begin, end, *(side[n] for side in (r, two[at]) for n in names)))
-        return table(out, schema)
+    listed = [(s, m, as_local(f)) for s, *both in samples for m, f in zip((1, 2), both) if f is not None]
+    missing = [(s, f"no file {f}") for s, _, f in listed if not os.path.isfile(f)]
+    listed = [x for x in listed if os.path.isfile(x[2])]
+    files, split = sorted({f for *_, f in listed}), step_of(options)
+    paired = any(r2 is not None for *_, r2 in samples)
+    of = spark.createDataFrame(listed, "sample string, mate int, file string")
+    kept = f"{workspace(spark, 'map')}/ranges"
+    where = line_map(spark, files, split, options, tolerant=True) if files else spark.createDataFrame([], PLACED)
+    where = of.join(where, "file")
+    if paired:
+        where = where.groupBy("sample").applyInArrow(lambda rows: met(rows, tolerant=True), MET)
+    where.write.parquet(kept)
+    where = spark.read.schema(where.schema).parquet(kept)
+    errors = where.where("error is not null").select("sample", "error").unionByName(spark.createDataFrame(missing, "sample string, error string")).groupBy("sample").agg(F.min("error").alias("error"))
+    sound = where.where("error is null").join(F.broadcast(spark.createDataFrame(missing, "sample string, error string").select("sample").distinct()), "sample", "left_anti")  # of the caller's list
+    tasks = tasks_for(files, split) if files else 1
+    return (pairs_of if paired else records_of)(sound, tasks, options), errors
+
+
+_WAY = "file string, number int, start long, end long, members boolean, line long, fresh boolean"
+MET = "sample string, first long, last long, error string, " + ", ".join(f"{f.split()[0]}_{m} {f.split()[1]}" for m in (1, 2) for f in _WAY.split(", "))
+
+
+def met(rows: pa.Table, tolerant: bool = False) -> pa.Table:
+    """For each range of R1 the records that begin in it, and the range of R2 in which the first of them begins: rows of :data:`MET`."""
+    one, two = ([r for r in rows.sort_by([("number", "ascending")]).to_pylist() if r["mate"] == m] for m in (1, 2))
+    sample = rows["sample"][0].as_py()
+    count = [side[0]["records"] if side else 0 for side in (one, two)]
+    wrong = next((r["error"] for r in one + two if r["error"] is not None), None)
+    if wrong is None and count[0] != count[1]:
+        wrong = f"{sample}: R1 and R2 differ in their number of records ({count[0]} and {count[1]})"
+    if wrong is not None:
+        if not tolerant:
+            raise ValueError(wrong)
+        return table([(sample, 0, 0, wrong, *[None] * (MET.count(",") - 3))], MET)
+    first = [min(count[0], -(-(r["line"] + (not r["fresh"])) // 4)) for r in one] + [count[0]]
+    names, out, at = [f.split()[0] for f in _WAY.split(", ")], [], 0
+    whole = [r["line"] + (not r["fresh"]) for r in two]  # the first line that begins in a range
+    for r, begin, end in zip(one, first, first[1:]):
+        if begin == end:
+            continue
+        while at + 1 < len(two) and whole[at + 1] <= 4 * begin:
+            at += 1
+        out.append((sample, begin, end, None, *(side[n] for side in (r, two[at]) for n in names)))
+    return table(out, MET)
+
+
+def pairs_of(where: DataFrame, tasks: int, options: dict) -> DataFrame:
+    """The pairs of :data:`MET` ranges."""
 
     def read(batches):
         for b in batches:
             for r in b.to_pylist():
                 sides = [opened({k[:-2]: v for k, v in r.items() if k.endswith(f"_{m}")}, options).records(r["first"]) for m in (1, 2)]
+                files = [os.path.basename(r[f"file_{m}"]) for m in (1, 2)]
                 rows: list[tuple] = []
                 for ordinal in range(r["first"], r["last"]):
                     (k, a), (m, c) = (next(side, (-1, [])) for side in sides)
                     if (k, m) != (ordinal, ordinal):
                         raise ValueError(f"{r['sample']}: the files are not as they were mapped")
-                    rows.append((r["sample"], ordinal, *a, *c))
+                    rows.append((r["sample"], ordinal, *files, *a, *c))
                     if len(rows) == BATCH:
                         yield from table(rows, PAIR_SCHEMA).to_batches()
                         rows = []
                 yield from table(rows, PAIR_SCHEMA).to_batches()
 
-    met = of.join(where, "file").groupBy("sample").applyInArrow(meet, schema)
-    return met.repartition(tasks_for(files, step_of(options))).mapInArrow(read, PAIR_SCHEMA)
+    return where.repartition(tasks).mapInArrow(read, PAIR_SCHEMA)
+
+
+def read_pairs(spark: SparkSession, pairs: DataFrame | list[tuple[str, str, str]], **options) -> DataFrame:
+    """sample, ordinal, files and the fields of both mates (:data:`PAIR_SCHEMA`) of (sample, path of R1, path of R2), without a join of records.
+
+    Files whose numbers of records differ are an error. What is shuffled are ranges; records go from the files to their row.
+    """
+    options = {k: str(v) for k, v in options.items()}
+    listed = [tuple(p) for p in (pairs.select("sample", "r1", "r2").collect() if isinstance(pairs, DataFrame) else pairs)]  # names of files
+    files = sorted({as_local(f) for _, *both in listed for f in both})
+    of = spark.createDataFrame([(s, m, as_local(f)) for s, *both in listed for m, f in zip((1, 2), both)], "sample string, mate int, file string")
+    where = of.join(line_map(spark, files, step_of(options), options), "file").groupBy("sample").applyInArrow(lambda rows: met(rows), MET)
+    return pairs_of(where, tasks_for(files, step_of(options)), options)
 
 
 # --- FASTA --------------------------------------------------------------------------------------------------

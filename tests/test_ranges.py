@@ -2,6 +2,7 @@
 
 import gzip
 import io
+import os
 import random
 import zlib
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.seeds import SPACED_29_33, Seed
 from tessera.operators import index
-from tessera.plans import split
+from tessera.plans import sides, split
 from tessera.sources import compressed, ranges, sequences
 from tests.test_files import block_gzip, fastq, records
 from tests.test_seeds import brute_seeds, random_dna
@@ -100,7 +101,7 @@ def test_pairs_are_read_together(spark, tmp_path, kinds, part):
         data = fastq(rows)
         (tmp_path / name).write_bytes(block_gzip(data, 200) if name.endswith("bgz") else members(data, [333, 20]) if name.endswith("gz") else data)
     got = ranges.read_pairs(spark, [("s", *(str(tmp_path / x) for x in kinds))], split=part)
-    assert sorted(tuple(r) for r in got.collect()) == [("s", k, *one[k], *two[k]) for k in range(70)]
+    assert sorted(tuple(r) for r in got.collect()) == [("s", k, *kinds, *one[k], *two[k]) for k in range(70)]
 
 
 def test_pairs_of_many_samples_and_unequal_files(spark, tmp_path):
@@ -188,3 +189,60 @@ def test_index_of_fasta_ranges(spark, tmp_path, part):
         own = index.index_of_fasta(spark, str(tmp_path / name), seed, stretch=50, split=part)
         assert own.codes.count() == len(want), name
     assert zlib.crc32(b"") == 0 and compressed.kind(str(tmp_path / "r.fa")) == "plain"
+
+
+# --- both sides under their names ---------------------------------------------------------------------------
+
+
+def inflate(path):
+    return b"".join(compressed.stream(str(path)))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_sides_are_the_input(spark, tmp_path, packed):
+    """Both files of an input together are its records, each side in their order, under the names that follow from the input's."""
+    ref, seed = random_dna(400, 8), Seed("#" * 25)
+    own = index.build_index(spark.createDataFrame([(ref,)], "s string"), "s", seed)
+    rows = [(f"@r{k}", ref[k : k + 80] if k % 3 == 0 else random_dna(80, 500 + k), "+", "I" * 80) for k in range(90)]
+    inputs = {"a.fastq": fastq(rows), "b_R1.fq.gz": members(fastq(rows[::-1]), [999]), "c.fastq.bgz": block_gzip(fastq(rows[:50]), 300), "none.fastq": fastq([r for k, r in enumerate(rows) if k % 3])}
+    os.mkdir(tmp_path / "in")
+    for name, data in inputs.items():
+        (tmp_path / "in" / name).write_bytes(data)
+    hit = {r[0] for k, r in enumerate(rows) if k % 3 == 0}
+    for part in (700, 5000):  # the second run replaces the first
+        got = sides.write_sides(split.split_reads(ranges.read_fastq(spark, str(tmp_path / "in"), split=part), own), str(tmp_path / "out"), packed).collect()
+        assert len(got) == 8 and not [x for x in os.listdir(tmp_path / "out") if x.startswith("_")]
+        for r in got:
+            text = inflate(tmp_path / "out" / r.output)
+            all_ = inflate(tmp_path / "in" / r.file).decode().split("\n")[:-1]
+            want = [tuple(all_[i : i + 4]) for i in range(0, len(all_), 4) if (all_[i] in hit) == r.matched]
+            assert text == (fastq(want) if want else b"") and r.records == len(want)
+    tail = ".gz" if packed else ""
+    assert {r.output for r in got if r.matched} == {f"a.matched.fastq{tail}", f"b_R1.matched.fq{tail}", f"c.matched.fastq{tail}", f"none.matched.fastq{tail}"}
+
+
+def test_many_samples_at_once_some_broken(spark, tmp_path):
+    ref, seed = random_dna(300, 8), Seed("#" * 25)
+    own = index.build_index(spark.createDataFrame([(ref,)], "s string"), "s", seed)
+    listed = []
+    for k in range(40):
+        for m in (1, 2):
+            n = 5 + (k == 7 and m == 2)
+            rows = [(f"@r{i}", ref[i : i + 60] if (i + k) % 4 == m else random_dna(60, 100 * k + 10 * i + m), "+", "I" * 60) for i in range(n)]
+            data = gzip.compress(fastq(rows))
+            (tmp_path / f"s{k}_R{m}.fastq.gz").write_bytes(data[:-9] if (k, m) == (11, 1) else data)
+        listed.append((f"s{k}", f"{tmp_path}/s{k}_R1.fastq.gz", None if k % 10 == 3 else f"{tmp_path}/s{k}_R2.fastq.gz"))
+    listed.append(("gone", f"{tmp_path}/gone.fastq", None))
+    listed.append(("half", f"{tmp_path}/s0_R1.fastq.gz.bak", f"{tmp_path}/s0_R2.fastq.gz"))
+    got = {r["sample"]: r for r in sides.split_all(spark, spark.createDataFrame(listed, "sample string, r1 string, r2 string"), own, str(tmp_path / "out"), gzip=True).collect()}
+    assert len(got) == 42 and {s for s, r in got.items() if r.error} == {"s7", "s11", "gone", "half"}
+    assert "differ in their number" in got["s7"].error and "no gzip member" in got["s11"].error and "no file" in got["gone"].error
+    for k in range(40):
+        r = got[f"s{k}"]
+        if r.error:
+            assert r.reads == 0 and not [x for x in os.listdir(tmp_path / "out") if x.startswith(f"s{k}_")]
+            continue
+        hits = [sum((i + k) % 4 == m for i in range(5)) for m in (1, 2)]
+        assert r.paired == (k % 10 != 3)
+        assert (r.reads, r.matched) == ((10, 2 * sum(hits)) if r.paired else (5, hits[0]))
+        assert len(inflate(tmp_path / "out" / f"s{k}_R1.matched.fastq.gz").splitlines()) == 4 * (sum(hits) if r.paired else hits[0])
