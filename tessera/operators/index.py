@@ -228,3 +228,10 @@ class NativeLayout:
     def subfilter_bits(self) -> int:
         used = self.slots_each * self.slot_bits
         return used + 512 - used % 512
+
+
+def layout_bits(fingerprint: Column, window_size: Column, subfilters: Column, slots: Column) -> tuple[Column, Column, Column]:
+    """Bits of a slot, a window and a subfilter as :class:`NativeLayout` has them, of columns."""
+    slot = (fingerprint + bits_for(window_size) + 1).cast("int")
+    used = F.floor((slots + subfilters - 1) / subfilters) * slot
+    return slot, (slot * window_size).cast("int"), (used + 512 - used % 512).cast("long")

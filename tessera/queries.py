@@ -220,22 +220,23 @@ def index_roundtrip(spark, sf_dir):
     return dna_index(spark, sf_dir).stored().codes.select(seed.alias("seed")).agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
 
 
-@query(f"""WITH {READS}, w AS (SELECT mask, length(mask) AS span, length(replace(mask, '_', '')) AS weight FROM (SELECT unnest(['{SPACED_29_33}', '{CONTIGUOUS_25}', '{seeds.CONTIGUOUS_31}']) AS mask))
-SELECT mask, CAST(span AS INTEGER) AS span, CAST(weight AS INTEGER) AS weight, array_to_string(list_filter(range(0, span), lambda i: substr(mask, CAST(i + 1 AS INTEGER), 1) = '#'), ',') AS places,
- CAST(150 - span + 1 AS INTEGER) AS positions, CAST(floor(1000.0 / greatest(1, 150 - span + 1) + 0.5) / 10 AS DOUBLE) AS one_hit_pct FROM w""")
+@query(f"""WITH w AS (SELECT mask, length(mask) AS span, length(replace(mask, '_', '')) AS weight FROM (SELECT unnest(['{SPACED_29_33}', '{CONTIGUOUS_25}', '{seeds.CONTIGUOUS_31}']) AS mask))
+SELECT mask, length, CAST(span AS INTEGER) AS span, CAST(weight AS INTEGER) AS weight, array_to_string(list_filter(range(0, span), lambda i: substr(mask, CAST(i + 1 AS INTEGER), 1) = '#'), ',') AS places,
+ CAST(greatest(0, length - span + 1) AS INTEGER) AS positions, CAST(floor(1000.0 / greatest(1, length - span + 1) + 0.5) / 10 AS DOUBLE) AS one_hit_pct FROM w, (SELECT DISTINCT CAST(length(text) AS INTEGER) AS length FROM documents WHERE text IS NOT NULL)""")
 def seed_weight_span(spark, sf_dir):
-    """Weight, span and places of the published masks, and what one hit is worth on a read of 150."""
-    masks = spark.range(1).select(F.explode(F.array(*(F.lit(m) for m in (SPACED_29_33, CONTIGUOUS_25, seeds.CONTIGUOUS_31)))).alias("mask"))
+    """Weight, span and places of the published masks, and what one hit is worth on a record of each length."""
+    every = F.array(*(F.lit(m) for m in (SPACED_29_33, CONTIGUOUS_25, seeds.CONTIGUOUS_31)))
+    masks = table(spark, sf_dir, "documents").where("text is not null").select(F.length("text").alias("length")).distinct().select("length", F.explode(every).alias("mask"))
     marks = F.filter(F.transform(F.split("mask", ""), lambda c, i: F.when(c == "#", i)), lambda i: i.isNotNull())
-    span = F.length("mask")
-    return masks.select("mask", span.alias("span"), F.size(marks).alias("weight"), F.array_join(F.transform(marks, lambda i: i.cast("string")), ",").alias("places"), (150 - span + 1).alias("positions"), (F.floor(1000.0 / F.greatest(F.lit(1), 150 - span + 1) + 0.5) / 10).alias("one_hit_pct"))
+    span, there = F.length("mask"), F.greatest(F.lit(0), F.col("length") - F.length("mask") + 1)
+    return masks.select("mask", "length", span.alias("span"), F.size(marks).alias("weight"), F.array_join(F.transform(marks, lambda i: i.cast("string")), ",").alias("places"), there.alias("positions"), (F.floor(1000.0 / F.greatest(F.lit(1), there) + 0.5) / 10).alias("one_hit_pct"))
 
 
-@query("SELECT CAST(p AS INTEGER) AS pct, CAST(p * 10 AS INTEGER) AS permille, 118 * p / 100.0 AS bases FROM range(1, 101) t(p)")
+@query("SELECT doc_id, CAST(p AS INTEGER) AS pct, CAST(p * 10 AS INTEGER) AS permille, coalesce(length(text), 0) * p / 100.0 AS characters FROM documents, range(10, 101, 10) t(p)")
 def threshold_note(spark, sf_dir):
-    """Thresholds in per cent and permille, and how much of 118 places they mean."""
-    p = F.col("id")
-    return spark.range(1, 101).select(p.cast("int").alias("pct"), F.round(p * 10).cast("int").alias("permille"), (118 * p / 100.0).alias("bases"))
+    """Thresholds in per cent and permille, and how many characters of each document must be more than reached."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).alias("n"), F.explode(F.sequence(F.lit(10), F.lit(100), F.lit(10))).alias("p"))
+    return rows.select("doc_id", F.col("p").alias("pct"), (F.col("p") * 10).alias("permille"), (F.col("n") * F.col("p") / 100.0).alias("characters"))
 
 
 @query("""SELECT p_partkey, name, size, human, bases, CAST(least(31, greatest(10, ceil(log2(greatest(1024.0, bases / 0.95 / 4))))) AS INTEGER) AS buckets_log2, CAST(CASE WHEN p_partkey <= 1 THEN 0 ELSE ceil(log2(p_partkey)) END AS INTEGER) AS bits FROM (
@@ -254,17 +255,15 @@ def index_sizing(spark, sf_dir):
     return files.withColumn("buckets_log2", index.log2_buckets(F.col("bases"))).withColumn("bits", index.bits_for(k))
 
 
-@query("""SELECT CAST(fpr AS INTEGER) AS fpr, CAST(win AS INTEGER) AS win, CAST(sub AS INTEGER) AS sub, CAST(slot_bits AS INTEGER) AS slot_bits, CAST(slot_bits * win AS INTEGER) AS window_bits, CAST(used + 512 - used % 512 AS BIGINT) AS subfilter_bits
-FROM (SELECT *, ceil(1000003.0 / sub)::BIGINT * slot_bits AS used FROM (SELECT *, fpr + CASE WHEN win <= 1 THEN 0 ELSE ceil(log2(win))::INTEGER END + 1 AS slot_bits FROM range(8, 17) a(fpr), range(1, 6) b(win), range(1, 10) c(sub)))""")
+@query("""SELECT p_partkey, CAST(slot_bits AS INTEGER) AS slot_bits, CAST(slot_bits * win AS INTEGER) AS window_bits, CAST(used + 512 - used % 512 AS BIGINT) AS subfilter_bits
+FROM (SELECT *, ((slots + sub - 1) // sub) * slot_bits AS used FROM (SELECT p_partkey, win, sub, slots, fpr + CASE WHEN win <= 1 THEN 0 ELSE CAST(ceil(log2(win)) AS INTEGER) END + 1 AS slot_bits
+FROM (SELECT p_partkey, 8 + p_partkey % 9 AS fpr, 1 + p_size % 5 AS win, 1 + p_partkey % 7 AS sub, p_partkey * 1009 + p_size AS slots FROM part)))""")
 def native_layout(spark, sf_dir):
-    """Slot, window and subfilter sizes of published filters for a grid of parameters."""
-    rows = []
-    for fpr in range(8, 17):
-        for win in range(1, 6):
-            for sub in range(1, 10):
-                x = index.NativeLayout(fpr, win, 0, 1_000_003, sub)
-                rows.append((fpr, win, sub, x.slot_bits, x.window_bits, x.subfilter_bits))
-    return spark.createDataFrame(rows, "fpr int, win int, sub int, slot_bits int, window_bits int, subfilter_bits bigint")
+    """Slot, window and subfilter sizes of published filters, whose parameters follow from the keys and sizes of parts."""
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select("p_partkey", (8 + k % 9).alias("fpr"), (1 + F.col("p_size") % 5).alias("win"), (1 + k % 7).alias("sub"), (k * 1009 + F.col("p_size")).alias("slots"))
+    slot, window, subfilter = index.layout_bits(F.col("fpr"), F.col("win"), F.col("sub"), F.col("slots"))
+    return rows.select("p_partkey", slot.alias("slot_bits"), window.alias("window_bits"), subfilter.alias("subfilter_bits"))
 
 
 # --- hashes -------------------------------------------------------------------------------------------------
@@ -573,14 +572,22 @@ def fastq_ordinals(spark, sf_dir):
     return each.agg(F.sum("n").alias("records"), F.sum("places").alias("places"), F.bool_and(F.col("last") == F.col("n") - 1).alias("dense"))
 
 
-def fasta_files(spark: SparkSession, sf_dir: str) -> str:
+@query(f"WITH {READS} SELECT {_READ_RECORD} FROM reads")
+def fastq_member_ranges(spark, sf_dir):
+    """Gzip files of many members, whose members are found and read by many tasks (16 KB a range)."""
+    from tessera.sources import ranges
+
+    return ranges.read_fastq(spark, fastq_files(spark, sf_dir, "members"), split=1 << 14).select("header", "seq", "plus", "qual")
+
+
+def fasta_files(spark: SparkSession, sf_dir: str, compression: str = "gzip") -> str:
     """A folder of FASTA files: contigs of odd keys in lines of 70 bases, others in one."""
     from tessera.sources import sequences
 
     sequences.register(spark)
     path = f"{workspace(spark, 'fasta')}/contigs"
     wrapped = F.when(F.col("contig_id") % 2 == 1, F.regexp_replace("seq", "(.{70})", "$1\n")).otherwise(F.col("seq"))
-    contigs(spark, sf_dir).select(F.concat(F.lit(">contig "), F.col("contig_id").cast("string"), F.lit("\n"), wrapped).alias("value")).write.text(path, compression="gzip")
+    contigs(spark, sf_dir).select(F.concat(F.lit(">contig "), F.col("contig_id").cast("string"), F.lit("\n"), wrapped).alias("value")).write.text(path, compression=compression)
     return path
 
 
@@ -598,6 +605,13 @@ def fasta_index(spark, sf_dir):
     return own.codes.select(seeds.code_text(F.col("seed"), SPACED.weight).alias("seed")).agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
 
 
+@query(f"WITH {READS} SELECT count(DISTINCT seed) AS seeds, min(seed) AS least, max(seed) AS most FROM ({_windows('contigs', 'contig_id')})")
+def fasta_range_index(spark, sf_dir):
+    """The same of plain files that are read in ranges of 1,000 bytes, whose seams lie anywhere in headers and contigs."""
+    own = index.index_of_fasta(spark, fasta_files(spark, sf_dir, "none"), SPACED, stretch=64, split=1000)
+    return own.codes.select(seeds.code_text(F.col("seed"), SPACED.weight).alias("seed")).agg(F.count("*").alias("seeds"), F.min("seed").alias("least"), F.max("seed").alias("most"))
+
+
 _LONG = "(SELECT 0 AS contig_id, string_agg(seq, '' ORDER BY contig_id) AS seq FROM contigs)"
 
 
@@ -666,6 +680,54 @@ def split_files(spark, sf_dir):
     return back.groupBy("mate", F.col("matched").alias("side")).agg(F.count_if(F.startswith("value", F.lit("@r"))).alias("records"), F.count("*").alias("lines"))
 
 
+def mate_files(spark: SparkSession, sf_dir: str, parts: int = 8) -> list[tuple[str, str, str]]:
+    """Pairs of FASTQ files (sample, R1, R2): block gzip, and gzip of many members. The last read of an odd table has no mate and is left out."""
+    import os
+
+    from tessera.sources import sequences
+    from tessera.sources.shared import as_local
+
+    sequences.register(spark)
+    path = workspace(spark, "mates")
+    rows = paired_reads(spark, sf_dir)
+    rows = rows.where(F.col("read_id") < F.lit(rows.count() // 2 * 2)).repartition(parts, "ordinal").sortWithinPartitions("ordinal")
+    for mate, compression in ((1, "bgzf"), (2, "members")):
+        rows.where(F.col("mate") == mate).drop("read_id").write.format("fastq").option("compression", compression).mode("append").save(f"{path}/{mate}")
+    both = [sorted(os.listdir(f"{as_local(path)}/{mate}")) for mate in (1, 2)]
+    return [(f"s{k}", f"{path}/1/{a}", f"{path}/2/{b}") for k, (a, b) in enumerate(zip(*both))]
+
+
+@query(f"WITH {_CLEAN}, p AS (SELECT read_id // 2 AS pair, bool_or(matched) AS hit FROM verdict GROUP BY 1) SELECT '@r' || v.read_id AS header, seq, v.read_id % 2 + 1 AS mate, hit AS matched FROM verdict v JOIN reads USING (read_id) JOIN p ON p.pair = v.read_id // 2 WHERE v.read_id < (SELECT count(*) // 2 * 2 FROM orders)")
+def split_pair_files(spark, sf_dir):
+    """Pairs read together from both files, in ranges of 16 KB, and decided where they lie: records are not shuffled."""
+    from tessera.sources import ranges
+
+    out = split.split_read_pairs(ranges.read_pairs(spark, mate_files(spark, sf_dir), split=1 << 14), dna_index(spark, sf_dir))
+    return out.select("header", "seq", F.col("mate").cast("long").alias("mate"), "matched")
+
+
+@query(f"WITH {_CLEAN} SELECT '@r' || v.read_id AS header, seq, CASE WHEN matched THEN 'true' ELSE 'false' END AS side FROM verdict v JOIN reads USING (read_id)")
+def split_named_files(spark, sf_dir):
+    """Both sides written in one pass into the two files of each input, under their names, and read again."""
+    from tessera.plans import sides
+    from tessera.sources import ranges
+
+    out = f"{workspace(spark, 'named')}/out"
+    sides.write_sides(split.split_reads(ranges.read_fastq(spark, fastq_files(spark, sf_dir, "bgzf"), split=1 << 16), dna_index(spark, sf_dir)), out, gzip=True)
+    back = spark.read.format("fastq").load(out)
+    return back.select("header", "seq", F.when(F.contains("sample", F.lit(".matched.")), "true").otherwise("false").alias("side"))
+
+
+@query(f"WITH {_CLEAN}, p AS (SELECT read_id // 2 AS pair, bool_or(matched) AS hit FROM verdict WHERE read_id < (SELECT count(*) // 2 * 2 FROM orders) GROUP BY 1) SELECT 9 AS samples, 1 AS broken, CAST(2 * count(*) AS BIGINT) AS reads, CAST(2 * count_if(hit) AS BIGINT) AS matched FROM p".replace("9 AS", "CAST(9 AS BIGINT) AS").replace("1 AS broken", "CAST(1 AS BIGINT) AS broken"))
+def samples_together(spark, sf_dir):
+    """Eight samples of pairs and one whose file is not there, split and written at once; the missing one is reported, the others are done."""
+    from tessera.plans import sides
+
+    listed = [*mate_files(spark, sf_dir), ("broken", "/nowhere/R1.fastq", "/nowhere/R2.fastq")]
+    said = sides.split_all(spark, spark.createDataFrame(listed, "sample string, r1 string, r2 string"), dna_index(spark, sf_dir), f"{workspace(spark, 'together')}/out", gzip=True)
+    return said.agg(F.count("*").alias("samples"), F.count("error").alias("broken"), F.sum("reads").alias("reads"), F.sum("matched").alias("matched"))
+
+
 @query(f"WITH {_CLEAN} SELECT '@r' || v.read_id AS header, CASE WHEN matched THEN 'true' ELSE 'false' END AS side FROM verdict v")
 def stream_split(spark, sf_dir):
     """FASTQ files split as a stream: what is there is read, decided and written by side."""
@@ -693,18 +755,12 @@ def isolated_samples(spark, sf_dir):
     return rows.crossJoin(F.broadcast(hits)).select("name", "error", F.when(F.col("error").isNull(), F.col("n")).otherwise(0).cast("long").alias("matched"))  # a single row
 
 
-@query("SELECT CAST(i * 10 AS BIGINT) AS done, CASE WHEN i > 0 THEN CAST(round(i * 6.0 * (1000 - i * 10) / (i * 10), 6) AS DOUBLE) END AS seconds_left FROM range(0, 101) t(i)")
+@query("SELECT l_orderkey, l_linenumber, CASE WHEN l_discount > 0 THEN CAST(round(l_extendedprice * (1 - l_discount) / l_discount, 6) AS DOUBLE) END AS seconds_left FROM lineitem")
 def seconds_left(spark, sf_dir):
-    """What the rest of 1,000 records takes when each ten took six seconds."""
-    from tessera.streaming.split import Progress
-
-    rows = []
-    for i in range(101):
-        p = Progress(total_rows=1000)
-        p.rows, p.began = i * 10, 0.0
-        left = p.seconds_left(now=i * 6.0)
-        rows.append((i * 10, None if left is None else round(left, 6)))
-    return spark.createDataFrame(rows, "done long, seconds_left double")
+    """What the rest takes at the speed so far: prices stand for seconds, discounts for the share that is done."""
+    from tessera.streaming.split import seconds_left as left
+
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(left(F.col("l_extendedprice"), F.col("l_discount")), 6).alias("seconds_left"))
 
 
 @query(f"WITH {READS}, rs AS ({_windows('noisy', 'read_id')}) SELECT read_id, count(*) AS n, min(seed) AS least, max(seed) AS most FROM rs GROUP BY read_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -84,6 +84,11 @@ def pair_stream(reads: DataFrame, index: Index | PublishedIndex, write: Callable
     return reads.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def seconds_left(elapsed: Column, share: Column) -> Column:
+    """What the rest takes at the speed so far; null if nothing is done yet."""
+    return F.when(share > 0, elapsed * (1 - share) / share)
+
+
 class Progress(StreamingQueryListener):
     """The counts of a query so far, and the share of known input that is done (never over one): of its bytes as stored, else of its rows."""
 

@@ -520,3 +520,17 @@ def test_places_within_groups(spark):
     rows = spark.range(1000).selectExpr("id", "id % 3 as g", "cast(null as int) as h")
     got = split.placed(rows, ["g", "h"], ["id"]).collect()
     assert len(got) == 1000 and all(r.line == r.id // 3 + 1 for r in got)
+
+
+def test_seconds_left():
+    from tessera.operators.index import NativeLayout
+    from tessera.streaming.split import Progress
+
+    p = Progress(total_rows=1000)
+    assert p.seconds_left() is None
+    p.began = 0.0
+    for i in range(1, 101):
+        p.rows = i * 10
+        assert abs(p.seconds_left(now=i * 6.0) - i * 6.0 * (100 - i) / i) < 1e-9
+    x = NativeLayout(12, 3, 0, 1000, 7)
+    assert (x.slot_bits, x.window_bits, x.slots_each, x.subfilter_bits) == (15, 45, 143, 2560)
