@@ -143,3 +143,11 @@ def test_negatives_equal_their_sql(spark):
     want = d.sql(queries.OP12_SQL)
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_scores_do_not_depend_on_partitions(spark):
+    from tessera.llm import lm
+
+    docs = spark.createDataFrame([(k, " ".join(f"{w}{(k * j) % 7}" for j, w in enumerate(("the", "cat", "Sat", "on", "it's", "mat") * (1 + k % 5)))) for k in range(150)] + [(900, None), (901, "")], "doc_id long, text string")
+    by = [{r.doc_id: r.score for r in lm.score_documents(docs.repartition(n)).collect()} for n in (1, 13)]
+    assert len(by[0]) == 152 and by[0] == by[1]
