@@ -10,7 +10,7 @@ turn number's share of checksums, within a block of turn numbers, over blocks),
 
 Edge cases: order is by turn number (null first), then by MD5 of speaker and text; a null speaker is
 ``unknown``; a null text is empty; an empty or null conversation id is one conversation like any other; ``<|`` in texts and names becomes
-``<\\|``, so that marks are always the template's; a dialogue of context turns alone has no participant and
+``<\\|``, in names also ``|>`` becomes ``|\\>`` and a line end ``\\n``, so that marks are always the template's; a dialogue of context turns alone has no participant and
 no row; repeated rows are turns each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -28,11 +28,16 @@ def _plain(c: Column) -> Column:
     return F.replace(c, F.lit("<|"), F.lit("<\\|"))
 
 
+def _name(c: Column) -> Column:
+    """A name that stays within its mark: it can neither end the mark nor begin a line."""
+    return F.replace(F.replace(_plain(c), F.lit("|>"), F.lit("|\\>")), F.lit("\n"), F.lit("\\n"))
+
+
 def ranked_turns(turns: DataFrame, conv: str, turn: str, role: str, text: str) -> DataFrame:
     """conv_id, speaker, text and the rank of each turn (from 0) in its dialogue."""
     rows = turns.select(
         F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").cast("long").alias("turn"),
-        _plain(F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown"))).alias("speaker"), _plain(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text"),
+        _name(F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown"))).alias("speaker"), _plain(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("text"),
     )
     sum_of = F.md5(F.concat_ws("\n", "speaker", "text"))
     rows = rows.withColumn("sum", sum_of).withColumn("share", F.substring("sum", 1, 2)).withColumn("block", F.floor(F.col("turn") / SEGMENT))
@@ -64,7 +69,7 @@ def perspectives(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", ro
     """conv_id, assistant, segment, n_turns, text and spans (start, end: of the characters to learn) of each segment."""
     ranked = ranked_turns(turns, conv, turn, role, text).withColumn("segment", F.floor(F.col("rank") / segment).cast("int"))
     parts = ranked.groupBy("conv_id", "segment").agg(F.array_sort(F.collect_list(F.struct("rank", "speaker", "text"))).alias("turns"))
-    who = turns.select(F.col(f"`{conv}`").alias("conv_id"), _plain(F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown"))).alias("assistant")).where(~F.col("assistant").isin(*map(str, context)) if context else F.lit(True)).distinct()
+    who = turns.select(F.col(f"`{conv}`").alias("conv_id"), _name(F.coalesce(F.col(f"`{role}`").cast("string"), F.lit("unknown"))).alias("assistant")).where(~F.col("assistant").isin(*map(str, context)) if context else F.lit(True)).distinct()
     seen = _null_safe(parts, who, ["conv_id"])
     is_context = lambda s: s.isin(*context) if context else F.lit(False)
     head = lambda t: F.when(t["speaker"] == F.col("assistant"), F.lit("<|assistant|>\n")).when(is_context(t["speaker"]), F.concat(F.lit("<|"), t["speaker"], F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), t["speaker"], F.lit("|>\n")))

@@ -76,7 +76,7 @@ def op12_rotated_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP10_SQL = r"""
 WITH rows AS (
-  SELECT conv_id, turn, replace(coalesce(role, 'unknown'), '<|', '<\|') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text
+  SELECT conv_id, turn, replace(replace(replace(coalesce(role, 'unknown'), '<|', '<\|'), '|>', '|\>'), chr(10), '\n') AS speaker, replace(coalesce(text, ''), '<|', '<\|') AS text
   FROM conversations
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(concat_ws(chr(10), speaker, text))) - 1 AS r FROM rows
