@@ -22,7 +22,7 @@ partial aggregation or by joins that the adaptive planner can split.
 
 Edge cases: texts without words (null and empty ones too) have an empty set, link with nothing and are their own component; with fewer
 words than n the whole sequence is the one member; repeated rows and equal ids are one class if their sets
-are equal; a null id does not take part in the smallest id of its component; other columns of the input are not read.
+are equal; a null id does not take part in the smallest id of its component; a very long text is one set, built where it lies; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations

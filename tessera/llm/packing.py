@@ -13,7 +13,7 @@ search ends at the lower bound (tokens / capacity, rounded up) or after a fixed
 best-fit decreasing, from which it starts.
 
 Edge cases: a null text is empty and gives one piece, the end token; repeated rows are packed each for itself;
-null or equal ids only order pieces among those of their length; an empty table gives an empty result; columns
+null or equal ids only order pieces among those of their length; a very long text is encoded whole where it lies and cut into pieces; an empty table gives an empty result; columns
 of the input other than id and text are not read by :func:`pieces`, and :func:`pack` keeps all columns and gives new
 ones free names.
 """

@@ -5,7 +5,7 @@ prose compresses grows with its length, so the limits are a table by byte length
 no shuffle, nothing kept between rows, and whole texts are read.
 
 Edge cases: a null text counts as empty; texts shorter than the first band (and empty ones) have no limits on the ratio;
-repeated rows are judged alike and all stay; columns of the input, also such with the names used here, are
+repeated rows are judged alike and all stay; an empty table gives an empty result; a very long text is compressed whole where it lies; columns of the input, also such with the names used here, are
 kept, the verdict being one struct column under a name that the caller gives.
 """
 

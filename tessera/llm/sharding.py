@@ -9,10 +9,11 @@ ranked within their cell. No step sorts more than a block or a cell in one task.
 
 The law is ``rows``: shard sizes differ by one at most. Rows travel as id, size and checksum only.
 
-All random keys are keyed hashes of the row (seed, id, checksum): a task that is run again gives the same rows.
+All random keys are keyed hashes of the row (seed, id, checksum, and a number that tells repeated rows apart, which follows from where the row lies in its file): a task that is run
+again gives the same rows, other files of the same rows may give other ones.
 
 Edge cases: a null text has size 1 and the checksum of the empty text; a null id hashes like any value, its
-rows being told apart by their text; equal rows tie and take the tied places in any order; an empty table gives an
+rows being told apart by their text; repeated rows are told apart by a number of their own; very long texts count by their size only; an empty table gives an
 empty result; fewer rows than shards leave some shards empty; columns of the input are kept and the three
 new ones get free names.
 """

@@ -11,7 +11,7 @@ shuffle and split by the adaptive join. Rules are a parameter (a map literal in
 
 Edge cases: a null url or one without ``://`` has an empty host and path, no rule and no part in the graph, and
 is allowed; html that is null or without absolute links gives no edges; links within a host are no edges; repeated
-pages count as often as they occur and get a row each; an empty table gives an empty result; other columns are not read.
+pages count as often as they occur and get a row each; a very long page is searched for links where it lies; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
