@@ -5,22 +5,30 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from tessera.functions.seeds import Seed, base_table, coded_windows
 
 
+def code_texts(code: np.ndarray, weight: int) -> pa.Array:
+    """Numbers of two bits a base as texts of base codes."""
+    shift = np.arange(2 * (weight - 1), -1, -2, dtype=np.uint64)
+    digits = ((code[:, None] >> shift) & np.uint64(3)).astype(np.uint8) + np.uint8(ord("0"))
+    ends = np.arange(len(code) + 1, dtype=np.int32) * weight
+    return pa.StringArray.from_buffers(len(code), pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(digits)))
+
+
 class Seeds:
-    """``seeds(seq, mask)``: each valid window's place and its strand-independent seed."""
+    """``seeds(seq, mask)``: each valid window's place and its strand-independent seed. A plain table function: those in Arrow batches can't stand in a lateral join."""
 
     def eval(self, seq: str, mask: str) -> Iterator[tuple[int, str]]:
         if seq is None or mask is None:
             return
         seed = Seed(mask)
         for _, place, code in coded_windows([seq.encode("latin-1", "replace")], seed, base_table("strict"), True):
-            for p, c in zip(place.tolist(), code.tolist()):
-                yield p, np.base_repr(c, 4).zfill(seed.weight)
+            yield from zip(place.tolist(), code_texts(code, seed.weight).to_pylist())
 
 
 SCALARS = {

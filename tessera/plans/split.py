@@ -62,11 +62,11 @@ def record_text() -> Column:
 def write_split(split: DataFrame, path: str, gzip: bool = False) -> None:
     """Both sides as text in matched=true/false (and by sample and mate), in the order of the input.
 
-    Records are dealt by range of their place, so a file's parts in the order of their names are the whole file.
+    Records are dealt by range of their place, so a file's parts in the order of their names are the whole file. How many ranges there are is the session's to say (shuffle partitions, which
+    the planner puts together where they are small). :func:`tessera.plans.sides.write_sides` needs no such exchange.
     """
     out = split.select("sample", "mate", "matched", "ordinal", record_text().alias("value"))
-    n = max(1, out.sparkSession.sparkContext.defaultParallelism)
-    ordered = out.repartitionByRange(n, "sample", "mate", "ordinal").sortWithinPartitions("matched", "sample", "mate", "ordinal")
+    ordered = out.repartitionByRange("sample", "mate", "ordinal").sortWithinPartitions("matched", "sample", "mate", "ordinal")
     writer = ordered.drop("ordinal").write.mode("overwrite").partitionBy("matched", "sample", "mate")
     (writer.option("compression", "gzip") if gzip else writer).text(path)
 
@@ -132,8 +132,7 @@ def placed(rows: DataFrame, within: list[str], order: list[str], name: str = "li
     """
     spark = rows.sparkSession
     path = f"{workspace(spark, 'placed')}/rows"
-    n = max(1, spark.sparkContext.defaultParallelism)
-    dealt = rows.repartitionByRange(n, *within, *order).sortWithinPartitions(*within, *order)
+    dealt = rows.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
     dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
     stored = spark.read.parquet(path)
     each = stored.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
