@@ -32,7 +32,7 @@ SIDES = "id {id}, text string, covered long, length int, matched boolean, sample
 def found_items(records: DataFrame, reference: DataFrame, own: Index, s: Settings) -> DataFrame:
     """item, windows, found and most_records of each reference text."""
     # records without any covered character hold no window of the reference
-    hits = coverage.seed_hits(records.where("covered > 0"), "id", "text", own, with_seed=True)
+    hits = coverage.found_windows(records.where("covered > 0"), "id", "text", own)
     holders = hits.select("seed", "id").distinct().groupBy("seed").agg(F.count("*").alias("n"))
     items = reference.select(F.col(f"`{s.reference_id}`").alias("item"), F.col(f"`{s.reference_text}`").alias("text"))
     theirs = index.read_seeds(items, "item", "text", s.seed, dna=False).select("item", "seed").distinct()
