@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
-from tessera.functions.seeds import PIECE, Seed, base_table, codes_of, text_prints
+from tessera.functions.seeds import PIECE, TOGETHER, Seed, base_table, codes_of, text_prints
 from tessera.operators.index import Index, coded_seeds, read_seeds
 
 _U = np.uint64
@@ -93,17 +93,18 @@ class Prober:
         self.known, self.second = first[order], None if second is None else second[order]
         same = np.flatnonzero(np.append(np.diff(self.known) != 0, True))
         self.most = int(np.diff(np.append(-1, same)).max(initial=1))  # windows that share a first print
-        # a table of first bits tells most windows that are not known apart from the rest
-        self.table = np.zeros(1 << 22, bool)
-        self.table[self.slot(self.known)] = True
+        # a table of bits, 16 a seed at least, tells most windows that are not known apart from the rest
+        self.shift = _U(64 - max(22, int(16 * len(self.known) - 1).bit_length() if len(self.known) else 0))
+        flags = np.zeros(1 << (64 - int(self.shift)), bool)
+        flags[self.slot(self.known)] = True
+        self.table = np.packbits(flags, bitorder="little")
 
     def describe(self, seed: Seed, dna: bool, canonical: bool, alphabet: str) -> None:
         self.seed, self.dna, self.canonical = seed, dna, canonical
         self.lut = base_table(alphabet) if dna else None
 
-    @staticmethod
-    def slot(code: np.ndarray) -> np.ndarray:
-        return ((code * _U(0x9E3779B97F4A7C15)) >> _U(42)).astype(np.int64)
+    def slot(self, code: np.ndarray) -> np.ndarray:
+        return ((code * _U(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
 
     def points(self, text: str) -> np.ndarray:
         return np.frombuffer(text.encode("latin-1", "replace"), np.uint8) if self.dna else np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
@@ -130,7 +131,8 @@ class Prober:
         """Places of codes that are known."""
         if not len(self.known):
             return np.zeros(0, np.int64)
-        maybe = np.flatnonzero(self.table[self.slot(code)])
+        slot = self.slot(code)
+        maybe = np.flatnonzero((self.table[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
         at = np.searchsorted(self.known, code[maybe])
         at[at == len(self.known)] = 0
         return maybe[self.known[at] == code[maybe]]
@@ -186,7 +188,7 @@ class Prober:
                 at += 1
                 continue
             end, size = at, 0
-            while end < len(records) and size + len(records[end]) <= PIECE:
+            while end < len(records) and (end == at or size + len(records[end]) <= TOGETHER):
                 size += len(records[end])
                 end += 1
             out[:, at:end] = self.together(records[at:end])
