@@ -171,3 +171,35 @@ def test_index_is_saved_and_loaded(spark, tmp_path):
     own.save(str(tmp_path / "i"))
     own.save(str(tmp_path / "i"))  # an existing one is replaced
     assert own.load(str(tmp_path / "i")).codes.count() == 76
+
+
+def test_digest_of_keys_equals_exploded_windows(spark, monkeypatch):
+    """Keys that come in many rows, go on over batches and chunks, or have no window; no window is shuffled."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tessera.functions import seeds
+    from tessera.operators import index
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGTACGTN") for _ in range(n)) for n in (0, 24, 25, 40, 90, 200, 300)] + ["ACG" * 40, "A" * 60, "N" * 50, "u" * 30]
+    rows = [(rng.choice([None, *range(12)]), rng.choice([None, *texts])) for _ in range(150)] + [(99, t) for t in texts * 4] + [(100, "N" * 60)]
+    df = spark.createDataFrame(rows, "k int, s string").repartition(5)
+    monkeypatch.setattr(seeds, "TOGETHER", 256)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        for mask, canonical in ((seeds.CONTIGUOUS_25, False), (seeds.SPACED_29_33, True), ("#" * 32, True)):
+            seed = seeds.Seed(mask)
+            each = index.read_seeds(df, "k", "s", seed, canonical=canonical)
+            want = each.groupBy("k").agg(F.count("*"), F.count_distinct("seed"), F.min("seed"), F.max("seed"), F.min("pos")).collect()
+            own = index.seed_digest(df, "k", "s", seed, canonical)
+            text = [seeds.code_text(F.col(c), seed.weight).alias(c) for c in ("least", "most", "first")]
+            got = own.select("k", "n", "different", *text).collect()
+            assert {tuple(r)[:5] for r in got} == {tuple(r)[:5] for r in want} and len(got) == len(want)
+            starts = {(r.k, r.pos, r.seed) for r in each.collect()}
+            least = {r[0]: r[5] for r in want}
+            assert all((r.k, least[r.k], r.first) in starts for r in got)
+            assert "Generate" not in own._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
