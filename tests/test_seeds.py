@@ -203,3 +203,13 @@ def test_digest_of_keys_equals_exploded_windows(spark, monkeypatch):
             assert "Generate" not in own._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    from tessera import queries
+
+    spark.createDataFrame([(1, 5), (1_000_000, 5), (1_200_000, 5)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {r.p_partkey: r for r in queries.QUERIES["index_sizing"](spark, str(tmp_path)).collect()}
+    assert got[1_000_000]["size"] == 7 * 10**18 + 5 and got[1]["size"] == 12
+    assert got[1_200_000]["size"] is None and got[1_200_000].human == f"{round(7 * 1_200_000**3 / 2**30)} GB"
+    assert got[1_200_000].bases == float(7 * 1_200_000**3 + 5) * 3.5 and got[1_200_000].buckets_log2 == 31
