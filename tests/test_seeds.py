@@ -205,6 +205,25 @@ def test_digest_of_keys_equals_exploded_windows(spark, monkeypatch):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_rows_joined_to_one_sequence(spark):
+    """Windows that lie across rows and parts, some rows shorter than a window, are all found; none is made up."""
+    from pyspark.sql import functions as F
+
+    from tessera.operators import index
+
+    texts = [random_dna(n, n) for n in (160, 3, 0, 1, 40, 33, 7, 500, 2, 90)] * 4
+    rows = [(k, f"{t}") for k, t in enumerate(texts)] + [(200, None)]
+    seed, whole = Seed(SPACED_29_33), "".join(texts)
+    for parts in (1, 7, 30):
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        try:
+            long = index.joined_stretches(spark.createDataFrame(rows, "k int, s string"), "k", "s", seed.span - 1, stretch=100)
+            got = [r.s for r in index.read_seeds(long.select(F.lit(0).alias("k"), "s"), "k", "s", seed).select(F.col("seed").alias("s")).collect()]
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+        assert sorted(got) == sorted(x for _, x in brute_seeds(whole, seed))
+
+
 def test_sizes_beyond_64_bits(spark, tmp_path):
     from tessera import queries
 
