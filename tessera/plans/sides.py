@@ -73,25 +73,30 @@ def write_sides(split: DataFrame, out: str, gzip: bool = False, name: str = "sam
     rows = split.select(F.col(f"`{name}`").alias("name"), F.col("ordinal").cast("long").alias("ordinal"), "matched", *(F.coalesce(c, F.lit("")).alias(c) for c in RECORD))
 
     def write(batches):
-        run = None
+        open_: dict[str, Run] = {}  # by file: mates come in turn
         for b in batches:
             if not b.num_rows:
                 continue
-            name_, ordinal = b.column(0).dictionary_encode(), b.column(1).to_numpy()
-            text = pc.binary_join_element_wise(*b.columns[3:], "\n")
-            which = name_.indices.to_numpy()
-            cuts = np.flatnonzero((np.diff(ordinal) != 1) | (np.diff(which) != 0)) + 1
-            for a, e in zip([0, *cuts], [*cuts, len(ordinal)]):
-                own = name_.dictionary[int(which[a])].as_py()
-                if run is None or run.name != own or run.next != ordinal[a]:
-                    if run is not None:
-                        yield from ranges.table(run.close(), PART).to_batches()
-                    run = Run(folder, own, int(ordinal[a]), gzip)
-                side = b.column(2).slice(a, e - a)
-                for matched in (True, False):
-                    run.write(matched, text.slice(a, e - a).filter(pc.equal(side, matched)))
-                run.next = int(ordinal[e - 1]) + 1
-        if run is not None:
+            name_, all_ordinals = b.column(0).dictionary_encode(), b.column(1).to_numpy()
+            all_text = pc.binary_join_element_wise(*b.columns[3:], "\n")
+            which, here = name_.indices.to_numpy(), name_.dictionary.to_pylist()
+            for own in [x for x in open_ if x not in here]:
+                yield from ranges.table(open_.pop(own).close(), PART).to_batches()
+            for w, own in enumerate(here):
+                rows_ = np.flatnonzero(which == w)
+                ordinal, text, side_ = all_ordinals[rows_], all_text.take(pa.array(rows_)), b.column(2).take(pa.array(rows_))
+                cuts = np.flatnonzero(np.diff(ordinal) != 1) + 1
+                for a, e in zip([0, *cuts], [*cuts, len(ordinal)]):
+                    run = open_.get(own)
+                    if run is None or run.next != ordinal[a]:
+                        if run is not None:
+                            yield from ranges.table(run.close(), PART).to_batches()
+                        run = open_[own] = Run(folder, own, int(ordinal[a]), gzip)
+                    side = side_.slice(a, e - a)
+                    for matched in (True, False):
+                        run.write(matched, text.slice(a, e - a).filter(pc.equal(side, matched)))
+                    run.next = int(ordinal[e - 1]) + 1
+        for run in open_.values():
             yield from ranges.table(run.close(), PART).to_batches()
 
     try:

@@ -245,3 +245,32 @@ def test_many_samples_at_once_some_broken(spark, tmp_path):
         assert r.paired == (k % 10 != 3)
         assert (r.reads, r.matched) == ((10, 2 * sum(hits)) if r.paired else (5, hits[0]))
         assert len(inflate(tmp_path / "out" / f"s{k}_R1.matched.fastq.gz").splitlines()) == 4 * (sum(hits) if r.paired else hits[0])
+
+
+def test_mates_that_come_in_turn_are_one_part_each(spark, tmp_path):
+    """A task's records of a file are one part of each side (a gzip member), though those of its mate lie between them."""
+    ref, seed = random_dna(300, 8), Seed("#" * 25)
+    own = index.build_index(spark.createDataFrame([(ref,)], "s string"), "s", seed)
+    for m in (1, 2):
+        rows = [(f"@r{i}", ref[i : i + 60] if i % 3 == m else random_dna(60, 10 * i + m), "+", "I" * 60) for i in range(60)]
+        (tmp_path / f"s_R{m}.fastq").write_bytes(fastq(rows))
+    pairs = ranges.read_pairs(spark, [("s", *(str(tmp_path / f"s_R{m}.fastq") for m in (1, 2)))])
+    sides.write_sides(split.split_read_pairs(pairs, own), str(tmp_path / "out"), True, name="file")
+    for m in (1, 2):
+        for side, n in (("matched", 40), ("unmatched", 20)):
+            data, found, lines = (tmp_path / "out" / f"s_R{m}.{side}.fastq.gz").read_bytes(), 0, 0
+            while data:
+                out = zlib.decompressobj(31)
+                lines += out.decompress(data).count(b"\n")
+                data, found = out.unused_data, found + 1
+            assert (found, lines) == (1, 4 * n)
+
+
+def test_many_small_ranges_are_few_tasks(tmp_path, monkeypatch):
+    """Tasks follow the bytes, not the ranges; all ranges are there once, in their order."""
+    parts = [sequences.FileRange("f", a, a + 65536, k) for k, a in enumerate(range(0, 65536 * 40_000, 65536))]
+    got = sequences.grouped(parts)
+    assert len(got) <= 90 and [p.number for g in got for p in g.parts] == list(range(40_000))
+    assert len(sequences.grouped(parts[:50])) == 50
+    monkeypatch.setattr(ranges.os.path, "getsize", lambda f: 65536 * 40_000)
+    assert ranges.tasks_for(["f"], 1 << 14) <= 90 and ranges.tasks_for(["f"], 1 << 30) == 3
