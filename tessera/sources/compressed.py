@@ -13,6 +13,8 @@ from typing import BinaryIO
 
 SUFFIX = re.compile(r"\.(gz|bgz|bgzf)$", re.IGNORECASE)
 PIECE = 1 << 20
+#: Bytes that are read first beyond a range's end.
+FIRST = 1 << 13
 
 
 def is_gzip(head: bytes) -> bool:
@@ -172,9 +174,11 @@ def marked_stream(path: str, permissive: bool = False, start: int = 0, end: int
                 at += size
             return
         f.seek(start)
-        at = start
-        while piece := f.read(PIECE if end is None or at >= end else min(PIECE, end - at)):
+        at, beyond = start, FIRST  # of what lies beyond the end little is asked for
+        while piece := f.read(PIECE if end is None else min(PIECE, end - at) if at < end else beyond):
             yield piece, end is None or at < end
+            if end is not None and at >= end:
+                beyond = min(PIECE, 2 * beyond)
             at += len(piece)
 
 

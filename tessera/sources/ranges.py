@@ -39,9 +39,19 @@ PAIR_FIELDS = ("header", "seq", "plus", "qual")
 PAIR_SCHEMA = "sample string, ordinal long, file_1 string, file_2 string, " + ", ".join(f"{c}_{m} string" for m in (1, 2) for c in PAIR_FIELDS)
 
 
+#: Stored bytes of ranges that one task reads at least, one range after another, where there are more ranges than BOUND.
+TASK, BOUND = 32 << 20, 64
+
+
 def tasks_for(files: list[str], split: int) -> int:
-    """A task for each range, up to a bound."""
-    return max(1, min(20_000, sum(-(-max(1, os.path.getsize(f)) // split) for f in files)))
+    """A task for each range; beyond BOUND of them a task reads many small ones, so the number of tasks follows the bytes."""
+    ranges, total = sum(-(-max(1, os.path.getsize(f)) // split) for f in files), sum(os.path.getsize(f) for f in files)
+    return max(1, min(ranges, 20_000, max(BOUND, -(-total // TASK))))
+
+
+def near(files: list[str], split: int) -> int:
+    """How many ranges that follow one another are read by one task: all of a task's, but in four stretches."""
+    return max(1, sum(-(-max(1, os.path.getsize(f)) // split) for f in files) // (8 * tasks_for(files, split)))  # of two files a pair
 
 
 def step_of(options: dict) -> int:
@@ -72,7 +82,7 @@ def member_starts(path: str, start: int, end: int) -> Iterator[int]:
         f.seek(start)
         at, data = start, b""
         while at < end:
-            piece = f.read(compressed.PIECE)
+            piece = f.read(min(compressed.PIECE, max(end + 9 - at - len(data), 1)))  # a head may lie across the end
             data += piece
             k = data.find(b"\x1f\x8b\x08")
             while 0 <= k and at + k < end and (len(data) - k >= 10 or not piece):
@@ -295,7 +305,7 @@ def read_samples(spark: SparkSession, samples: list[tuple[str, str, str | None]]
     errors = where.where("error is not null").select("sample", "error").unionByName(spark.createDataFrame(missing, "sample string, error string")).groupBy("sample").agg(F.min("error").alias("error"))
     sound = where.where("error is null").join(F.broadcast(spark.createDataFrame(missing, "sample string, error string").select("sample").distinct()), "sample", "left_anti")  # of the caller's list
     tasks = tasks_for(files, split) if files else 1
-    return (pairs_of if paired else records_of)(sound, tasks, options), errors
+    return (pairs_of(sound, tasks, options, near(files, split) if files else 1) if paired else records_of(sound, tasks, options)), errors
 
 
 _WAY = "file string, number int, start long, end long, members boolean, line long, fresh boolean"
@@ -326,26 +336,37 @@ def met(rows: pa.Table, tolerant: bool = False) -> pa.Table:
     return table(out, MET)
 
 
-def pairs_of(where: DataFrame, tasks: int, options: dict) -> DataFrame:
-    """The pairs of :data:`MET` ranges."""
+def pairs_of(where: DataFrame, tasks: int, options: dict, near_each: int = 1) -> DataFrame:
+    """The pairs of :data:`MET` ranges. Neighbours are dealt to one task, where there are more ranges than tasks, which reads on in both files from one to the next."""
+    place = "sample", F.floor(F.col("number_1") / F.lit(max(1, near_each)))
 
     def read(batches):
+        at, sides, files = None, [], []  # where the files that are open have been read to
         for b in batches:
             for r in b.to_pylist():
+                if at == (r["sample"], r["first"]):
+                    at = r["sample"], r["last"]
+                    yield from pairs(r, sides, files)
+                    continue
+                at = r["sample"], r["last"]
                 sides = [opened({k[:-2]: v for k, v in r.items() if k.endswith(f"_{m}")}, options).records(r["first"]) for m in (1, 2)]
                 files = [os.path.basename(r[f"file_{m}"]) for m in (1, 2)]
-                rows: list[tuple] = []
-                for ordinal in range(r["first"], r["last"]):
-                    (k, a), (m, c) = (next(side, (-1, [])) for side in sides)
-                    if (k, m) != (ordinal, ordinal):
-                        raise ValueError(f"{r['sample']}: the files are not as they were mapped")
-                    rows.append((r["sample"], ordinal, *files, *a, *c))
-                    if len(rows) == BATCH:
-                        yield from table(rows, PAIR_SCHEMA).to_batches()
-                        rows = []
+                yield from pairs(r, sides, files)
+
+    def pairs(r, sides, files):
+        rows: list[tuple] = []
+        for ordinal in range(r["first"], r["last"]):
+            (k, a), (m, c) = (next(side, (-1, [])) for side in sides)
+            if (k, m) != (ordinal, ordinal):
+                raise ValueError(f"{r['sample']}: the files are not as they were mapped")
+            rows.append((r["sample"], ordinal, *files, *a, *c))
+            if len(rows) == BATCH:
                 yield from table(rows, PAIR_SCHEMA).to_batches()
+                rows = []
+        yield from table(rows, PAIR_SCHEMA).to_batches()
 
-    return where.repartition(tasks).mapInArrow(read, PAIR_SCHEMA)
+    dealt_ = where.repartition(tasks) if near_each <= 1 else where.repartition(tasks, *place).sortWithinPartitions("sample", "first")
+    return dealt_.mapInArrow(read, PAIR_SCHEMA)
 
 
 def read_pairs(spark: SparkSession, pairs: DataFrame | list[tuple[str, str, str]], **options) -> DataFrame:
@@ -358,7 +379,7 @@ def read_pairs(spark: SparkSession, pairs: DataFrame | list[tuple[str, str, str]
     files = sorted({as_local(f) for _, *both in listed for f in both})
     of = spark.createDataFrame([(s, m, as_local(f)) for s, *both in listed for m, f in zip((1, 2), both)], "sample string, mate int, file string")
     where = of.join(line_map(spark, files, step_of(options), options), "file").groupBy("sample").applyInArrow(lambda rows: met(rows), MET)
-    return pairs_of(where, tasks_for(files, step_of(options)), options)
+    return pairs_of(where, tasks_for(files, step_of(options)), options, near(files, step_of(options)))
 
 
 # --- FASTA --------------------------------------------------------------------------------------------------

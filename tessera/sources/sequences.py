@@ -45,6 +45,32 @@ class FileRange(InputPartition):
         self.start, self.end, self.number = start, end, number
 
 
+class FileRanges(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    def __init__(self, parts: list[FileRange]):
+        super().__init__(None)
+        self.parts = parts
+
+
+#: Bytes of small ranges that one task reads, where there are more than BOUND ranges.
+TASK, BOUND = 32 << 20, 64
+
+
+def grouped(parts: list[FileRange]) -> list[FileRanges]:
+    """Ranges put together for tasks: each its own up to BOUND of them, else neighbours of about TASK bytes, in BOUND tasks at least."""
+    size = [(os.path.getsize(p.value) if p.end is None else p.end) - p.start for p in parts]
+    most = 0 if len(parts) <= BOUND else min(TASK, sum(size) // BOUND)
+    out, held = [], 0
+    for p, n in zip(parts, size):
+        if not out or held + n > most:
+            out.append([])
+            held = 0
+        out[-1].append(p)
+        held += n
+    return [FileRanges(x) for x in out]
+
+
 def _files(options) -> list[str]:
     path = as_local(options.get("path", ""))
     found = [path] if os.path.isfile(path) else sorted(glob.glob(path)) if glob.has_magic(path) else sorted(os.path.join(path, x) for x in os.listdir(path) if x[0] not in "._") if os.path.isdir(path) else []
@@ -134,10 +160,11 @@ class FastqReader(DataSourceReader):
         self.options = dict(options)
 
     def partitions(self):
-        return _ranges(_files(self.options), self.options)
+        return grouped(_ranges(_files(self.options), self.options))
 
     def read(self, partition):
-        return fastq_batches(partition, self.options)
+        for part in partition.parts:
+            yield from fastq_batches(part, self.options)
 
 
 class FastqWriter(DataSourceArrowWriter):
