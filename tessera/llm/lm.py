@@ -14,8 +14,8 @@ proper probability, as a text can be read back from its bits.
 Counts cover all training rows: tasks count (context, symbol) pairs, others sum them up and turn them into counts of
 nodes. A table has a row of 16 bytes for each four training units (letters of spelled units) at least, so it grows
 with the corpus; in a row the nodes that were reached most often stay, and check bits tell strangers apart.
-Tasks map the table into memory from the shared folder, which must be a path that they can open. Weights are learned on one of
-:data:`ONE_IN` training texts (by a hash of the text) and averaged over groups of them that the hash makes, then they are fixed, so all documents are scored alike and rows stay independent.
+Tasks map the table into memory from the shared folder, which must be a path that they can open. Weights are learned on
+all training texts and averaged over groups of them that a hash of the text makes, then they are fixed, so all documents are scored alike and rows stay independent.
 
 ``base_score`` is the unigram score of lower-cased words. Words of units out of the dictionary are looked up by a join; none of
 them is common enough to crowd a task.
@@ -53,8 +53,7 @@ OF_UNITS = ("marker", "ending", "before")
 OF_LETTERS = (1, 2, 4, None)
 #: Units that count as markers: the most frequent ones.
 MARKERS = 64
-#: Weights are learned on one of so many training texts, in groups of about LEARNED of their units.
-ONE_IN = 8
+#: Weights are learned in groups of training texts with about so many units.
 LEARNED = 500_000
 STEP = 2048
 #: Symbols whose bits are worked through together: their arrays fit in a processor's cache.
@@ -752,12 +751,12 @@ def make_table(found: DataFrame, table: Table, code: Code, path: str) -> Table:
 
 
 def learn_weights(train: DataFrame, sent, units: int) -> np.ndarray | None:
-    """The weights and refinements learned on one of ONE_IN texts; ``sent``: the model, broadcast; ``units``: how many all texts have.
+    """The weights and refinements learned on all training texts; ``sent``: the model, broadcast; ``units``: how many all texts have.
 
     Texts are dealt by their hash to groups, whose number follows from ``units``; a group learns from its texts in the order of their hashes, some at a time, and the groups' states are
     averaged in their order. So nothing depends on the files or partitions in which the texts lie.
     """
-    groups = max(1, math.ceil(units / ONE_IN / LEARNED))
+    groups = max(1, math.ceil(units / LEARNED))
     width = SLICE >> 2
 
     def learned(group: int, model: Model, batches: Iterator[pa.Array]) -> pa.RecordBatch:
@@ -812,7 +811,7 @@ def learn_weights(train: DataFrame, sent, units: int) -> np.ndarray | None:
             while rest:
                 yield learned(rest[-1][0], sent.value.unlearned(), of(rest[-1][0]))
 
-    hashed = train.where("data is not null").withColumn("h", F.xxhash64("data")).where(F.pmod("h", F.lit(ONE_IN)) == 0)
+    hashed = train.where("data is not null").withColumn("h", F.xxhash64("data"))
     dealt = hashed.withColumn("g", F.pmod(F.shiftright("h", 8), F.lit(groups)).cast("int")).repartition(min(groups, 20_000), "g").sortWithinPartitions("g", "h")  # texts of one hash are equal
     each = dealt.select("g", "data").mapInArrow(run, "g int, n long, state array<double>").select("g", "n", F.posexplode("state").alias("k", "x"))
     own = F.array_sort(F.collect_list(F.struct("g", "n", "x")))  # as many as groups

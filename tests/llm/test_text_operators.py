@@ -283,6 +283,13 @@ def small_model(rows, tmp_path, spark):
 PROSE = [" ".join(random.Random(k).choices(["the", "of", "house", "Haus", "von", "der", "x1", "tree\n"], k=80) + [f"w{k % 7}{k}", "rare"]).encode() for k in range(120)]
 
 
+def test_lm_learns_weights_on_every_text(spark, tmp_path):
+    """Whichever text is the only one, weights are learned on it: none is left out by its hash."""
+    for text in PROSE[:3]:
+        model, train = small_model([text], tmp_path, spark)
+        assert lm.learn_weights(train, spark.sparkContext.broadcast(model), model.alphabet.total) is not None
+
+
 def test_lm_is_a_probability(spark, tmp_path):
     """The chances of all symbols after a context add up to one, with what was learned."""
     model, _ = small_model(PROSE, tmp_path, spark)
