@@ -52,3 +52,10 @@ def test_plans_are_as_meant(spark):
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     plan = coverage.seed_hits(docs, "doc_id", "text", own)._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "html" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables here")
+@pytest.mark.parametrize("name", ["split_complete", "split_paired"])
+def test_records_are_decided_once(spark, name):
+    plan = ALL[name](spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
