@@ -37,9 +37,10 @@ def split_reads(reads: DataFrame, index: Index | PublishedIndex, permille: int =
 def split_pairs(reads: DataFrame, index: Index | PublishedIndex, permille: int = 500, **how) -> DataFrame:
     """As :func:`split_reads` for both mates: a pair matches if one of its reads does (sample and ordinal make a pair)."""
     said = split_reads(reads, index, permille, **how)
-    both = said.groupBy("sample", "ordinal").agg(F.bool_or("matched").alias("matched"), F.count_distinct("mate").alias("mates"))
-    whole = both.where(F.when(F.col("mates") < 2, F.raise_error(F.lit("R1 and R2 differ in their number of records")).cast("boolean")).otherwise(F.lit(True)))
-    return said.drop("matched").join(whole.drop("mates"), ["sample", "ordinal"])
+    pair = Window.partitionBy("sample", "ordinal")  # so records are decided once
+    both = said.where("sample is not null and ordinal is not null").withColumns({"matched": F.bool_or("matched").over(pair), "_lone": F.min("mate").over(pair).eqNullSafe(F.max("mate").over(pair))})
+    whole = both.where(F.when(F.col("_lone"), F.raise_error(F.lit("R1 and R2 differ in their number of records")).cast("boolean")).otherwise(F.lit(True)))
+    return whole.drop("_lone")
 
 
 def split_read_pairs(pairs: DataFrame, index: Index | PublishedIndex, permille: int = 500, max_length: int | None = None) -> DataFrame:
@@ -59,13 +60,20 @@ def record_text() -> Column:
     return F.concat_ws("\n", *(F.coalesce(F.col(c), F.lit("")) for c in RECORD))
 
 
+def laid_down(rows: DataFrame) -> DataFrame:
+    """Rows as a table in the shared folder: dealing by range goes through its input twice, which so is not decided twice."""
+    path = f"{workspace(rows.sparkSession, 'stored')}/rows"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def write_split(split: DataFrame, path: str, gzip: bool = False) -> None:
     """Both sides as text in matched=true/false (and by sample and mate), in the order of the input.
 
     Records are dealt by range of their place, so a file's parts in the order of their names are the whole file. How many ranges there are is the session's to say (shuffle partitions, which
     the planner puts together where they are small). :func:`tessera.plans.sides.write_sides` needs no such exchange.
     """
-    out = split.select("sample", "mate", "matched", "ordinal", record_text().alias("value"))
+    out = laid_down(split.select("sample", "mate", "matched", "ordinal", record_text().alias("value")))
     ordered = out.repartitionByRange("sample", "mate", "ordinal").sortWithinPartitions("matched", "sample", "mate", "ordinal")
     writer = ordered.drop("ordinal").write.mode("overwrite").partitionBy("matched", "sample", "mate")
     (writer.option("compression", "gzip") if gzip else writer).text(path)
@@ -132,7 +140,7 @@ def placed(rows: DataFrame, within: list[str], order: list[str], name: str = "li
     """
     spark = rows.sparkSession
     path = f"{workspace(spark, 'placed')}/rows"
-    dealt = rows.repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
+    dealt = laid_down(rows).repartitionByRange(*within, *order).sortWithinPartitions(*within, *order)
     dealt.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_row")).write.parquet(path)
     stored = spark.read.parquet(path)
     each = stored.groupBy("_part", *within).agg(F.count("*").alias("_n"), F.min("_row").alias("_first"))
