@@ -16,3 +16,15 @@ def test_functions_in_sql(spark):
     r = spark.sql(f"SELECT covered_bases(collect_list(t.pos), '{SPACED_29_33}') AS c FROM reads_for_sql, LATERAL seeds(s, '{SPACED_29_33}') t WHERE k = 1").first()
     assert r.c == brute_covered(n, known, seed)
     assert [tuple(x) for x in spark.sql("SELECT read_matches(50, 100, 500), read_matches(51, 100, 500)").collect()] == [(False, True)]
+
+
+def test_seed_lists_in_sql(spark):
+    """As the table function has them, of whole batches; nulls give no rows."""
+    sql.register_sql(spark)
+    texts = [random_dna(n, n) for n in (0, 20, 33, 90, 400)] + [None, "acgu" * 20, "N" * 40]
+    spark.createDataFrame(list(enumerate(texts)), "k int, s string").createOrReplaceTempView("lists_for_sql")
+    for mask in (SPACED_29_33, "#" * 25):
+        w = Seed(mask).weight
+        got = spark.sql(f"SELECT k, pos, lpad(conv(code, 10, 4), {w}, '0') AS seed FROM lists_for_sql LATERAL VIEW inline(seed_list(s, '{mask}')) t AS pos, code").collect()
+        want = spark.sql(f"SELECT k, t.pos, t.seed FROM lists_for_sql, LATERAL seeds(s, '{mask}') t").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 300
