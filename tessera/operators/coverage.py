@@ -2,8 +2,8 @@
 
 ``probe``: each record is decided where it lies, without a shuffle (so it also serves streams). An index below a checked number of bytes is sent to the
 tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map, in which a window that is not held is found with a
-probability of 2^-32. ``join``: seeds are exploded and semi-joined: exact for indexes of any size, but every window is shuffled. ``verified``: windows that the
-filter finds are semi-joined, so all is exact and only these are shuffled.
+probability of 2^-32. ``join`` and ``verified`` are exact for indexes of any size, and rows of one key are taken together. Of bases, windows that the filter finds are looked up in a
+sorted table of all seeds, which tasks map as well, so windows are not shuffled to be verified. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from tessera.functions.seeds import PIECE, TOGETHER, Seed, base_table, codes_of, text_prints
-from tessera.operators.index import Index, coded_seeds, read_seeds
+from tessera.operators.index import Index, read_seeds
 
 _U = np.uint64
 
@@ -27,35 +27,26 @@ _U = np.uint64
 
 
 def seed_hits(rows: DataFrame, key: str, text: str, index: Index) -> DataFrame:
-    """key and pos of the windows whose seed is in the index; Spark broadcasts a small index by itself."""
+    """key and pos of the windows whose seed is in the index: bases in a narrow stage; for text Spark broadcasts a small index by itself."""
     if index.dna:
-        found = coded_seeds(rows, key, text, index.seed, index.canonical, index.alphabet)
-    else:
-        found = read_seeds(rows.select(key, text), key, text, index.seed, index.dna, index.canonical, index.alphabet)
+        return found_windows(rows, key, text, index, exact=True).select(key, "pos")
+    found = read_seeds(rows.select(key, text), key, text, index.seed, index.dna, index.canonical, index.alphabet)
     return found.join(index.codes, "seed", "left_semi").select(key, "pos")
 
 
-def found_windows(rows: DataFrame, key: str, text: str, index) -> DataFrame:
-    """key, pos and seed of the windows that a prober finds, exact or not: a narrow stage, in which records that hold none give no rows."""
-    sent = SparkContext.getOrCreate().broadcast(index.prober())
+def found_windows(rows: DataFrame, key: str, text: str, index, exact: bool = False) -> DataFrame:
+    """key, pos and seed of the windows that a prober finds, exact (for bases) or not: a narrow stage, in which records that hold none give no rows."""
+    sent = SparkContext.getOrCreate().broadcast(index.prober(True) if exact else index.prober())
     dna, seed = index.dna, index.seed
 
     def run(batches):
         own = sent.value
         for batch in batches:
-            at, pos, codes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)] if dna else []
-            for i, t in enumerate(batch.column(1).to_pylist()):
-                for start in range(0, len(t or "") - seed.span + 1, PIECE):
-                    part = t[start : start + PIECE + seed.span - 1]
-                    hit, code, _ = own.hits(own.points(part))
-                    at.append(np.full(len(hit), i))
-                    pos.append(start + hit)
-                    codes += [code[hit].view(np.int64)] if dna else ["".join(part[h + a : h + a + n] for a, n in seed.runs) for h in hit.tolist()]
-            at, pos = np.concatenate(at), np.concatenate(pos)
-            of = pa.array(np.concatenate(codes)) if dna else pa.array(codes, pa.string())
-            for s in range(0, len(at), 1 << 16):
-                k = slice(s, s + (1 << 16))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[k])), pa.array(pos[k].astype(np.int32)), of[k]], names=[key, "pos", "seed"])
+            for part, at, pos, hit, code in own.found([t or "" for t in batch.column(1).to_pylist()]):
+                of = pa.array(code.view(np.int64)) if dna else pa.array(["".join(part[h + a : h + a + n] for a, n in seed.runs) for h in hit.tolist()], pa.string())
+                for s in range(0, len(at), 1 << 16):
+                    k = slice(s, s + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[k])), pa.array(pos[k].astype(np.int32)), of[k]], names=[key, "pos", "seed"])
 
     kind = StructType([StructField(key, rows.schema[key].dataType), StructField("pos", IntegerType()), StructField("seed", LongType() if dna else StringType())])
     return rows.select(key, text).mapInArrow(run, kind)
@@ -137,6 +128,29 @@ class Prober:
         at[at == len(self.known)] = 0
         return maybe[self.known[at] == code[maybe]]
 
+    def found(self, records: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(text, record, place in it, place in the text, code) of known windows, TOGETHER or PIECE characters at a time: short records are laid end to end, long ones cut."""
+        span, at = self.seed.span, 0
+        while at < len(records):
+            if len(records[at]) > PIECE:
+                for p in range(0, len(records[at]) - span + 1, PIECE):
+                    part = records[at][p : p + PIECE + span - 1]
+                    hit, code, _ = self.hits(self.points(part))
+                    yield part, np.full(len(hit), at), p + hit, hit, code[hit]
+                at += 1
+                continue
+            end, size = at, 0
+            while end < len(records) and (end == at or size + len(records[end]) <= TOGETHER):
+                size += len(records[end])
+                end += 1
+            whole, stop = "".join(records[at:end]), np.cumsum([len(r) for r in records[at:end]])
+            hit, code, _ = self.hits(self.points(whole))
+            row = np.searchsorted(stop, hit, "right")  # empty records hold no place
+            inside = hit + span <= stop[row]
+            row, hit = row[inside], hit[inside]
+            yield whole, at + row, hit - np.append(0, stop)[row], hit, code[hit]
+            at = end
+
     def together(self, records: list[str]) -> np.ndarray:
         """covered, seeds and found of records: three rows of numbers."""
         span, size = self.seed.span, np.array([len(r) for r in records], np.int64)
@@ -223,7 +237,7 @@ def coverage(rows: DataFrame, key: str, text: str, index, strategy: str = "auto"
     if strategy in ("auto", "probe"):
         return rows.select(key, size.alias("length"), probe(asked, index).alias("p")).select(key, F.coalesce("length", F.lit(0)).alias("length"), F.col("p.covered").alias("covered"))
     asked_rows = rows.select(key, asked.alias(text))
-    if strategy == "verified":
+    if strategy == "verified" and not index.dna:
         hits = found_windows(asked_rows, key, text, index).join(index.codes, "seed", "left_semi").select(key, "pos")
     else:
         hits = seed_hits(asked_rows, key, text, index)

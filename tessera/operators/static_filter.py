@@ -9,6 +9,9 @@ Each bucket is solved in one task from about :data:`BUCKET` keys and written at
 attempt writes the same bytes. Where blocks begin follows from the buckets' counts, so what passes the driver is three numbers a bucket. Tasks map the file, whose pages
 all workers of a machine share. Hashes are looked up as they come: on a filter of 491 MB sorting a million of them first took longer than it saved (5.4 against 8.1 million a second on a core).
 
+The table of an index is the same hashes themselves, sorted, in another such file: a bucket is sorted in its task and written at its place. What the filter finds and the table holds is held, without
+an error, and no window is shuffled for it.
+
 An empty index gives a filter that holds nothing. The folder must be mounted on all machines, as for published filters.
 """
 
@@ -118,11 +121,8 @@ class StaticFilter:
         return (slots[a] ^ slots[b] ^ slots[c]) == marks(x, self.bits)
 
 
-def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET) -> StaticFilter:
-    """A filter of ``n`` distinct hashes (a column ``h`` of longs)."""
-    if bits not in TYPES:
-        raise ValueError("a fingerprint has 8, 16 or 32 bits")
-    spark = hashes.sparkSession
+def dealt(hashes: DataFrame, n: int, bucket: int) -> tuple[DataFrame, int, np.ndarray]:
+    """Hashes by bucket (their top bits), how many bits these are, and how many hashes each bucket has."""
     top = max(0, math.floor(math.log2(max(1, n / bucket))))
 
     def deal(batches):
@@ -131,10 +131,20 @@ def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET
             of = (h >> _U(64 - top)).astype(np.int32) if top else np.zeros(len(h), np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(of), b.column(0)], names=["bucket", "h"])
 
-    dealt = hashes.select("h").mapInArrow(deal, "bucket int, h long")
+    rows = hashes.select("h").mapInArrow(deal, "bucket int, h long")
     count = np.zeros(1 << top, np.int64)
-    for of, keys in dealt.groupBy("bucket").count().collect():  # a row for each bucket
+    for of, keys in rows.groupBy("bucket").count().collect():  # a row for each bucket
         count[of] = keys
+    # one task a bucket or a few, whatever the session's number of shuffle partitions is
+    return rows.repartition(min(1 << top, max(hashes.sparkSession.sparkContext.defaultParallelism, (1 << top) // 4)), "bucket"), top, count
+
+
+def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET) -> StaticFilter:
+    """A filter of ``n`` distinct hashes (a column ``h`` of longs)."""
+    if bits not in TYPES:
+        raise ValueError("a fingerprint has 8, 16 or 32 bits")
+    spark = hashes.sparkSession
+    spread, top, count = dealt(hashes, n, bucket)
     size = third(count)
     begin = np.cumsum(3 * size) - 3 * size
     path = f"{as_local(workspace(spark, 'filter'))}/blocks.bin"
@@ -151,13 +161,48 @@ def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET
         return pa.table({"bucket": pa.array([of], pa.int32()), "salt": pa.array([salt], pa.int32())})
 
     salts = np.zeros(1 << top, np.int64)
-    # one task a bucket or a few, whatever the session's number of shuffle partitions is
-    spread = dealt.repartition(min(1 << top, max(spark.sparkContext.defaultParallelism, (1 << top) // 4)), "bucket")
     for of, salt in spread.groupBy("bucket").applyInArrow(write, "bucket int, salt int").collect():  # a row for each bucket
         salts[of] = salt
     return StaticFilter(path, bits, top, begin, size, salts)
 
 
+@dataclass(frozen=True)
+class SeedTable:
+    """A file of ``n`` sorted hashes."""
+
+    path: str
+    n: int
+
+    def rows(self) -> np.ndarray:
+        return np.asarray(np.memmap(self.path, _U, "r", shape=(self.n,))) if self.n else np.zeros(0, _U)
+
+    @staticmethod
+    def holds(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which hashes are held."""
+        if not len(rows):
+            return np.zeros(len(h), bool)
+        return rows[np.minimum(np.searchsorted(rows, h), len(rows) - 1)] == h
+
+
+def build_table(hashes: DataFrame, n: int, bucket: int = BUCKET) -> SeedTable:
+    """The table of ``n`` distinct hashes (a column ``h`` of longs): buckets in their order, each sorted, are all in order."""
+    spread, _, count = dealt(hashes, n, bucket)
+    begin = np.cumsum(count) - count
+    path = f"{as_local(workspace(hashes.sparkSession, 'table'))}/rows.bin"
+    with open(path, "wb") as f:
+        f.truncate(8 * int(count.sum()))
+
+    def write(rows: pa.Table) -> pa.Table:
+        of = rows["bucket"][0].as_py()
+        with open(path, "r+b") as f:
+            f.seek(8 * int(begin[of]))
+            f.write(np.sort(rows["h"].to_numpy().view(_U)).tobytes())
+        return pa.table({"bucket": pa.array([of], pa.int32())})
+
+    spread.groupBy("bucket").applyInArrow(write, "bucket int").collect()  # a row for each bucket
+    return SeedTable(path, int(count.sum()))
+
+
 class FilterProber(Prober):
     """Decides records against a mapped filter."""
 
@@ -172,3 +217,20 @@ class FilterProber(Prober):
         if not hasattr(self, "mapped"):
             self.mapped = self.of.slots()
         return np.flatnonzero(self.of.holds(self.mapped, mix64(code)))
+
+
+class ExactProber(FilterProber):
+    """As :class:`FilterProber`, but what the filter finds is looked up in the table of all hashes."""
+
+    def __init__(self, of: StaticFilter, table: SeedTable, *how):
+        super().__init__(of, *how)
+        self.table = table
+
+    def __getstate__(self):
+        return {k: v for k, v in super().__getstate__().items() if k != "rows"}
+
+    def known_at(self, code: np.ndarray) -> np.ndarray:
+        if not hasattr(self, "rows"):
+            self.rows = self.table.rows()
+        maybe = super().known_at(code)
+        return maybe[self.table.holds(self.rows, mix64(code[maybe]))]
