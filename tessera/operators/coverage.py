@@ -3,7 +3,7 @@
 ``probe``: each record is decided where it lies, without a shuffle (so it also serves streams). An index below a checked number of bytes is sent to the
 tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map, in which a window that is not held is found with a
 probability of 2^-32. ``join`` and ``verified`` are exact for indexes of any size, and rows of one key are taken together. Of bases, windows that the filter finds are looked up in a
-sorted table of all seeds, which tasks map as well, so windows are not shuffled to be verified. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
+sorted table of all seeds, which tasks map as well, so what is shuffled is the stretches that hits cover, not windows. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
 """
 
 from __future__ import annotations
@@ -52,6 +52,22 @@ def found_windows(rows: DataFrame, key: str, text: str, index, exact: bool = Fal
     return rows.select(key, text).mapInArrow(run, kind)
 
 
+def found_stretches(rows: DataFrame, key: str, text: str, index) -> DataFrame:
+    """key, start and end of the stretches of bases under significant places of a record's hits: a narrow stage, in which records without a hit give no rows. Those of a long record may overlap."""
+    sent = SparkContext.getOrCreate().broadcast(index.prober(True))
+
+    def run(batches):
+        own = sent.value
+        for batch in batches:
+            for at, start, end in own.stretches([t or "" for t in batch.column(1).to_pylist()]):
+                for s in range(0, len(at), 1 << 16):
+                    k = slice(s, s + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at[k])), *(pa.array(x[k].astype(np.int32)) for x in (start, end))], names=[key, "start", "end"])
+
+    kind = StructType([StructField(key, rows.schema[key].dataType), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    return rows.select(key, text).mapInArrow(run, kind)
+
+
 def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
     """key and covered: characters under at least one significant place of a hit.
 
@@ -63,6 +79,11 @@ def covered_by_hits(hits: DataFrame, key: str, seed: Seed) -> DataFrame:
         return hits.select(key, part.alias("part")).groupBy(key).agg(F.sum("part").alias("covered"))
     runs = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(n).alias("n")) for a, n in seed.runs))
     spans = hits.select(key, "pos", F.explode(runs).alias("r")).select(key, (F.col("pos") + F.col("r.a")).alias("start"), (F.col("pos") + F.col("r.a") + F.col("r.n")).alias("end"))
+    return covered_by_stretches(spans, key)
+
+
+def covered_by_stretches(spans: DataFrame, key: str) -> DataFrame:
+    """key and covered: characters in the union of a key's stretches."""
     before = F.max("end").over(Window.partitionBy(key).orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     part = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))))
     return spans.select(key, part.alias("part")).groupBy(key).agg(F.sum("part").alias("covered"))
@@ -151,6 +172,21 @@ class Prober:
             yield whole, at + row, hit - np.append(0, stop)[row], hit, code[hit]
             at = end
 
+    def stretches(self, records: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(record, start, end) of the stretches under significant places of known windows; those of a long record's pieces may overlap."""
+        for _, row, place, hit, _ in self.found(records):
+            if not len(hit):
+                continue
+            own = hit + row - hit[0] - row[0]  # with a free place between records
+            size = int(own[-1]) + self.seed.span + 1
+            mark = np.zeros(size, np.int64)
+            for a, n in self.seed.runs:
+                mark += np.bincount(own + a, minlength=size) - np.bincount(own + a + n, minlength=size)
+            edges = np.flatnonzero(np.diff(np.cumsum(mark) > 0, prepend=False))
+            start, end = edges[::2], edges[1::2]
+            of = np.searchsorted(own, start, "right") - 1  # a hit of the same record
+            yield row[of], place[of] + start - own[of], place[of] + end - own[of]
+
     def together(self, records: list[str]) -> np.ndarray:
         """covered, seeds and found of records: three rows of numbers."""
         span, size = self.seed.span, np.array([len(r) for r in records], np.int64)
@@ -237,11 +273,11 @@ def coverage(rows: DataFrame, key: str, text: str, index, strategy: str = "auto"
     if strategy in ("auto", "probe"):
         return rows.select(key, size.alias("length"), probe(asked, index).alias("p")).select(key, F.coalesce("length", F.lit(0)).alias("length"), F.col("p.covered").alias("covered"))
     asked_rows = rows.select(key, asked.alias(text))
-    if strategy == "verified" and not index.dna:
-        hits = found_windows(asked_rows, key, text, index).join(index.codes, "seed", "left_semi").select(key, "pos")
+    if index.dna:
+        found = covered_by_stretches(found_stretches(asked_rows, key, text, index), key)
     else:
-        hits = seed_hits(asked_rows, key, text, index)
-    found = covered_by_hits(hits, key, index.seed)
+        hits = found_windows(asked_rows, key, text, index).join(index.codes, "seed", "left_semi").select(key, "pos") if strategy == "verified" else seed_hits(asked_rows, key, text, index)
+        found = covered_by_hits(hits, key, index.seed)
     return rows.select(key, F.coalesce(size, F.lit(0)).alias("length")).join(found, key, "left").select(key, "length", F.coalesce("covered", F.lit(0)).cast("long").alias("covered"))
 
 
