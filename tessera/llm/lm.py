@@ -261,7 +261,11 @@ def _level(n: np.ndarray) -> np.ndarray:
 
 #: By packed counts: the logit and the level; the same without one event that was a zero, or a one.
 LOGIT, LEVEL = _logit(_N0, _N1), _level(_N0 + _N1)
-LEFT_OUT = [(_logit(a, b), _level(a + b)) for a, b in ((np.maximum(_N0 - 1, 0), _N1), (_N0, np.maximum(_N1 - 1, 0)))]
+_A0, _A1 = np.concatenate([np.maximum(_N0 - 1, 0), _N0]), np.concatenate([_N1, np.maximum(_N1 - 1, 0)])
+LEFT_OUT = _logit(_A0, _A1), _level(_A0 + _A1)  # at (the event << 16 | packed counts)
+
+
+_WHOLE = np.complex128  # a row's 16 bytes, which are only moved
 
 
 class Table:
@@ -341,19 +345,20 @@ class Table:
         if "path" in state:
             self.open(self.path)
 
-    def take(self, context: np.ndarray, groups: np.ndarray, head: np.ndarray, owner: np.ndarray, local: np.ndarray) -> np.ndarray:
+    def take(self, context: np.ndarray, groups: np.ndarray, head: np.ndarray, place: np.ndarray) -> np.ndarray:
         """Packed counts (zeros << 8 | ones) at each bit; 0 where nothing is known.
 
-        ``groups``: how many each context has, ``head``: their first nodes; ``owner``: the group of each bit, ``local``: its place there.
+        ``groups``: how many each context has, ``head``: their first nodes; ``place`` of each bit: its group << ROW | its place there. Rows are fetched whole, once for all of their bits.
         """
-        row, check = self.places(np.repeat(context, groups), head)
-        part = ((context >> _U(64 - self.part_bits)) << _U(self.row_bits)).view(np.int64)
-        row += np.repeat(part, groups)
-        row <<= ROW
-        row[self.rows.take(row) & np.uint16(255) != check] = self.size << self.part_bits
-        at = row.take(owner)
-        at += local
-        return self.rows.take(at).astype(np.int64)
+        own = np.repeat(context, groups)
+        row, check = self.places(own, head)
+        own >>= _U(64 - self.part_bits)
+        own <<= _U(self.row_bits)
+        row += own.view(np.int64)
+        found = self.rows.view(_WHOLE).take(row)
+        nodes = found.view(np.uint16)
+        found[nodes[:: 1 << ROW] & np.uint16(255) != check] = 0
+        return nodes.take(place).astype(np.int64)
 
 
 # --- mixing ------------------------------------------------------------------------------------------------
@@ -361,10 +366,18 @@ class Table:
 BINS = 33
 
 
+def _scaled(z: np.ndarray) -> np.ndarray:
+    """Where a logit lies among the refinement bins."""
+    x = np.minimum(np.maximum(z, np.float32(-7.99)), np.float32(7.99))
+    x *= np.float32(2)
+    x += np.float32(16)
+    return x
+
+
 def _bins(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The refinement bin below a logit, and how far it is to the next."""
-    x = np.clip(z, -7.99, 7.99) * np.float32(2) + np.float32(16)
-    low = x.astype(np.int32)
+    x = _scaled(z)
+    low = x.astype(np.int64)
     return low, x - low
 
 
@@ -382,8 +395,11 @@ class Mixer:
     def mix(self, logits: list[np.ndarray], gate: np.ndarray) -> np.ndarray:
         z = np.zeros(len(gate), np.float32)
         for x, w in zip(logits, self.weights):
-            z += x * w.take(gate)
-        return np.clip(z, -14, 14, out=z)
+            own = w.take(gate)
+            own *= x
+            z += own
+        np.maximum(z, np.float32(-14), out=z)
+        return np.minimum(z, np.float32(14), out=z)
 
     def chance(self, logits: list[np.ndarray], gate: np.ndarray, row: np.ndarray) -> np.ndarray:
         """The probability of a one."""
@@ -399,20 +415,23 @@ class Mixer:
         return np.clip(fine, np.float32(1e-6), np.float32(1 - 1e-6), out=fine)
 
     def learn(self, logits: list[np.ndarray], gate: np.ndarray, row: np.ndarray, bit: np.ndarray, rate: float) -> None:
-        """Online steps: bits are predicted, then weights and refinement move towards them."""
+        """Online steps: bits are predicted, then weights and refinement move towards them (of the refinement only what the bits reach)."""
+        bit, first, flat = bit.astype(float), row.astype(np.int64) * BINS, self.refine.reshape(-1)
+        limited = [np.minimum(np.maximum(x, np.float32(-8)), np.float32(8)) for x in logits]
         for at in range(0, len(gate), STEP):
             k = slice(at, at + STEP)
-            some, g, b = [x[k] for x in logits], gate[k], bit[k]
-            z = self.mix(some, g)
+            g, b = gate[k], bit[k]
+            z = self.mix([x[k] for x in logits], g)
             error = (b - squash(z)) * np.float32(rate)
-            for x, w in zip(some, self.weights):
-                w += np.bincount(g, error * np.clip(x, -8, 8), LEVELS**3).astype(np.float32)
-            low, part = _bins(z)
-            at_bin = row[k] * BINS + low + (part > 0.5)
-            count = np.bincount(at_bin, minlength=self.refine.size)
-            mean = np.bincount(at_bin, b, self.refine.size) / np.maximum(count, 1)
-            flat = self.refine.reshape(-1)
-            flat += (count / (count + 60) * (mean - flat)).astype(np.float32)
+            for x, w in zip(limited, self.weights):
+                w += np.bincount(g, error * x[k], LEVELS**3).astype(np.float32)
+            at_bin = np.ceil(_scaled(z) - np.float32(0.5)).astype(np.int64)  # the nearest; of two the lower one
+            at_bin += first[k]
+            count = np.bincount(at_bin, minlength=flat.size)
+            reached = np.flatnonzero(count > 0)
+            count, old = count.take(reached), flat.take(reached)
+            mean = np.bincount(at_bin, b, flat.size).take(reached) / count
+            flat[reached] = old + (count / (count + 60) * (mean - old)).astype(np.float32)
 
 
 class Layer:
@@ -422,7 +441,7 @@ class Layer:
         self.code, self.table, self.alone, self.mixer = code, table, alone, Mixer(contexts + alone)
 
     def bits(self, symbol: np.ndarray) -> SimpleNamespace:
-        """The bits of symbols: where each symbol's begin (and where all end), what is known of them, and their groups (their number by symbol, first nodes, and that of each bit)."""
+        """The bits of symbols: where each symbol's begin (and where all end), what is known of them, and their groups (their number by symbol, first nodes, and the place of each bit in them)."""
         code = self.code
         size, groups = code.length.take(symbol), code.groups.take(symbol)
         begin, of_groups = np.concatenate([[0], np.cumsum(size)]), np.concatenate([[0], np.cumsum(groups)])
@@ -432,26 +451,26 @@ class Layer:
         known, alone = np.ascontiguousarray(facts[::2]), facts[1::2].view(np.float32)
         group = np.repeat(code.first_group.take(symbol) - of_groups[:-1], groups)
         group += np.arange(len(group))
-        owner = np.repeat(of_groups[:-1], size)
-        owner += known >> 12
-        return SimpleNamespace(begin=begin, bit=known & 1, local=(known >> 1) & 7, row=(known >> 4) & 255, alone=alone, groups=groups, head=code.bits.head.take(group), owner=owner)
+        place = np.repeat(of_groups[:-1] << ROW, size)
+        place += (known >> 12 << ROW) | (known >> 1) & 7
+        return SimpleNamespace(begin=begin, bit=known & 1, row=(known >> 4) & 255, alone=alone, groups=groups, head=code.bits.head.take(group), place=place)
 
     def inputs(self, contexts: list[np.ndarray], of: SimpleNamespace, leave_out: bool) -> tuple[list[np.ndarray], np.ndarray]:
         """Logits by input, and the gate; ``leave_out``: each event itself is taken out of the counts."""
-        logits, gate = [], np.zeros(len(of.bit), np.int64)
+        logits, gate = [], np.zeros(len(of.bit), np.uint8)
+        logit, level = LEFT_OUT if leave_out else (LOGIT, LEVEL)
+        event = of.bit.astype(np.int64) << 16
         for k, c in enumerate(contexts):
-            seen = self.table.take(c, of.groups, of.head, of.owner, of.local)
+            seen = self.table.take(c, of.groups, of.head, of.place)
             if leave_out:
-                x, level = (np.where(of.bit == 1, b.take(seen), a.take(seen)) for a, b in zip(*LEFT_OUT))
-            else:
-                x, level = LOGIT.take(seen), LEVEL.take(seen)
-            logits.append(x)
+                seen |= event
+            logits.append(logit.take(seen))
             if k >= len(contexts) - 3:
-                gate *= LEVELS
-                gate += level
+                gate *= np.uint8(LEVELS)
+                gate += level.take(seen)
         if self.alone:
             logits.append(of.alone)
-        return logits, gate
+        return logits, gate.astype(np.int64)
 
     def score(self, symbol: np.ndarray, contexts: list[np.ndarray]) -> np.ndarray:
         """log10 of the probability of each symbol. What comes again in the same contexts is worked out once, in the order of the last context, as the table has it."""

@@ -290,6 +290,37 @@ def test_lm_learns_weights_on_every_text(spark, tmp_path):
         assert lm.learn_weights(train, spark.sparkContext.broadcast(model), model.alphabet.total) is not None
 
 
+def test_lm_fetches_each_row_once_and_learns_as_dense_steps_do(spark, tmp_path):
+    """A table is asked once for a row of nodes, not again for each of its bits; steps that move only what is reached give the numbers of steps over all of the refinement."""
+    model, _ = small_model(PROSE, tmp_path, spark)
+    layer, read, fetched = model.of_units, lm.Read(model.alphabet, pa.array(PROSE[:40], pa.binary())), []
+
+    class Counted(np.ndarray):
+        def take(self, at, *more, **options):
+            fetched.append(len(at))
+            return np.asarray(self).take(at, *more, **options)
+
+    of = layer.bits(read.symbol)
+    layer.table.rows = np.asarray(layer.table.rows).view(Counted)
+    logits, gate = layer.inputs(read.contexts, of, True)
+    assert sum(fetched) == len(read.contexts) * len(of.head) < len(read.contexts) * len(of.bit)
+    got, want = lm.Mixer(len(logits)), lm.Mixer(len(logits))
+    got.learn(logits, gate, of.row, of.bit, 0.003)
+    for at in range(0, len(gate), lm.STEP):
+        k = slice(at, at + lm.STEP)
+        z = want.mix([x[k] for x in logits], gate[k])
+        error = (of.bit[k] - lm.squash(z)) * np.float32(0.003)
+        for x, w in zip(logits, want.weights):
+            w += np.bincount(gate[k], error * np.clip(x[k], -8, 8), lm.LEVELS**3).astype(np.float32)
+        low, part = lm._bins(z)
+        bins = of.row[k] * lm.BINS + low + (part > 0.5)
+        count = np.bincount(bins, minlength=want.refine.size)
+        mean = np.bincount(bins, of.bit[k], want.refine.size) / np.maximum(count, 1)
+        flat = want.refine.reshape(-1)
+        flat += (count / (count + 60) * (mean - flat)).astype(np.float32)
+    assert len(gate) > 2 * lm.STEP and (got.weights == want.weights).all() and (got.refine == want.refine).all()
+
+
 def test_lm_is_a_probability(spark, tmp_path):
     """The chances of all symbols after a context add up to one, with what was learned."""
     model, _ = small_model(PROSE, tmp_path, spark)
