@@ -22,6 +22,8 @@ from tessera.sources.sequences import FASTQ_SCHEMA, SPLIT, FileRange, fastq_batc
 from tessera.sources.shared import as_local
 
 READ_SCHEMA = FASTQ_SCHEMA
+#: Files of a full batch for each task, on average (large files are several ranges).
+TASK_FILES = 4
 
 
 def read_fastq_stream(spark: SparkSession, path: str, files_per_batch: int = 1000, **options) -> DataFrame:
@@ -51,8 +53,9 @@ def read_fastq_stream(spark: SparkSession, path: str, files_per_batch: int = 100
                 part = FileRange(own) if whole else FileRange(own, r["start"], r["end"], r["start"] // step)
                 yield from fastq_batches(part, options)
 
-    # ranges are a few bytes each; their reading is what is dealt out, to a fixed number of tasks
-    return ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(read, FASTQ_SCHEMA)
+    # ranges are a few bytes each; their reading is what is dealt out, to a number of tasks that follows from a batch's files: with few partitions tasks would grow with them
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-files_per_batch // TASK_FILES))
+    return ranges.repartition(tasks).mapInArrow(read, FASTQ_SCHEMA)
 
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:

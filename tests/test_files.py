@@ -326,6 +326,20 @@ def test_stream_splits_as_a_batch_does(spark, tmp_path):
     assert 0 <= progress.share <= 1
 
 
+def test_stream_deals_a_batch_to_enough_tasks(spark, tmp_path):
+    """Forty files are not the work of the session's few partitions: what a task reads does not grow with a batch."""
+    from tessera.streaming import split as stream
+
+    (tmp_path / "in").mkdir()
+    for k in range(40):
+        (tmp_path / "in" / f"{k}.fastq").write_bytes(fastq([(f"@f{k}", "ACGT", "+", "IIII")]))
+    rows = stream.read_fastq_stream(spark, str(tmp_path / "in")).select("header", F.spark_partition_id().alias("task"))
+    rows.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination()
+    got = [(r.header, r.task) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    most = max(sum(t == task for _, t in got) for _, task in got)
+    assert sorted(h for h, _ in got) == sorted(f"@f{k}" for k in range(40)) and most <= 5
+
+
 def test_files_are_read_in_ranges(known, tmp_path):
     """Each record is read once wherever a range begins; qualities that look like marks do not mislead."""
     import random
