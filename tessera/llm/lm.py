@@ -63,8 +63,10 @@ SLICE = 1 << 22
 CACHE = 600_000
 #: Units that a task spells together: their letters share the beginnings of units.
 SPELLED = 50_000
-#: Symbols whose contexts a task counts together.
-COUNTED = 1_500_000
+#: (context, symbol) numbers that wait in a task before they are summed.
+COUNTED = 4_000_000
+#: Bytes of units whose letters a task counts together (a unit at least).
+LETTERS = 400_000
 #: Bits whose nodes lie together in a row of a table: 2 ** ROW numbers, a head and the nodes.
 ROW = 3
 #: Counted symbols for each row of a table.
@@ -674,9 +676,9 @@ def make_alphabet(counted: DataFrame) -> Alphabet:
 
 
 def summed(key: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order with their sums (or how often they occur)."""
+    """Distinct keys in order with their sums (or how often they occur; then ``key`` itself is sorted)."""
     if n is None:
-        key = np.sort(key)
+        key.sort()
     else:
         order = np.argsort(key)
         key, n = key[order], n[order]
@@ -695,15 +697,41 @@ def unpressed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(planes[:8].T).view("<u8").ravel(), dtype=_U), np.ascontiguousarray(planes[8:].T).view("<u8").ravel().astype(np.int64)
 
 
-def _parts(kept: list[tuple[np.ndarray, np.ndarray | None]], part_bits: int) -> pa.RecordBatch:
-    """Counted (context | symbol) numbers, a row for each part of the table."""
-    if any(n is not None for _, n in kept):
-        key, n = summed(np.concatenate([k for k, _ in kept]), np.concatenate([n for _, n in kept]))
-    else:
-        key, n = summed(np.concatenate([k for k, _ in kept]))
-    ends = np.searchsorted(key, np.arange(1, 1 << part_bits, dtype=_U) << _U(64 - part_bits))
-    filled = [(p, k, v) for p, (k, v) in enumerate(zip(np.split(key, ends), np.split(n, ends))) if len(k)]
-    return pa.RecordBatch.from_arrays([pa.array([p for p, *_ in filled], pa.int32()), pa.array([pressed(k, v) for _, k, v in filled], pa.binary())], names=["part", "counts"])
+def _parts(found: Iterator[tuple[np.ndarray, np.ndarray | None]], part_bits: int) -> Iterator[pa.RecordBatch]:
+    """Counted (context | symbol) numbers, a row for each part of the table; ``found``: some numbers at a time, and what each counts (None: one).
+
+    COUNTED of them wait at most, a third as many with counts (they take as much to be sorted), besides those that came last; then they are summed, and sent if that has not made them few.
+    """
+
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        ends = np.searchsorted(key, np.arange(1, 1 << part_bits, dtype=_U) << _U(64 - part_bits))
+        filled = [(p, pressed(k, v)) for p, (k, v) in enumerate(zip(np.split(key, ends), np.split(n, ends))) if len(k)]
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in filled], pa.int32()), pa.array([x for _, x in filled], pa.binary())], names=["part", "counts"])
+
+    kept: list[tuple[np.ndarray, np.ndarray | None]] = []
+
+    def united() -> tuple[np.ndarray, np.ndarray]:
+        key = np.concatenate([k for k, _ in kept])
+        n = None if kept[0][1] is None else np.concatenate([n for _, n in kept])
+        kept.clear()
+        return summed(key, n)
+
+    size = 0
+    for key, n in found:
+        kept.append((key, n))
+        size += len(key) * (1 if n is None else 3)
+        del key
+        if size > COUNTED:
+            whole = united()
+            size = 3 * len(whole[0])
+            if n is None or size > COUNTED // 2:
+                yield rows(*whole)
+                size = 0
+            else:
+                kept.append(whole)
+            del whole
+    if kept:
+        yield rows(*united())
 
 
 PARTS = "part int, counts binary"
@@ -712,18 +740,17 @@ PARTS = "part int, counts binary"
 def count_unit_contexts(train: DataFrame, alphabet, part_bits: int) -> DataFrame:
     """Counts of units in their contexts, of all rows; ``alphabet``: broadcast."""
 
-    def run(batches):
-        kept, size = [], 0
+    def found(batches):
         for batch in batches:
-            for b in slices(batch, size=SLICE):
+            for b in slices(batch, size=SLICE >> 1):
                 read = Read(alphabet.value, b.column(0))
-                kept += [(c | read.symbol.astype(_U), None) for c in read.contexts]
-                size += len(read.symbol)
-                if size > COUNTED:
-                    yield _parts(kept, part_bits)
-                    kept, size = [], 0
-        if size:
-            yield _parts(kept, part_bits)
+                symbol, contexts = read.symbol.astype(_U), read.contexts
+                del read
+                while contexts:
+                    yield contexts.pop() | symbol, None
+
+    def run(batches):
+        yield from _parts(found(batches), part_bits)
 
     return train.mapInArrow(run, PARTS)
 
@@ -731,20 +758,16 @@ def count_unit_contexts(train: DataFrame, alphabet, part_bits: int) -> DataFrame
 def count_letter_contexts(rare: DataFrame, alphabet, part_bits: int) -> DataFrame:
     """Counts of letters in their contexts, of all units (unit, n) that are spelled."""
 
-    def run(batches):
-        kept, size = [], 0
+    def found(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 20_000):
-                b = batch.slice(at, 20_000)
+            for b in slices(batch, size=LETTERS):
                 symbol, contexts, begin = letter_contexts(spelled(b.column(0)), alphabet.value)
-                n = np.repeat(b.column(1).to_numpy(), np.diff(begin))
-                kept += [(c | symbol.astype(_U), n) for c in contexts]
-                size += len(symbol)
-                if size > COUNTED:
-                    yield _parts(kept, part_bits)
-                    kept, size = [], 0
-        if size:
-            yield _parts(kept, part_bits)
+                symbol, n = symbol.astype(_U), np.repeat(b.column(1).to_numpy(), np.diff(begin))
+                while contexts:
+                    yield summed(contexts.pop() | symbol, n)
+
+    def run(batches):
+        yield from _parts(found(batches), part_bits)
 
     return rare.mapInArrow(run, PARTS)
 

@@ -4,8 +4,10 @@ import hashlib
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -433,6 +435,42 @@ def test_lm_table_grows_and_keeps_the_frequent():
     assert back[0].tolist() == key.tolist() and back[1].tolist() == n.tolist()
 
 
+@pytest.mark.parametrize("of", ["units", "letters"])
+def test_lm_counts_contexts_in_bounded_memory(of):
+    """A task sums (context, symbol) numbers as they come: it holds few of them, and their counts are whole."""
+
+    class Task:
+        def mapInArrow(self, run, schema):
+            return run
+
+    r = random.Random(5)
+    words = [f"{r.randrange(10**9):x}{k % 991}".encode() for k in range(250_000)]
+    units = pa.array([*words[:2000], None], pa.binary())
+    alphabet = lm.Alphabet(units.drop_null(), np.ones(2000, np.int64), 10, np.arange(256))
+    if of == "units":
+        batch = pa.RecordBatch.from_arrays([pa.array([b" ".join(words[k : k + 500]) for k in range(0, 250_000, 500)] * 8, pa.binary())], names=["data"])
+        run = lm.count_unit_contexts(Task(), SimpleNamespace(value=alphabet), 3)
+        want, bound = 3 * 8 * 250_000, 110
+    else:
+        n = np.arange(len(words)) % 5 + 1
+        batch = pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(n, pa.int64())], names=["unit", "n"])
+        run = lm.count_letter_contexts(Task(), SimpleNamespace(value=alphabet), 3)
+        want, bound = 4 * sum(int(c) * (len(w) + 1) for w, c in zip(words, n)), 160
+    tracemalloc.start()
+    try:
+        total, parts = 0, set()
+        for b in run(iter([batch])):
+            for part, counts in zip(b.column(0).to_pylist(), b.column(1)):
+                key, n = lm.unpressed(counts.as_py())
+                assert (key[1:] > key[:-1]).all() and (key >> np.uint64(61) == part).all()
+                total += int(n.sum())
+                parts.add(part)
+        peak = tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+    assert total == want and parts == set(range(8)) and peak < bound
+
+
 def test_lm_dictionary_comes_from_full_counts(spark):
     r = random.Random(3)
     rows = [(" ".join([f"common{i % 200}" for i in range(k, k + 190)] + [f"x{r.random()}" for _ in range(50)]).encode(),) for k in range(0, 4000, 7)]
