@@ -1,9 +1,9 @@
 """Coverage: how many characters of a record lie under seeds that the reference holds, and the verdict.
 
 ``probe``: each record is decided where it lies, without a shuffle (so it also serves streams). An index below a checked number of bytes is sent to the
-tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map, in which a window that is not held is found with a
-probability of 2^-32. ``join`` and ``verified`` are exact for indexes of any size, and rows of one key are taken together. Of bases, windows that the filter finds are looked up in a
-sorted table of all seeds, which tasks map as well, so what is shuffled is the stretches that hits cover, not windows. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
+tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map. Of bases, windows that the filter finds are looked up in a sorted table of all seeds,
+which tasks map as well, so verdicts are the same whatever the size; of text, a window that is not held is found with a probability of 2^-32. ``join`` and ``verified`` are exact for indexes of any size, and rows of one
+key are taken together. Of bases, what is shuffled is the stretches that hits cover, not windows. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ def seed_hits(rows: DataFrame, key: str, text: str, index: Index) -> DataFrame:
 
 def found_windows(rows: DataFrame, key: str, text: str, index, exact: bool = False) -> DataFrame:
     """key, pos and seed of the windows that a prober finds, exact (for bases) or not: a narrow stage, in which records that hold none give no rows."""
-    sent = SparkContext.getOrCreate().broadcast(index.prober(True) if exact else index.prober())
+    sent = SparkContext.getOrCreate().broadcast(index.prober() if exact else index.prober(False))
     dna, seed = index.dna, index.seed
 
     def run(batches):
@@ -54,7 +54,7 @@ def found_windows(rows: DataFrame, key: str, text: str, index, exact: bool = Fal
 
 def found_stretches(rows: DataFrame, key: str, text: str, index) -> DataFrame:
     """key, start and end of the stretches of bases under significant places of a record's hits: a narrow stage, in which records without a hit give no rows. Those of a long record may overlap."""
-    sent = SparkContext.getOrCreate().broadcast(index.prober(True))
+    sent = SparkContext.getOrCreate().broadcast(index.prober())
 
     def run(batches):
         own = sent.value

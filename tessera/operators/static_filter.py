@@ -9,8 +9,8 @@ Each bucket is solved in one task from about :data:`BUCKET` keys and written at
 attempt writes the same bytes. Where blocks begin follows from the buckets' counts, so what passes the driver is three numbers a bucket. Tasks map the file, whose pages
 all workers of a machine share. Hashes are looked up as they come: on a filter of 491 MB sorting a million of them first took longer than it saved (5.4 against 8.1 million a second on a core).
 
-The table of an index is the same hashes themselves, sorted, in another such file: a bucket is sorted in its task and written at its place. What the filter finds and the table holds is held, without
-an error, and no window is shuffled for it.
+The table of an index is the same hashes themselves, sorted, in another such file: a bucket is sorted in its task and written at its place, in the pass that solves it. What the filter finds and the table holds
+is held, without an error, and no window is shuffled for it.
 
 An empty index gives a filter that holds nothing. The folder must be mounted on all machines, as for published filters.
 """
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.functions.hashing import mix64
 from tessera.operators.coverage import Prober
@@ -95,9 +96,27 @@ def solve(h: np.ndarray, size: int, bits: int) -> tuple[int, np.ndarray]:
     return salt, block
 
 
+@dataclass(frozen=True)
+class SeedTable:
+    """A file of ``n`` sorted hashes."""
+
+    path: str
+    n: int
+
+    def rows(self) -> np.ndarray:
+        return np.asarray(np.memmap(self.path, _U, "r", shape=(self.n,))) if self.n else np.zeros(0, _U)
+
+    @staticmethod
+    def holds(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Which hashes are held."""
+        if not len(rows):
+            return np.zeros(len(h), bool)
+        return rows[np.minimum(np.searchsorted(rows, h), len(rows) - 1)] == h
+
+
 @dataclass(frozen=True)
 class StaticFilter:
-    """Where the blocks of a filter file begin (in slots), the sizes of their thirds and their salts; ``top``: bits that say the bucket."""
+    """Where the blocks of a filter file begin (in slots), the sizes of their thirds and their salts; ``top``: bits that say the bucket; ``table``: the hashes themselves."""
 
     path: str
     bits: int
@@ -105,6 +124,7 @@ class StaticFilter:
     begin: np.ndarray
     size: np.ndarray
     salt: np.ndarray
+    table: SeedTable | None = None
 
     def slots(self) -> np.ndarray:
         total = int(self.begin[-1] + 3 * self.size[-1])
@@ -124,14 +144,8 @@ class StaticFilter:
 def dealt(hashes: DataFrame, n: int, bucket: int) -> tuple[DataFrame, int, np.ndarray]:
     """Hashes by bucket (their top bits), how many bits these are, and how many hashes each bucket has."""
     top = max(0, math.floor(math.log2(max(1, n / bucket))))
-
-    def deal(batches):
-        for b in batches:
-            h = b.column(0).to_numpy().view(_U)
-            of = (h >> _U(64 - top)).astype(np.int32) if top else np.zeros(len(h), np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(of), b.column(0)], names=["bucket", "h"])
-
-    rows = hashes.select("h").mapInArrow(deal, "bucket int, h long")
+    of = F.shiftrightunsigned("h", 64 - top).cast("int") if top else F.lit(0)
+    rows = hashes.select(of.alias("bucket"), "h")
     count = np.zeros(1 << top, np.int64)
     for of, keys in rows.groupBy("bucket").count().collect():  # a row for each bucket
         count[of] = keys
@@ -140,71 +154,42 @@ def dealt(hashes: DataFrame, n: int, bucket: int) -> tuple[DataFrame, int, np.nd
 
 
 def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET) -> StaticFilter:
-    """A filter of ``n`` distinct hashes (a column ``h`` of longs)."""
+    """A filter of ``n`` distinct hashes (a column ``h`` of longs) and their table: buckets in their order, each sorted, are all in order."""
     if bits not in TYPES:
         raise ValueError("a fingerprint has 8, 16 or 32 bits")
     spark = hashes.sparkSession
     spread, top, count = dealt(hashes, n, bucket)
     size = third(count)
-    begin = np.cumsum(3 * size) - 3 * size
-    path = f"{as_local(workspace(spark, 'filter'))}/blocks.bin"
-    width = bits // 8
-    with open(path, "wb") as f:
-        f.truncate(int(3 * size.sum()) * width)
+    begin, row = np.cumsum(3 * size) - 3 * size, np.cumsum(count) - count
+    folder, width = as_local(workspace(spark, "filter")), bits // 8
+    path, table = f"{folder}/blocks.bin", SeedTable(f"{folder}/rows.bin", int(count.sum()))
+    for file, bytes_ in ((path, int(3 * size.sum()) * width), (table.path, 8 * table.n)):
+        with open(file, "wb") as f:
+            f.truncate(bytes_)
 
     def write(rows: pa.Table) -> pa.Table:
         of = rows["bucket"][0].as_py()
-        salt, block = solve(np.unique(rows["h"].to_numpy().view(_U)), int(size[of]), bits)
-        with open(path, "r+b") as f:
-            f.seek(int(begin[of]) * width)
-            f.write(block.tobytes())
+        h = np.sort(rows["h"].to_numpy().view(_U))
+        salt, block = solve(np.unique(h), int(size[of]), bits)
+        for file, at, what in ((path, int(begin[of]) * width, block), (table.path, 8 * int(row[of]), h)):
+            with open(file, "r+b") as f:
+                f.seek(at)
+                f.write(what.tobytes())
         return pa.table({"bucket": pa.array([of], pa.int32()), "salt": pa.array([salt], pa.int32())})
 
     salts = np.zeros(1 << top, np.int64)
     for of, salt in spread.groupBy("bucket").applyInArrow(write, "bucket int, salt int").collect():  # a row for each bucket
         salts[of] = salt
-    return StaticFilter(path, bits, top, begin, size, salts)
-
-
-@dataclass(frozen=True)
-class SeedTable:
-    """A file of ``n`` sorted hashes."""
-
-    path: str
-    n: int
-
-    def rows(self) -> np.ndarray:
-        return np.asarray(np.memmap(self.path, _U, "r", shape=(self.n,))) if self.n else np.zeros(0, _U)
-
-    @staticmethod
-    def holds(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Which hashes are held."""
-        if not len(rows):
-            return np.zeros(len(h), bool)
-        return rows[np.minimum(np.searchsorted(rows, h), len(rows) - 1)] == h
+    return StaticFilter(path, bits, top, begin, size, salts, table)
 
 
 def build_table(hashes: DataFrame, n: int, bucket: int = BUCKET) -> SeedTable:
-    """The table of ``n`` distinct hashes (a column ``h`` of longs): buckets in their order, each sorted, are all in order."""
-    spread, _, count = dealt(hashes, n, bucket)
-    begin = np.cumsum(count) - count
-    path = f"{as_local(workspace(hashes.sparkSession, 'table'))}/rows.bin"
-    with open(path, "wb") as f:
-        f.truncate(8 * int(count.sum()))
-
-    def write(rows: pa.Table) -> pa.Table:
-        of = rows["bucket"][0].as_py()
-        with open(path, "r+b") as f:
-            f.seek(8 * int(begin[of]))
-            f.write(np.sort(rows["h"].to_numpy().view(_U)).tobytes())
-        return pa.table({"bucket": pa.array([of], pa.int32())})
-
-    spread.groupBy("bucket").applyInArrow(write, "bucket int").collect()  # a row for each bucket
-    return SeedTable(path, int(count.sum()))
+    """The table alone of :func:`build_filter`."""
+    return build_filter(hashes, n, bucket=bucket).table
 
 
 class FilterProber(Prober):
-    """Decides records against a mapped filter."""
+    """Finds windows by a mapped filter alone: all that are held, and others with a probability of 2^-bits each."""
 
     def __init__(self, of: StaticFilter, *how):
         self.describe(*how)
@@ -220,17 +205,13 @@ class FilterProber(Prober):
 
 
 class ExactProber(FilterProber):
-    """As :class:`FilterProber`, but what the filter finds is looked up in the table of all hashes."""
-
-    def __init__(self, of: StaticFilter, table: SeedTable, *how):
-        super().__init__(of, *how)
-        self.table = table
+    """As :class:`FilterProber`, but what the filter finds is looked up in the table of all hashes: what is held, and no other."""
 
     def __getstate__(self):
         return {k: v for k, v in super().__getstate__().items() if k != "rows"}
 
     def known_at(self, code: np.ndarray) -> np.ndarray:
         if not hasattr(self, "rows"):
-            self.rows = self.table.rows()
+            self.rows = self.of.table.rows()
         maybe = super().known_at(code)
-        return maybe[self.table.holds(self.rows, mix64(code[maybe]))]
+        return maybe[SeedTable.holds(self.rows, mix64(code[maybe]))]
