@@ -1,9 +1,8 @@
 """Coverage: how many characters of a record lie under seeds that the reference holds, and the verdict.
 
 ``probe``: each record is decided where it lies, without a shuffle (so it also serves streams). An index below a checked number of bytes is sent to the
-tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map. Of bases, windows that the filter finds are looked up in a sorted table of all seeds,
-which tasks map as well, so verdicts are the same whatever the size; of text, a window that is not held is found with a probability of 2^-32. ``join`` and ``verified`` are exact for indexes of any size, and rows of one
-key are taken together. Of bases, what is shuffled is the stretches that hits cover, not windows. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
+tasks as sorted numbers; a larger one becomes a static filter (:mod:`tessera.operators.static_filter`) that tasks map. Windows that the filter finds are looked up in a sorted table of all seeds, which tasks
+map as well, so verdicts are the same whatever the size (of text, windows are taken as equal if both of their prints are). ``join`` and ``verified`` are exact for indexes of any size, and rows of one key are taken together. Of bases, what is shuffled is the stretches that hits cover, not windows. Of text, ``join`` semi-joins every window, ``verified`` those that the filter finds.
 """
 
 from __future__ import annotations
@@ -132,13 +131,18 @@ class Prober:
         if good is not None:
             hit = hit[good[hit]]
         elif getattr(self, "second", None) is not None and len(hit):  # the second print decides
-            want, at, same = text_prints(points, self.seed, 1, hit), np.searchsorted(self.known, code[hit]), np.zeros(len(hit), bool)
+            own = self.ordered(code[hit])
+            want, at, same = text_prints(points, self.seed, 1, hit), np.searchsorted(self.known, own), np.zeros(len(hit), bool)
             for k in range(self.most):
                 i = np.minimum(at + k, len(self.known) - 1)
-                same |= (self.known[i] == code[hit]) & (self.second[i] == want)
+                same |= (self.known[i] == own) & (self.second[i] == want)
             hit = hit[same]
         return hit, code, good
 
+    def ordered(self, code: np.ndarray) -> np.ndarray:
+        """Codes in the form in which ``known`` has them."""
+        return code
+
     def known_at(self, code: np.ndarray) -> np.ndarray:
         """Places of codes that are known."""
         if not len(self.known):

@@ -10,7 +10,7 @@ attempt writes the same bytes. Where blocks begin follows from the buckets' coun
 all workers of a machine share. Hashes are looked up as they come: on a filter of 491 MB sorting a million of them first took longer than it saved (5.4 against 8.1 million a second on a core).
 
 The table of an index is the same hashes themselves, sorted, in another such file: a bucket is sorted in its task and written at its place, in the pass that solves it. What the filter finds and the table holds
-is held, without an error, and no window is shuffled for it.
+is held, without an error, and no window is shuffled for it. Of text windows the table holds second prints as well, which decide as they do in an index that is sent.
 
 An empty index gives a filter that holds nothing. The folder must be mounted on all machines, as for published filters.
 """
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import os
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -98,13 +98,21 @@ def solve(h: np.ndarray, size: int, bits: int) -> tuple[int, np.ndarray]:
 
 @dataclass(frozen=True)
 class SeedTable:
-    """A file of ``n`` sorted hashes."""
+    """A file of ``n`` sorted hashes; ``second``: of text windows, a file of their second prints; ``most``: windows that share a hash."""
 
     path: str
     n: int
+    second: str | None = None
+    most: int = 1
 
     def rows(self) -> np.ndarray:
-        return np.asarray(np.memmap(self.path, _U, "r", shape=(self.n,))) if self.n else np.zeros(0, _U)
+        return self.numbers(self.path)
+
+    def seconds(self) -> np.ndarray | None:
+        return None if self.second is None else self.numbers(self.second)
+
+    def numbers(self, path: str) -> np.ndarray:
+        return np.asarray(np.memmap(path, _U, "r", shape=(self.n,))) if self.n else np.zeros(0, _U)
 
     @staticmethod
     def holds(rows: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -145,7 +153,7 @@ def dealt(hashes: DataFrame, n: int, bucket: int) -> tuple[DataFrame, int, np.nd
     """Hashes by bucket (their top bits), how many bits these are, and how many hashes each bucket has."""
     top = max(0, math.floor(math.log2(max(1, n / bucket))))
     of = F.shiftrightunsigned("h", 64 - top).cast("int") if top else F.lit(0)
-    rows = hashes.select(of.alias("bucket"), "h")
+    rows = hashes.select(of.alias("bucket"), "*")
     count = np.zeros(1 << top, np.int64)
     for of, keys in rows.groupBy("bucket").count().collect():  # a row for each bucket
         count[of] = keys
@@ -154,7 +162,7 @@ def dealt(hashes: DataFrame, n: int, bucket: int) -> tuple[DataFrame, int, np.nd
 
 
 def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET) -> StaticFilter:
-    """A filter of ``n`` distinct hashes (a column ``h`` of longs) and their table: buckets in their order, each sorted, are all in order."""
+    """A filter of ``n`` hashes (a column ``h`` of longs), which are distinct or have different second prints (a column ``second``), and their table: buckets in their order, each sorted, are all in order."""
     if bits not in TYPES:
         raise ValueError("a fingerprint has 8, 16 or 32 bits")
     spark = hashes.sparkSession
@@ -162,25 +170,28 @@ def build_filter(hashes: DataFrame, n: int, bits: int = 32, bucket: int = BUCKET
     size = third(count)
     begin, row = np.cumsum(3 * size) - 3 * size, np.cumsum(count) - count
     folder, width = as_local(workspace(spark, "filter")), bits // 8
-    path, table = f"{folder}/blocks.bin", SeedTable(f"{folder}/rows.bin", int(count.sum()))
-    for file, bytes_ in ((path, int(3 * size.sum()) * width), (table.path, 8 * table.n)):
-        with open(file, "wb") as f:
-            f.truncate(bytes_)
+    path, table = f"{folder}/blocks.bin", SeedTable(f"{folder}/rows.bin", int(count.sum()), f"{folder}/seconds.bin" if "second" in hashes.columns else None)
+    for file, bytes_ in ((path, int(3 * size.sum()) * width), (table.path, 8 * table.n), (table.second, 8 * table.n)):
+        if file is not None:
+            with open(file, "wb") as f:
+                f.truncate(bytes_)
 
     def write(rows: pa.Table) -> pa.Table:
         of = rows["bucket"][0].as_py()
-        h = np.sort(rows["h"].to_numpy().view(_U))
-        salt, block = solve(np.unique(h), int(size[of]), bits)
-        for file, at, what in ((path, int(begin[of]) * width, block), (table.path, 8 * int(row[of]), h)):
+        h, *second = (rows[c].to_numpy().view(_U) for c in rows.column_names[1:])
+        order = np.lexsort((*second, h))
+        different, share = np.unique(h, return_counts=True)
+        salt, block = solve(different, int(size[of]), bits)
+        for file, at, what in ((path, int(begin[of]) * width, block), (table.path, 8 * int(row[of]), h[order]), *((table.second, 8 * int(row[of]), s[order]) for s in second)):
             with open(file, "r+b") as f:
                 f.seek(at)
                 f.write(what.tobytes())
-        return pa.table({"bucket": pa.array([of], pa.int32()), "salt": pa.array([salt], pa.int32())})
+        return pa.table({"bucket": pa.array([of], pa.int32()), "salt": pa.array([salt], pa.int32()), "most": pa.array([share.max()], pa.int32())})
 
-    salts = np.zeros(1 << top, np.int64)
-    for of, salt in spread.groupBy("bucket").applyInArrow(write, "bucket int, salt int").collect():  # a row for each bucket
-        salts[of] = salt
-    return StaticFilter(path, bits, top, begin, size, salts, table)
+    salts, most = np.zeros(1 << top, np.int64), 1
+    for of, salt, share in spread.groupBy("bucket").applyInArrow(write, "bucket int, salt int, most int").collect():  # a row for each bucket
+        salts[of], most = salt, max(most, share)
+    return StaticFilter(path, bits, top, begin, size, salts, replace(table, most=most))
 
 
 def build_table(hashes: DataFrame, n: int, bucket: int = BUCKET) -> SeedTable:
@@ -205,13 +216,16 @@ class FilterProber(Prober):
 
 
 class ExactProber(FilterProber):
-    """As :class:`FilterProber`, but what the filter finds is looked up in the table of all hashes: what is held, and no other."""
+    """As :class:`FilterProber`, but what the filter finds is looked up in the table of all hashes: what is held, and no other (of text: what has both prints of a window that is)."""
 
     def __getstate__(self):
-        return {k: v for k, v in super().__getstate__().items() if k != "rows"}
+        return {k: v for k, v in super().__getstate__().items() if k not in ("known", "second")}
+
+    def ordered(self, code: np.ndarray) -> np.ndarray:
+        return mix64(code)
 
     def known_at(self, code: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "rows"):
-            self.rows = self.of.table.rows()
+        if not hasattr(self, "known"):
+            self.known, self.second, self.most = self.of.table.rows(), self.of.table.seconds(), self.of.table.most
         maybe = super().known_at(code)
-        return maybe[SeedTable.holds(self.rows, mix64(code[maybe]))]
+        return maybe[SeedTable.holds(self.known, self.ordered(code[maybe]))]
